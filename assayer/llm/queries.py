@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import exact_dedup, mixing, pii, quality, sentencepiece, sharding, simhash, url_filter
+from assayer.llm import exact_dedup, mixing, pii, quality, sentencepiece, sharding, simhash, substring_dedup, url_filter
 
 #: The rules of the query: (verdict, host, path).
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -39,6 +39,11 @@ def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op3_ring_sharding": op3_ring_sharding,
     "op4_repetition_rules": op4_repetition_rules,
     "op5_contextual_pii": op5_contextual_pii,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sentencepiece": op9_sentencepiece,
@@ -117,6 +123,15 @@ ORACLES = {
         m AS (SELECT page_id, arg_max(rh || rp, length(rh) + length(rp)) AS rule, arg_max(verdict, length(rh) + length(rp)) AS verdict
               FROM h JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
         SELECT h.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN m USING (page_id)""",
+    "op6_substring_dedup": """
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x09-\\x0D ]+'), lambda x: x <> '') AS ws FROM documents),
+        win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 48, 1))) AS i FROM w)),
+        hit AS (SELECT doc_id, i FROM win QUALIFY min(doc_id) OVER (PARTITION BY h) < doc_id),
+        gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 50)))) AS cut_at FROM hit GROUP BY doc_id),
+        k AS (SELECT w.doc_id, ws, CASE WHEN cut_at IS NULL THEN ws
+                ELSE list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda p: NOT list_contains(cut_at, p[2])), lambda p: p[1]) END AS kept
+              FROM w LEFT JOIN gone USING (doc_id))
+        SELECT doc_id, len(ws) AS n_words, len(ws) - len(kept) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
                sha256(coalesce(text, '')) AS text_sha256
