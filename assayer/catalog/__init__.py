@@ -1 +1,7 @@
 """Named queries over the shared tables, one module per family."""
+
+import importlib
+import pkgutil
+
+for _module in pkgutil.iter_modules(__path__):
+    importlib.import_module(f"{__name__}.{_module.name}")

@@ -1 +1 @@
-
+"""Column expressions: measures as aggregates, and text functions."""
