@@ -61,6 +61,12 @@ VIEWS: dict[str, str] = {
     # sentence pairs: each turn against the next of its conversation
     "pairs": """SELECT conv_id, turn, text AS hyp, nxt AS ref FROM (SELECT conv_id, turn, text, LEAD(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) c
                 WHERE nxt IS NOT NULL""",
+    # neural scores of detoxified texts, as given columns
+    "detox": """SELECT doc_id AS id, lang, CAST(doc_id % 97 AS DOUBLE) / 97 AS sim_orig, CAST(doc_id % 89 AS DOUBLE) / 89 AS sim_ref, CAST(doc_id % 83 AS DOUBLE) / 83 AS t_in,
+                  CAST(doc_id % 79 AS DOUBLE) / 79 AS t_out, CAST(doc_id % 73 AS DOUBLE) / 73 AS t_ref, CAST(doc_id % 71 AS DOUBLE) / 71 AS fluency FROM documents""",
+    # watermark decisions: 0/1 truth and label per text and attack, with text quality
+    "marks": """SELECT CAST(FLOOR(doc_id / 16) AS BIGINT) AS id, doc_id % 4 AS type, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS truth, CASE WHEN doc_id % 5 < 2 THEN 1 ELSE 0 END AS label,
+                  CAST(FLOOR(doc_id / 16) % 13 AS DOUBLE) / 13 AS bleu, CAST(FLOOR(doc_id / 16) % 11 AS DOUBLE) / 11 AS bert FROM documents""",
     # rows of a clustering of characters, inclusive ends
     "dz_truth": "SELECT CAST(FLOOR(doc_id / 10) AS BIGINT) AS problem, doc_id % 3 AS cluster, (doc_id % 10) * 50 AS s, (doc_id % 10) * 50 + 49 AS e FROM documents",
     "dz_run": """SELECT CAST(FLOOR(doc_id / 10) AS BIGINT) AS problem, doc_id % 4 AS cluster, (doc_id % 10) * 50 + doc_id % 7 AS s, (doc_id % 10) * 50 + 49 AS e
