@@ -25,16 +25,18 @@ def sentences(text: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int, glue: str = " ") -> Column:
-    """The n-grams of an array of tokens, joined by ``glue``."""
-    last = F.size(tokens) - (n - 1)
-    places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.array_join(F.slice(tokens, i, n), glue))
+    """The n-grams of an array of tokens, joined by ``glue``.
+
+    Shifted slices are zipped, so the array is evaluated n times in all and not once per n-gram.
+    """
+    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    shifted = F.arrays_zip(*[F.slice(tokens, k + 1, count).alias(f"g{k}") for k in range(n)])
+    return F.transform(shifted, lambda x: F.concat_ws(glue, *[x[f"g{k}"] for k in range(n)]))
 
 
 def char_ngrams(text: Column, n: int) -> Column:
-    last = F.length(text) - (n - 1)
-    places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.substring(text, i, F.lit(n)))
+    """The n-grams of characters (code points), in time linear in the text: a look-ahead takes n, the match one."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
 
 def paragraphs(text: Column) -> Column:
