@@ -317,6 +317,7 @@ def rs_undersample(spark, d):
 
 def _nested(steps, text):
     for pattern, put in steps:
+        pattern = pattern.replace("'", "''")
         text = f"regexp_replace({text}, '{pattern}', '{put}', 'g')"
     return text
 

@@ -77,9 +77,10 @@ def window_measures(df: DataFrame, groups: list[str], k: int, order: str = "pos"
     """WindowDiff and WinPR over all full windows of ``k`` positions per group."""
     last = Window.partitionBy(*groups).orderBy(order).rowsBetween(-(k - 1), 0)
     place = F.row_number().over(Window.partitionBy(*groups).orderBy(order))
-    sums = df.withColumns({"g": F.sum(gold).over(last), "h": F.sum(hypo).over(last), "place": place}).filter(F.col("place") >= k)
-    tp, fp, fn = (F.sum(c) for c in (F.least("g", "h"), F.greatest(F.lit(0), F.col("h") - F.col("g")), F.greatest(F.lit(0), F.col("g") - F.col("h"))))
-    out = sums.groupBy(*groups).agg(F.avg((F.col("g") != F.col("h")).cast("double")).alias("windowdiff"), m.ratio(tp, tp + fp).alias("win_precision"), m.ratio(tp, tp + fn).alias("win_recall"))
+    sums = df.withColumns({"_g": F.sum(gold).over(last), "_h": F.sum(hypo).over(last), "_place": place}).filter(F.col("_place") >= k)
+    g, h = F.col("_g"), F.col("_h")
+    tp, fp, fn = (F.sum(c) for c in (F.least(g, h), F.greatest(F.lit(0), h - g), F.greatest(F.lit(0), g - h)))
+    out = sums.groupBy(*groups).agg(F.avg((g != h).cast("double")).alias("windowdiff"), m.ratio(tp, tp + fp).alias("win_precision"), m.ratio(tp, tp + fn).alias("win_recall"))
     return out.withColumn("win_f", m.f_beta(F.col("win_precision"), F.col("win_recall")))
 
 
