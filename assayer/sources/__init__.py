@@ -1 +1,6 @@
+"""Readers with explicit schemas, and the prototext sink."""
 
+from assayer.sources.readers import annotations, attribution, jsonl, pairs, profiles, qrels, trec_run, verification_answers
+from assayer.sources.writers import write_annotations, write_measures
+
+__all__ = ["annotations", "attribution", "jsonl", "pairs", "profiles", "qrels", "trec_run", "verification_answers", "write_annotations", "write_measures"]

@@ -1 +1,5 @@
+"""Runs as streams: stateless validation, and measures per micro-batch."""
 
+from assayer.streaming.runs import accumulate_counts, read_run, validate_stream
+
+__all__ = ["accumulate_counts", "read_run", "validate_stream"]
