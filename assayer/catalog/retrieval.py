@@ -27,20 +27,16 @@ def ta_char_ngrams(spark, d):
     return grams.select("item_id", *[F.col(c).cast("long").alias(c) for c in ("pos", "start", "end")], "gram")
 
 
-SEEDS = f"se AS (SELECT doc_id, item_id, a.pos AS left_pos, b.pos AS right_pos FROM {plain('documents', 'doc_id')} a JOIN {plain('benchmark', 'item_id')} b USING (gram))"
-
-
 def _seeds(spark, d):
     return rt.seed_matches(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", "text", N)
 
 
-@query("ta_seed_matches", "WITH " + SEEDS + " SELECT * FROM se")
+@query("ta_seed_matches")
 def ta_seed_matches(spark, d):
     return _seeds(spark, d).select("doc_id", "item_id", F.col("left_pos").cast("long").alias("left_pos"), F.col("right_pos").cast("long").alias("right_pos"))
 
 
-@query("ta_islands", "WITH " + SEEDS + f""", r AS (SELECT *, left_pos - right_pos AS dg, left_pos - row_number() OVER (PARTITION BY doc_id, item_id, left_pos - right_pos ORDER BY left_pos) AS run FROM se)
-    SELECT doc_id, item_id, min(left_pos) AS left_start, max(left_pos) + {N} AS left_end, min(right_pos) AS right_start FROM r GROUP BY doc_id, item_id, dg, run""")
+@query("ta_islands")
 def ta_islands(spark, d):
     runs = rt.diagonal_islands(_seeds(spark, d), ["doc_id", "item_id"], N)
     return runs.select("doc_id", "item_id", *[F.col(c).cast("long").alias(c) for c in ("left_start", "left_end", "right_start")])

@@ -182,3 +182,20 @@ def test_validators(spark):
     rows = spark.createDataFrame([("p1", [0, 1], 3), ("p2", [0, 2], 3), ("p3", None, 2), ("p4", [1], 3)], "id string, ch array<int>, n int")
     found = {(r["item"], r["error"]) for r in validate.changes(rows, "id", "ch", "n").collect()}
     assert found == {("p2", "INVALID_FORMAT"), ("p3", "MISSING_KEY"), ("p4", "INVALID_LENGTH")}
+
+
+def test_seeds_and_islands_against_brute_force(spark):
+    left = spark.createDataFrame([(1, "Some text, with a shared passage here."), (2, "nothing alike"), (3, "")], "doc_id int, text string")
+    right = spark.createDataFrame([(7, "A SHARED passage: here, too"), (8, "x")], "item_id int, text string")
+    keep = lambda t: "".join(c for c in t.lower() if c.isalnum())
+    n = 6
+    expected = set()
+    for i, a in ((r["doc_id"], keep(r["text"])) for r in left.collect()):
+        for j, b in ((r["item_id"], keep(r["text"])) for r in right.collect()):
+            expected |= {(i, j, x, y) for x in range(len(a) - n + 1) for y in range(len(b) - n + 1) if a[x : x + n] == b[y : y + n]}
+    seeds = retrieval.seed_matches(left, right, "doc_id", "item_id", "text", n)
+    assert {(r["doc_id"], r["item_id"], r["left_pos"], r["right_pos"]) for r in seeds.collect()} == expected
+    island = retrieval.diagonal_islands(seeds, ["doc_id", "item_id"], n).collect()
+    shared = "asharedpassagehere"
+    start = keep("Some text, with a shared passage here.").index(shared)
+    assert [(r["left_start"], r["left_end"], r["right_start"]) for r in island] == [(start, start + len(shared), 0)]
