@@ -9,10 +9,13 @@ from assayer.registry import query
 
 R = lambda c, name: F.round(c, 6).alias(name)
 PRF = ("precision", "recall", "f1")
-ROUND = [R(F.col(c), c) for c in PRF]
 ROUND_SQL = """round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1"""
 
 
+def _rounded():
+    return [R(F.col(c), c) for c in PRF]
+
+
 def counts_sql(rows: str, groups: str, truth: str = "label", pred: str = "pred", hit: str | None = None) -> str:
     """CTEs: ``cc`` with tp, fp, fn per class, ``pr`` with precision, recall, f1."""
     hit = hit or f"{truth} = {pred}"
@@ -43,12 +46,12 @@ def ap_accuracy(spark, d):
 
 @query("aa_macro", GA + f"SELECT problem, {ROUND_SQL} FROM (SELECT problem, avg(\"precision\") AS \"precision\", avg(recall) AS recall, avg(f1) AS f1 FROM pr WHERE tp + fn > 0 GROUP BY problem)")
 def aa_macro(spark, d):
-    return classify.macro(classify.class_counts(_joined(spark, d), ["problem"]), ["problem"]).select("problem", *ROUND)
+    return classify.macro(classify.class_counts(_joined(spark, d), ["problem"]), ["problem"]).select("problem", *_rounded())
 
 
 @query("aa_macro_open", GA + f"SELECT problem, {ROUND_SQL} FROM (SELECT problem, avg(\"precision\") AS \"precision\", avg(recall) AS recall, avg(f1) AS f1 FROM pr WHERE tp + fn > 0 AND cls <> 'es' GROUP BY problem)")
 def aa_macro_open(spark, d):
-    return classify.macro(classify.class_counts(_joined(spark, d), ["problem"]), ["problem"], exclude=("es",)).select("problem", *ROUND)
+    return classify.macro(classify.class_counts(_joined(spark, d), ["problem"]), ["problem"], exclude=("es",)).select("problem", *_rounded())
 
 
 @query("aa_overall", GA + "SELECT round(avg(f), 3) AS f1, count(*) AS problems FROM (SELECT avg(f1) AS f FROM pr WHERE tp + fn > 0 GROUP BY problem)")
@@ -60,12 +63,12 @@ def aa_overall(spark, d):
 @query("aa15_macro", GA + """SELECT problem, round(p, 6) AS "precision", round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM
     (SELECT problem, avg(tp / nullif(tp + fp, 0)::DOUBLE) AS p, avg(tp / nullif(tp + fn, 0)::DOUBLE) AS r FROM cc GROUP BY problem)""")
 def aa15_macro(spark, d):
-    return classify.macro_of_means(classify.class_counts(_joined(spark, d), ["problem"]), ["problem"]).select("problem", *ROUND)
+    return classify.macro_of_means(classify.class_counts(_joined(spark, d), ["problem"]), ["problem"]).select("problem", *_rounded())
 
 
 @query("cp_prec_rec", ALL + "SELECT cls, round(\"precision\", 6) AS \"precision\", round(recall, 6) AS recall FROM pr WHERE tp + fn > 0")
 def cp_prec_rec(spark, d):
-    return classify.with_prf(classify.class_counts(_joined(spark, d), [])).filter("tp + fn > 0").select("cls", *ROUND[:2])
+    return classify.with_prf(classify.class_counts(_joined(spark, d), [])).filter("tp + fn > 0").select("cls", *_rounded()[:2])
 
 
 AGES = "ages AS (SELECT doc_id AS id, (1930 + doc_id % 80)::BIGINT AS label, (1930 + doc_id % 80 + doc_id % 23 - 11)::BIGINT AS pred FROM documents)"
@@ -80,7 +83,7 @@ def _ages(spark, d):
 @query("cp_age", "WITH " + AGES + ", " + counts_sql("ages", "", hit=AGE_HIT) + "SELECT cls, tp, fp, fn, round(\"precision\", 6) AS \"precision\", round(recall, 6) AS recall FROM pr WHERE tp + fn > 0")
 def cp_age(spark, d):
     counts = classify.class_counts(_ages(spark, d), [], hit=classify.age_hit(F.col("label"), F.col("pred")))
-    return classify.with_prf(counts).filter("tp + fn > 0").select("cls", "tp", "fp", "fn", *ROUND[:2])
+    return classify.with_prf(counts).filter("tp + fn > 0").select("cls", "tp", "fp", "fn", *_rounded()[:2])
 
 
 @query("cp_crank", with_("gold", "answers", more=JOINED + ", " + AGES + f""", t AS (
@@ -112,7 +115,7 @@ def _binary(spark, d):
 @query("hp_prf", with_("truth", "run", more=BIN) + """SELECT grp, round((tp + tn) / (tp + tn + fp + fn)::DOUBLE, 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0), 6) AS "precision",
     round(coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0), 6) AS f1 FROM bc""")
 def hp_prf(spark, d):
-    return classify.binary_report(_binary(spark, d), ["grp"]).select("grp", R(F.col("accuracy"), "accuracy"), *ROUND)
+    return classify.binary_report(_binary(spark, d), ["grp"]).select("grp", R(F.col("accuracy"), "accuracy"), *_rounded())
 
 
 @query("ot_mcc", with_("truth", "run", more=BIN) + """SELECT grp, round(coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0), 6) AS mcc, round(f, 6) AS f1, round(g, 6) AS f1_negative, round((f + g) / 2, 6) AS f1_macro
@@ -128,7 +131,7 @@ def cb_balanced_acc(spark, d):
 
 @query("cb_prf_on", ALL + f"SELECT cls, tp + fp + fn AS relevant, {ROUND_SQL} FROM pr")
 def cb_prf_on(spark, d):
-    return classify.with_prf(classify.class_counts(_joined(spark, d), [])).select("cls", (F.col("tp") + F.col("fp") + F.col("fn")).alias("relevant"), *ROUND)
+    return classify.with_prf(classify.class_counts(_joined(spark, d), [])).select("cls", (F.col("tp") + F.col("fp") + F.col("fn")).alias("relevant"), *_rounded())
 
 
 ML = """lc AS (SELECT label, sum(y * yhat)::BIGINT AS tp, sum((1 - y) * yhat)::BIGINT AS fp, sum(y * (1 - yhat))::BIGINT AS fn FROM multi GROUP BY label),

@@ -7,7 +7,11 @@ from assayer.operators import clusters, intervals
 from assayer.registry import query
 
 R = lambda c, name: F.round(c, 6).alias(name)
-PRF = [R(F.col(c), c) for c in ("precision", "recall", "f")]
+
+
+def _rounded(last="f"):
+    return [R(F.col(c), c) for c in ("precision", "recall", last)]
+
 
 BC = """tn AS (SELECT problem, cluster, count(*) AS n FROM tclu GROUP BY ALL), an AS (SELECT problem, cluster, count(*) AS n FROM aclu GROUP BY ALL),
     x AS (SELECT t.problem, t.doc, t.cluster AS tc, a.cluster AS ac, tn.n AS nt, coalesce(an.n, 1) AS na,
@@ -20,7 +24,7 @@ F_SQL = "coalesce(2 * p * r / nullif(p + r, 0), 0)"
 
 @query("cl_bcubed", with_("tclu", "aclu", more=BC) + f"SELECT problem, round(p, 6) AS \"precision\", round(r, 6) AS recall, round({F_SQL}, 6) AS f FROM bc")
 def cl_bcubed(spark, d):
-    return clusters.bcubed(view(spark, d, "tclu"), view(spark, d, "aclu"), ["problem"]).select("problem", *PRF)
+    return clusters.bcubed(view(spark, d, "tclu"), view(spark, d, "aclu"), ["problem"]).select("problem", *_rounded())
 
 
 LINKS = """l AS (SELECT l_suppkey % 20 AS problem, l_partkey AS u, l_suppkey + 100000000 AS v, l_orderkey * 10 + l_linenumber AS ord, ((l_orderkey * 37) % 1009) / 1009::DOUBLE AS score FROM lineitem),
@@ -59,7 +63,7 @@ DZ = """tp AS (SELECT problem, cluster, unnest(range(s, e + 1)) AS x FROM dz_tru
 
 @query("dz_bcubed", with_("dz_truth", "dz_run", more=DZ) + f"SELECT problem, round(p, 6) AS \"precision\", round(r, 6) AS recall, round({F_SQL}, 6) AS f FROM dz")
 def dz_bcubed(spark, d):
-    return clusters.char_bcubed(view(spark, d, "dz_truth"), view(spark, d, "dz_run"), ["problem"]).select("problem", *PRF)
+    return clusters.char_bcubed(view(spark, d, "dz_truth"), view(spark, d, "dz_run"), ["problem"]).select("problem", *_rounded())
 
 
 @query("dz_cases", with_("dz_truth", more="z AS (SELECT problem, cluster, row_number() OVER (PARTITION BY problem ORDER BY sum(e - s) DESC, cluster) AS k FROM dz_truth GROUP BY problem, cluster)")
@@ -107,14 +111,13 @@ def _spans(spark, d):
     return clusters.clean_spans(view(spark, d, "gold_spans")), clusters.clean_spans(view(spark, d, "run_spans"))
 
 
-SPF = [R(F.col(c), c) for c in ("precision", "recall", "f1")]
 F_PR = "coalesce(2 * p * r / nullif(p + r, 0), 0)"
 
 
 @query("sp_micro", with_("gold_spans", "run_spans", more=SP) + f"""SELECT round(p, 6) AS "precision", round(r, 6) AS recall, round({F_PR}, 6) AS f1 FROM
     (SELECT sum(p) / (SELECT count(*) FROM r) AS p, sum(q) / (SELECT count(*) FROM g) AS r FROM o)""")
 def sp_micro(spark, d):
-    return clusters.span_scores(*_spans(spark, d), ["id", "label"]).select(*SPF)
+    return clusters.span_scores(*_spans(spark, d), ["id", "label"]).select(*_rounded("f1"))
 
 
 LABELS = """(SELECT label, coalesce(coalesce(op, 0) / nr, 0) AS p, coalesce(coalesce({q}, 0) / ng, 0) AS r FROM (SELECT label, count(*) AS ng FROM g GROUP BY 1) FULL JOIN (SELECT label, count(*) AS nr FROM r GROUP BY 1) USING (label)
@@ -123,7 +126,7 @@ LABELS = """(SELECT label, coalesce(coalesce(op, 0) / nr, 0) AS p, coalesce(coal
 
 @query("sp_label", with_("gold_spans", "run_spans", more=SP) + f"SELECT label, round(p, 6) AS \"precision\", round(r, 6) AS recall, round({F_PR}, 6) AS f1 FROM " + LABELS.format(q="oq"))
 def sp_label(spark, d):
-    return clusters.span_scores(*_spans(spark, d), ["id", "label"], ["label"]).select("label", *SPF)
+    return clusters.span_scores(*_spans(spark, d), ["id", "label"], ["label"]).select("label", *_rounded("f1"))
 
 
 @query("sp_macro", with_("gold_spans", "run_spans", more=SP) + f"SELECT round(avg(p), 6) AS \"precision\", round(avg(r), 6) AS recall, round(avg({F_PR}), 6) AS f1 FROM " + LABELS.format(q="op"))
