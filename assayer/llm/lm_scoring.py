@@ -76,7 +76,7 @@ class Words:
         self.base = np.log10((counts + 1) / self.base_sum)
         self.base[self.n] = 0.0  # counted with the rest
         suffix = np.array([self.head + self.suffix(w) for w, _ in counted[self.head :]], dtype=np.int32)
-        self.input_of = np.concatenate([np.arange(self.head, dtype=np.int32), suffix])
+        self.input_of = np.concatenate([np.arange(self.head, dtype=np.int32), suffix, [0]]).astype(np.int32)
         prior = np.zeros(self.classes)
         np.add.at(prior, self.class_of[:-1], counts[:-1] + 1)
         prior[-1] = self.rest_sum
@@ -84,6 +84,7 @@ class Words:
         word = np.full(self.head_classes * s.per_class, -30.0)
         word[: self.head] = np.log(counts[: self.head] + 1)
         self.word_prior = word.reshape(self.head_classes, s.per_class).astype(np.float32)
+        self.word_top = self.word_prior.max(axis=1)
         self.start = s.head + SUFFIX_BUCKETS
         self.inputs = self.start + 1
 
@@ -95,16 +96,14 @@ class Words:
         """(targets, inputs, words beyond the lookup) of a whole text with its end token; target ``n`` is a word beyond."""
         words = raw.lower().split()
         words.append(END)
-        targets = np.fromiter(map(self.ids.get, words, repeat(self.n)), np.int32, len(words))
+        targets = np.array(list(map(self.ids.get, words, repeat(self.n))), np.int32)
         beyond = np.flatnonzero(targets == self.n)
         rare = [words[i] for i in beyond.tolist()]
         inputs = np.empty(len(words), np.int32)
         inputs[0] = self.start
-        before = targets[:-1]
-        known = before < self.n
-        inputs[1:][known] = self.input_of[before[known]]
-        if len(beyond) and not known.all():
-            inputs[1:][~known] = [self.head + self.suffix(w) for w in rare[: int((~known).sum())]]
+        inputs[1:] = self.input_of[targets[:-1]]
+        for at, word in zip(beyond.tolist(), rare, strict=True):
+            inputs[at + 1] = self.head + self.suffix(word)  # the end token is never beyond
         return targets, inputs, rare
 
 
@@ -140,54 +139,80 @@ class Network:
         self.updates = 0
 
     def step(self, x: np.ndarray, h: np.ndarray):
-        """One time step for all lanes: (new state, update and reset gates, candidate, its recurrent part)."""
+        """One time step for all lanes: (new state, update and reset gates, candidate, its recurrent part).
+
+        A gate is ``(1 + tanh a) / 2``: the logistic function of 2a, with the factor left to the weights.
+        """
         H = self.s.hidden
         g = h @ self.p["u"]
-        gates = 0.5 * np.tanh(0.5 * (x[:, : 2 * H] + g[:, : 2 * H])) + 0.5
         inner = g[:, 2 * H :]
-        new = np.tanh(x[:, 2 * H :] + gates[:, H:] * inner)
-        return new + gates[:, :H] * (h - new), gates, new, inner
+        gates = g[:, : 2 * H] + x[:, : 2 * H]
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
+        new = gates[:, H:] * inner
+        new += x[:, 2 * H :]
+        np.tanh(new, out=new)
+        out = h - new
+        out *= gates[:, :H]
+        out += new
+        return out, gates, new, inner
 
     def outputs(self, states: np.ndarray, targets: np.ndarray, learn: bool):
-        """Natural log chance of each target but for words beyond the lookup, and gradients of the mean loss if asked."""
+        """Without ``learn`` the natural log chance of each target (of its class, for words beyond the lookup), else the gradient of the mean loss by state; and its gradients by weight."""
         p, n = self.p, len(targets)
         classes = self.w.class_of[targets]
-        logits = states @ p["vc"] + p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        chance = np.exp(logits)
-        total = chance.sum(axis=1)
+        # in the order of the classes each class is one slice
+        order = np.argsort(classes.astype(np.int8) if self.w.classes < 128 else classes, kind="stable")
+        ends = np.cumsum(np.bincount(classes, minlength=self.w.classes)).tolist()
+        states, targets, classes = states[order], targets[order], classes[order]
+        each = np.float32(1 / n)
         rows = np.arange(n)
-        logp = logits[rows, classes] - np.log(total) + self.w.inside[targets]
-        grads, back = {}, None
+        reach = max(float(np.abs(p["vc"]).sum(axis=0).max() + p["bc"].max()), float(np.abs(p["vw"]).sum(axis=2).max() + (p["bw"].max(axis=1) - self.w.word_top).max()))
+        chance = states @ p["vc"]
+        chance += p["bc"]
+        logp, grads, back = None, {}, None
+        if not learn:
+            logp = chance[rows, classes].astype(np.float64) + self.w.inside[targets]
+        total = self._exponentials(chance, reach)
         if learn:
-            chance /= total[:, None]
-            chance[rows, classes] -= 1
-            chance /= n
+            chance *= (each / total)[:, None]
+            chance[rows, classes] -= each
             back = chance @ p["vc"].T
             grads = {"vc": states.T @ chance, "bc": chance.sum(axis=0), "vw": np.zeros_like(p["vw"]), "bw": np.zeros_like(p["bw"])}
-        order = np.argsort(classes, kind="stable")
-        ends = np.cumsum(np.bincount(classes, minlength=self.w.classes))
+        else:
+            logp -= np.log(total)
+        place = targets - classes * self.s.per_class
         at = 0
         for k in range(self.w.head_classes):
-            mine, at = order[at : ends[k]], ends[k]
-            if not len(mine):
+            s, at = slice(at, ends[k]), ends[k]
+            size = s.stop - s.start
+            if not size:
                 continue
-            inner = states[mine]
-            logits = inner @ p["vw"][k].T + p["bw"][k]
-            logits -= logits.max(axis=1, keepdims=True)
-            chance = np.exp(logits)
-            total = chance.sum(axis=1)
-            place = targets[mine] - k * self.s.per_class
-            rows = np.arange(len(mine))
-            logp[mine] += logits[rows, place] - np.log(total)
+            chance = states[s] @ p["vw"][k].T
+            chance += p["bw"][k] - self.w.word_top[k]
+            if not learn:
+                logp[s] += chance[rows[:size], place[s]]
+            total = self._exponentials(chance, reach)
             if learn:
-                chance /= total[:, None]
-                chance[rows, place] -= 1
-                chance /= n
-                back[mine] += chance @ p["vw"][k]
-                grads["vw"][k] = chance.T @ inner
+                chance *= (each / total)[:, None]
+                chance[rows[:size], place[s]] -= each
+                back[s] += chance @ p["vw"][k]
+                grads["vw"][k] = chance.T @ states[s]
                 grads["bw"][k] = chance.sum(axis=0)
-        return logp, grads, back
+            else:
+                logp[s] -= np.log(total)
+        given = np.empty_like(back if learn else logp)
+        given[order] = back if learn else logp
+        return given, grads
+
+    @staticmethod
+    def _exponentials(logits: np.ndarray, reach: float) -> np.ndarray:
+        """Exponentiate in place; the sum of each row. States are within 1, so no logit is over ``reach``; beyond 80, float32 would overflow."""
+        if reach > 80:
+            np.minimum(logits, 80, out=logits)
+        np.exp(logits, out=logits)
+        return logits @ np.ones(logits.shape[1], np.float32)
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray) -> np.ndarray:
         """One truncated window, (steps, lanes): update the weights, return the carried state."""
@@ -202,23 +227,33 @@ class Network:
             trace.append((before, gates, new, inner))
             states[t] = h
         flat = states.reshape(-1, H)
-        _, grads, back = self.outputs(flat, targets.ravel(), True)
+        back, grads = self.outputs(flat, targets.ravel(), True)
         back = back.reshape(steps, lanes, H)
         dx = np.empty((steps, lanes, 3 * H), np.float32)
         dg = np.empty((steps, lanes, 3 * H), np.float32)
         carry = np.zeros((lanes, H), np.float32)
+        turned = np.ascontiguousarray(self.p["u"].T)
         for t in range(steps - 1, -1, -1):
             before, gates, new, inner = trace[t]
             z, r = gates[:, :H], gates[:, H:]
-            d = back[t] + carry
-            dnew = d * (1 - z) * (1 - new * new)
-            dx[t, :, :H] = d * (before - new) * z * (1 - z)
-            dx[t, :, H : 2 * H] = dnew * inner * r * (1 - r)
+            d = back[t]
+            d += carry
+            kept = d * z
+            slope = 2 * gates
+            slope *= 1 - gates
+            dnew = d - kept
+            dnew *= 1 - new * new
+            both, last = dg[t, :, : 2 * H], dg[t, :, 2 * H :]
+            np.multiply(d, before - new, out=both[:, :H])
+            np.multiply(dnew, inner, out=both[:, H:])
+            both *= slope
+            np.multiply(dnew, r, out=last)
+            dx[t, :, : 2 * H] = both
             dx[t, :, 2 * H :] = dnew
-            dg[t, :, : 2 * H] = dx[t, :, : 2 * H]
-            dg[t, :, 2 * H :] = dnew * r
-            carry = (d * z + dg[t] @ self.p["u"].T) * keep[t]
+            kept += dg[t] @ turned
+            carry = kept * keep[t]
         stacked = np.concatenate([b for b, *_ in trace])
+        del trace
         grads["u"] = stacked.T @ dg.reshape(-1, 3 * H)
         for name, g in grads.items():
             self._descend(name, g, slice(None))
@@ -305,7 +340,7 @@ class Network:
                 states.append(h)
                 wanted.append(all_t[places])
                 lanes.append(np.arange(n))
-            logp, _, _ = self.outputs(np.concatenate(states), np.concatenate(wanted), False)
+            logp, _ = self.outputs(np.concatenate(states), np.concatenate(wanted), False)
             totals += np.bincount(np.concatenate(lanes), weights=logp, minlength=len(totals))
             t += steps
         out = np.empty(len(lengths))
