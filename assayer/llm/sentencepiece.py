@@ -5,15 +5,16 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 MARK = "▁"
 #: Stands for a mark that is in the text itself; a lone surrogate is in no valid text.
@@ -55,12 +56,20 @@ PLACE = (1 << 32) - 1
 NEVER = 1 << 31
 
 
-def _drawn(key: int, rank: int, place: int) -> int:
-    """32 bits from a unit's key, a candidate's rank and its place."""
-    x = (key ^ rank * 0x9E3779B1 ^ place * 0x85EBCA6B) & 0xFFFFFFFF
-    x = (x ^ x >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
-    x = (x ^ x >> 12) * 0x297A2D39 & 0xFFFFFFFF
-    return x ^ x >> 15
+GOLDEN = 0x9E3779B97F4A7C15
+
+
+def _mixed(x: int) -> int:
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
+
+
+def _mixed_all(x: np.ndarray) -> np.ndarray:
+    """``_mixed`` of an array."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 class Encoder:
@@ -68,24 +77,28 @@ class Encoder:
 
     A text gets a leading space and its spaces become marks, as the model file asks. No
     piece has a mark behind another character, or a line feed, so merging goes on inside
-    units: marks with what follows up to the next mark or line feed; and inside those, in the
-    stretches between characters that no piece has side by side. In a stretch the agenda
-    holds every pair of neighbours that forms a piece, best score first, then leftmost. A
-    candidate popped off it is skipped if the keyed hash of (seed, variant, stretch; place, piece) falls
-    under the dropout rate. What is left and no piece becomes byte pieces.
-
-    The variant of a unit is a keyed hash of (seed, document, place) into ``variants``
-    values: equal words are segmented in that many ways at most, which lets them be
-    remembered. Of two generations of remembered units the older one is dropped when the younger is full.
+    units: marks with what follows up to the next mark or line feed. In a unit the agenda
+    holds every pair of neighbours that forms a piece, best score first, then leftmost. Each
+    candidate popped off it is skipped with the chance ``dropout``, drawn anew for each
+    occurrence by a keyed hash of (seed, document, place; number of the candidate in its
+    agenda). The hash gives the gaps from one skip to the next, which are geometric if each
+    candidate is drawn by itself. What is left and no piece becomes byte pieces.
+
+    A unit's segmentation is a function of the numbers of its skipped candidates, so it is
+    remembered by those: a node (packed ids, candidates popped, nodes by the next skip) per
+    unit and set of skips, and an occurrence walks from skip to skip until its next one lies
+    behind the last candidate; where a node lacks, the unit is merged. Of two generations of nodes the older one is dropped when the younger is full.
     """
 
-    def __init__(self, vocabulary: Vocabulary, dropout: float = 0.1, seed: int = 11, variants: int = 2):
+    def __init__(self, vocabulary: Vocabulary, dropout: float = 0.1, seed: int = 11):
         self.v = vocabulary
         usable = [i for i in range(len(vocabulary.pieces)) if i not in vocabulary.special]
         self.by_rank = sorted(usable, key=lambda i: (-vocabulary.scores[i], i))
         self.rank = {vocabulary.pieces[i]: r for r, i in enumerate(self.by_rank)}
-        self.limit, self.seed = int(dropout * 2**32), seed
-        self.variants = variants if dropout > 0 else 1
+        self.packed = {vocabulary.pieces[i]: array("i", [i]).tobytes() for i in self.by_rank}
+        self.dropout, self.seed = dropout, seed
+        self.reach = self._reach(dropout)
+        self.reach_all = np.array(self.reach, np.uint64)
         self.text_of = [p.replace(MARK, " ").encode() for p in vocabulary.pieces]
         for b, i in enumerate(vocabulary.bytes_at):
             self.text_of[i] = bytes([b])
@@ -93,52 +106,76 @@ class Encoder:
             self.text_of[i] = b""
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.rank):
             raise ValueError("pieces may have marks at their front only, and no line feed")
-        self.pairs = frozenset(p[i : i + 2] for p in self.rank for i in range(len(p) - 1))
         self.unit = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.older: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.known: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
         self.room = CACHE_ENTRIES
 
-    def merge(self, unit: str, variant: int) -> list[int]:
-        """The ids of one unit."""
-        key = xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), (self.seed * 1_000_003 + variant) & MASK) & 0xFFFFFFFF if self.limit else 0
-        ids: list[int] = []
-        for p in self._merge_heap(unit, key) if len(unit) > 48 else self._merge_list(unit, key):
-            if (r := self.rank.get(p)) is not None:
-                ids.append(self.by_rank[r])
-            else:
-                ids += [self.v.bytes_at[b] for b in p.replace(OWN_MARK, MARK).encode("utf-8", "surrogatepass")]
-        return ids
+    @staticmethod
+    def _reach(dropout: float) -> list[int]:
+        """Ascending: the chances, of 2**64, that a gap has over k candidates, for all k where that is one at least."""
+        chances, chance = [], 2.0**64
+        while dropout > 0 and (chance := chance * (1 - dropout)) >= 1:
+            chances.append(int(chance))
+        return chances[::-1]
+
+    def _gap(self, key: int, number: int) -> int:
+        """The candidates that are kept before the ``number``-th skip under a key, since the skip before it."""
+        if not self.dropout:
+            return NEVER
+        return len(self.reach) - bisect_right(self.reach, _mixed(key + number * GOLDEN & MASK))
+
+    def _ids(self, parts: list[str]) -> bytes:
+        """The packed ids of pieces, and of bytes where there is no piece."""
+        packed = self.packed
+        return b"".join([packed.get(p) or self._as_bytes(p) for p in parts])
+
+    def _as_bytes(self, part: str) -> bytes:
+        return array("i", [self.v.bytes_at[b] for b in part.replace(OWN_MARK, MARK).encode("utf-8", "surrogatepass")]).tobytes()
 
     def _merge_list(self, unit: str, key: int) -> list[str]:
-        """The pieces of a short unit; the agenda is a list over the neighbours, searched for its least rank."""
-        part, at = list(unit), list(range(len(unit)))
-        rank, limit = self.rank.get, self.limit
+        return self._by_list(unit, key, self._gap(key, 1))[0]
+
+    def _merge_heap(self, unit: str, key: int) -> list[str]:
+        return self._by_heap(unit, key, self._gap(key, 1))[0]
+
+    def _by_list(self, unit: str, key: int, skip: int) -> tuple[list[str], int]:
+        """The pieces of a short unit and the candidates popped, of which ``skip`` is the first skipped.
+
+        The agenda is a list over the neighbours, searched for its least rank.
+        """
+        part = list(unit)
+        rank = self.rank.get
         agenda = [rank(a + b, NEVER) for a, b in zip(part, part[1:], strict=False)]
+        popped, number = 0, 1
         while agenda:
             best = min(agenda)
             if best == NEVER:
                 break
             i = agenda.index(best)
-            if limit and _drawn(key, best, at[i]) < limit:
+            popped += 1
+            if popped > skip:
                 agenda[i] = NEVER
+                number += 1
+                skip += 1 + self._gap(key, number)
                 continue
             part[i] = both = part[i] + part[i + 1]
-            del part[i + 1], at[i + 1], agenda[i]
+            del part[i + 1], agenda[i]
             if i < len(agenda):
                 agenda[i] = rank(both + part[i + 1], NEVER)
             if i:
                 agenda[i - 1] = rank(part[i - 1] + both, NEVER)
-        return part
+        return part, popped
 
-    def _merge_heap(self, unit: str, key: int) -> list[str]:
+    def _by_heap(self, unit: str, key: int, skip: int) -> tuple[list[str], int]:
         """The same for a long unit, with a heap."""
         part: list = list(unit)
         n = len(part)
-        rank, limit = self.rank.get, self.limit
+        rank = self.rank.get
         agenda = [(r << 32) | i for i in range(n - 1) if (r := rank(part[i] + part[i + 1])) is not None]
         heapify(agenda)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        popped, number = 0, 1
         while agenda:
             top = heappop(agenda)
             left = top & PLACE
@@ -147,7 +184,10 @@ class Encoder:
             both = part[left] + part[right]
             if rank(both) != top >> 32:
                 continue  # an end has been merged meanwhile
-            if limit and _drawn(key, top >> 32, left) < limit:
+            popped += 1
+            if popped > skip:
+                number += 1
+                skip += 1 + self._gap(key, number)
                 continue
             part[left], part[right] = both, None
             after[left] = further = after[right]
@@ -157,27 +197,44 @@ class Encoder:
                     heappush(agenda, (r << 32) | left)
             if (previous := before[left]) >= 0 and (r := rank(part[previous] + both)) is not None:
                 heappush(agenda, (r << 32) | previous)
-        return [p for p in part if p is not None]
-
-    def _missing(self, unit: str, variant: int) -> bytes:
-        """The packed ids of a unit that the younger generation lacks; its independent stretches are remembered too."""
-        got = self.older[variant].get(unit)
-        if got is None:
-            pairs = self.pairs
-            cuts = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in pairs]
-            if cuts:
-                known = self.known[variant]
-                stretches = [unit[i:j] for i, j in zip([0, *cuts], [*cuts, len(unit)], strict=True)]
-                got = b"".join([known.get(x) or self._missing(x, variant) for x in stretches])
-            else:
-                got = array("i", self.merge(unit, variant)).tobytes()
-        if len(unit) <= 64:
-            if self.room == 0:
-                self.older, self.known = self.known, [{} for _ in range(self.variants)]
-                self.room = CACHE_ENTRIES
-            self.known[variant][unit] = got
+        return [p for p in part if p is not None], popped
+
+    def _segment(self, unit: str, key: int, skip: int) -> tuple[bytes, int]:
+        """The packed ids of an occurrence and the candidates popped."""
+        parts, popped = (self._by_heap if len(unit) > 48 else self._by_list)(unit, key, skip)
+        return self._ids(parts), popped
+
+    def _first(self, unit: str, key: int, skip: int) -> bytes:
+        """The packed ids of an occurrence whose unit the younger generation lacks; kept if nothing was skipped."""
+        if self.room <= 0:
+            self.older, self.known = self.known, {}
+            self.room = CACHE_ENTRIES
+        old = self.older.get(unit)
+        if old is not None:
+            node = self.known[unit] = (old[0], old[1], {})
             self.room -= 1
-        return got
+            return node[0] if skip >= node[1] else self._varied(unit, node, key, skip)
+        ids, popped = self._segment(unit, key, skip)
+        if popped <= skip and len(unit) <= 64:
+            self.known[unit] = (ids, popped, {})
+            self.room -= 1
+        return ids
+
+    def _varied(self, unit: str, node: tuple[bytes, int, dict], key: int, first: int) -> bytes:
+        """The packed ids of an occurrence whose first skip is one of its candidates."""
+        skip, number = first, 1
+        while skip < node[1]:
+            child = node[2].get(skip)
+            number += 1
+            behind = skip + 1 + self._gap(key, number)
+            if child is None:
+                ids, popped = self._segment(unit, key, first)
+                if popped <= behind and self.room > 0:
+                    node[2][skip] = (ids, popped, {})
+                    self.room -= 1
+                return ids
+            node, skip = child, behind
+        return node[0]
 
     def encode(self, text: str, document: int = 0) -> np.ndarray:
         """The ids (int32) of a whole text."""
@@ -186,21 +243,22 @@ class Encoder:
         if MARK in text:
             text = text.replace(MARK, OWN_MARK)
         units = self.unit.findall(MARK + text.replace(" ", MARK))
-        if self.variants > 1:
-            place = np.arange(len(units), dtype=np.uint64) + np.uint64((document * 0x9E3779B97F4A7C15 + self.seed) % 2**64)
-            place = (place ^ (place >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            place = (place ^ (place >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-            ways = ((place >> np.uint64(33)) % np.uint64(self.variants)).tolist()
+        if self.dropout:
+            start = _mixed(_mixed(self.seed & MASK) + document & MASK)
+            keys = _mixed_all(np.arange(1, len(units) + 1, dtype=np.uint64) * np.uint64(GOLDEN) + np.uint64(start))
+            first = len(self.reach) - np.searchsorted(self.reach_all, _mixed_all(keys + np.uint64(GOLDEN)), "right")
+            draws = zip(units, first.tolist(), keys.tolist(), strict=True)
         else:
-            ways = [0] * len(units)
+            draws = zip(units, repeat(NEVER), repeat(0))
         out = []
         known = self.known
-        for unit, way in zip(units, ways, strict=True):
-            got = known[way].get(unit)
-            if got is None:
-                got = self._missing(unit, way)
+        for unit, skip, key in draws:
+            node = known.get(unit)
+            if node is None:
+                out.append(self._first(unit, key, skip))
                 known = self.known
-            out.append(got)
+            else:
+                out.append(node[0] if skip >= node[1] else self._varied(unit, node, key, skip))
         return np.frombuffer(b"".join(out), "<i4")
 
     def decode(self, ids) -> str:
@@ -221,7 +279,7 @@ def _encoder(vocabulary: Vocabulary, *how) -> Encoder:
 
 
 def encode_documents(
-    df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1, seed: int = 11, variants: int = 2
+    df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1, seed: int = 11
 ) -> DataFrame:
     """``id_col``, ids (array of int), n_tokens, lossless (decoding gives the text back) for every whole text.
 
@@ -233,7 +291,7 @@ def encode_documents(
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value, dropout, seed, variants)
+        encoder = _encoder(shared.value, dropout, seed)
         for batch in batches:
             found, same = [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import Counter
 
 import pytest
 
@@ -54,6 +55,34 @@ def test_small_caches_change_nothing(vocabulary, monkeypatch):
     assert sentencepiece.Encoder(vocabulary, 0.2).encode(text, 3).tolist() == whole
 
 
+def _independent_draws(rank, unit, dropout, rng):
+    """Merge-dropout by the book: every pair of neighbours is skipped or merged by a draw of its own."""
+    part, skipped = [(i, c) for i, c in enumerate(unit)], set()
+    while True:
+        pairs = [(rank[a + b], i, a, b) for (i, a), (_, b) in zip(part, part[1:]) if a + b in rank and (i, a, b) not in skipped]
+        if not pairs:
+            return tuple(p for _, p in part)
+        _, i, a, b = min(pairs)
+        if rng.random() < dropout:
+            skipped.add((i, a, b))
+        else:
+            at = next(k for k, (j, _) in enumerate(part) if j == i)
+            part[at : at + 2] = [(i, a + b)]
+
+
+def test_every_occurrence_is_drawn_by_itself(vocabulary):
+    n, rng = 4000, random.Random(2)
+    for dropout in (0.1, 0.4):
+        encoder = sentencepiece.Encoder(vocabulary, dropout)
+        got = Counter(tuple(encoder.encode("international", d).tolist()) for d in range(n))
+        want = Counter(_independent_draws(encoder.rank, "▁international", dropout, rng) for _ in range(n))
+        want = Counter({tuple(encoder.by_rank[encoder.rank[p]] for p in parts): c for parts, c in want.items()})
+        assert len(got) > 10  # a fixed set of segmentations has few
+        assert all(abs(got[x] - want[x]) < 0.04 * n for x in got | want)
+        line = encoder.encode("\n".join(["international"] * 200)).tolist()
+        assert encoder.decode(line) == "\n".join(["international"] * 200)
+
+
 def test_documents_encode_and_decode(spark, vocabulary):
     rows = [*enumerate(TEXTS), (50, None), (None, "no id")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
