@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -85,6 +86,25 @@ def _context(text: str, start: int, end: int) -> tuple[str, str, str]:
     return words[-1] if words else "^", words[-2] if len(words) > 1 else "^", behind[0].lower().strip(edge) if behind else "$"
 
 
+def _united(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of ``spans``, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def _free(taken: tuple[list[int], list[int]], start: int, end: int) -> bool:
+    """Whether a span overlaps none of a union."""
+    at = bisect_left(taken[0], end)
+    return at == 0 or taken[1][at - 1] <= start
+
+
 def mentions(text: str) -> tuple[list, list]:
     """(base spans, mentions); a mention: (kind, start, end, is_base, instance, left, left2, right).
 
@@ -92,19 +112,13 @@ def mentions(text: str) -> tuple[list, list]:
     word with a digit or an at sign: what a pattern must not match.
     """
     base = base_spans(text)
-    taken = sorted((s, e) for _, s, e in base)
     rows = [(k, s, e, True) for k, s, e in base]
-
-    def free(start: int, end: int) -> bool:
-        return all(e <= start or s >= end for s, e in taken)
-
-    if len(taken) <= 200:  # beyond, the text is a list of identifiers and has no prose around them
-        for kind, shape in LOOSE.items():
-            for m in shape.finditer(text):
-                if _loose_fits(kind, m[0]) and free(m.start(), m.end()):
-                    rows.append((kind, m.start(), m.end(), False))
-                    taken.append((m.start(), m.end()))
-        rows += [(OTHER, m.start(), m.end(), False) for m in NUMBER.finditer(text) if free(m.start(), m.end())]
+    taken = _united([(s, e) for _, s, e in base])
+    for kind, shape in LOOSE.items():
+        found = [(m.start(), m.end()) for m in shape.finditer(text) if _loose_fits(kind, m[0]) and _free(taken, m.start(), m.end())]
+        rows += [(kind, s, e, False) for s, e in found]
+        taken = _united([*zip(*taken, strict=True), *found]) if found else taken
+    rows += [(OTHER, m.start(), m.end(), False) for m in NUMBER.finditer(text) if _free(taken, m.start(), m.end())]
     out = []
     for kind, start, end, is_base in rows:
         value = text[start:end]

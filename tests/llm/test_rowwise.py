@@ -197,3 +197,21 @@ def test_lm_base_score(spark):
 @pytest.mark.parametrize("operator", [quality.quality_rules, pii.find_personal_data, sharding.shard_documents, lm_scoring.score_documents, lambda df: mixing.mix_sources(df, {})])
 def test_empty_tables(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_mentions_of_a_text_with_many_base_spans():
+    rng = random.Random(4)
+    parts = ["call +49 30 1234567", "mail joe (at) example dot com", "10.0.0.1", "a@b.example", "room 12", "030 1234 5678", "fe80:1:2:3:4:5:6:7", "word"]
+    for n in (5, 900):
+        text = " ".join(rng.choice(parts) for _ in range(n))
+        base, found = pii.mentions(text)
+        taken = [(s, e) for _, s, e in base]
+        free = lambda m: all(e <= m.start() or s >= m.end() for s, e in taken)
+        want = [(k, s, e, True) for k, s, e in base]
+        for kind, shape in pii.LOOSE.items():
+            new = [m for m in shape.finditer(text) if pii._loose_fits(kind, m[0]) and free(m)]
+            want += [(kind, m.start(), m.end(), False) for m in new]
+            taken += [(m.start(), m.end()) for m in new]
+        want += [(pii.OTHER, m.start(), m.end(), False) for m in pii.NUMBER.finditer(text) if free(m)]
+        assert [m[:4] for m in found] == want
+    assert len(base) > 200 and {m[0] for m in found if not m[3]} >= {0, 1, 3, pii.OTHER}
