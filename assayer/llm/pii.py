@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,7 +31,7 @@ LOOSE = {
     3: re.compile(r"(?<![0-9+(.,-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])(?:[0-9]{2,4}[ .-]){1,3}[0-9]{2,4}(?![0-9.-])"),
 }
 NUMBER = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
-WORD_BEFORE = re.compile(r"[^\x20\x09-\x0D]+")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def luhn(digits: str) -> bool:
@@ -77,13 +78,19 @@ def _loose_fits(kind: int, text: str) -> bool:
     return kind < 2 or (13 <= len(digits) <= 15 and luhn(digits) if kind == 2 else 9 <= len(digits) <= 15)
 
 
-def _context(text: str, start: int, end: int) -> tuple[str, str, str]:
-    """The two words before and the one behind, lower-cased and without edge punctuation."""
-    before = WORD_BEFORE.findall(text, max(0, start - 60), start)[-2:]
-    behind = WORD_BEFORE.search(text, end, min(len(text), end + 60))
+def _short(value: str) -> str:
+    """A value, or a digest behind its start if it is long: different values stay different."""
+    return value if len(value) <= 200 else f"{value[:100]}#{hashlib.sha256(value.encode('utf-8', 'surrogatepass')).hexdigest()}"
+
+
+def _context(text: str, words: tuple[list[int], list[int]], start: int, end: int) -> tuple[str, str, str]:
+    """The two words before and the one behind, lower-cased and without edge punctuation; ``words`` are the starts and ends of all."""
+    starts, ends = words
     edge = ".,;:!?()[]\"'"
-    words = [w.lower().strip(edge) for w in before]
-    return words[-1] if words else "^", words[-2] if len(words) > 1 else "^", behind[0].lower().strip(edge) if behind else "$"
+    i, j = bisect_left(starts, start), bisect_right(ends, end)
+    before = _short(text[starts[i - 1] : min(ends[i - 1], start)].lower().strip(edge)) if i else "^"
+    second = _short(text[starts[i - 2] : ends[i - 2]].lower().strip(edge)) if i > 1 else "^"
+    return before, second, _short(text[max(starts[j], end) : ends[j]].lower().strip(edge)) if j < len(ends) else "$"
 
 
 def _united(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
@@ -119,10 +126,12 @@ def mentions(text: str) -> tuple[list, list]:
         rows += [(kind, s, e, False) for s, e in found]
         taken = _united([*zip(*taken, strict=True), *found]) if found else taken
     rows += [(OTHER, m.start(), m.end(), False) for m in NUMBER.finditer(text) if _free(taken, m.start(), m.end())]
+    places = [m.span() for m in WORD.finditer(text)] if rows else []
+    words = [s for s, _ in places], [e for _, e in places]
     out = []
     for kind, start, end, is_base in rows:
         value = text[start:end]
-        out.append((kind, start, end, is_base, _digits(value) if kind in (2, 3) else value.lower()[:200], *_context(text, start, end)))
+        out.append((kind, start, end, is_base, _digits(value) if kind in (2, 3) else _short(value.lower()), *_context(text, words, start, end)))
     return base, out
 
 

@@ -215,3 +215,15 @@ def test_mentions_of_a_text_with_many_base_spans():
         want += [(pii.OTHER, m.start(), m.end(), False) for m in pii.NUMBER.finditer(text) if free(m)]
         assert [m[:4] for m in found] == want
     assert len(base) > 200 and {m[0] for m in found if not m[3]} >= {0, 1, 3, pii.OTHER}
+
+
+def test_evidence_is_of_whole_values_and_words():
+    a, b = ("x" * 250 + f"@{c}.example" for c in "ab")
+    _, found = pii.mentions(f"{a} {b}")
+    assert len({m[4] for m in found}) == 2  # not one prefix
+    _, found = pii.mentions("left" + " " * 90 + "near" + " " * 90 + "10.0.0.1" + " " * 90 + "Right, " + "y" * 99)
+    assert found[0][5:] == ("near", "left", "right")
+    _, found = pii.mentions("p" * 99 + " 10.0.0.1 " + "q" * 99)
+    assert found[0][5:] == ("p" * 99, "^", "q" * 99)
+    _, found = pii.mentions("ip:10.0.0.1;port")
+    assert found[0][5:] == ("ip", "^", "port")
