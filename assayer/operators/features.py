@@ -149,3 +149,38 @@ def term_frequencies(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def word_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return gram_counts(df, keys, tx.words(F.lower(text)))
+
+
+def impostor_shares(
+    unknown: DataFrame, known: DataFrame, impostors: DataFrame, iterations: int = 100, sample: int = 250, keep: float = 0.5, seed: int = 2019
+) -> DataFrame:
+    """text, author, share: how often an author is no farther from a text than the nearest sampled impostor.
+
+    ``unknown(text, gram, f)``, ``known(author, gram, f)`` (centroids) and ``impostors(other, gram, f)`` hold each gram once.
+    In each iteration a gram is kept with the chance ``keep``, and ``sample`` of all impostors (or as many as there are) are
+    drawn anew for each text, both by keyed hashes. The distance is ``min_max_distance`` over the kept grams. Every
+    text meets every author and its sampled impostors in every iteration; without impostors share is null. Names come out as strings.
+    """
+    rounds = F.explode(F.sequence(F.lit(1), F.lit(iterations)))
+    drawn = lambda *of: F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+    def halved(rows: DataFrame, key: str) -> DataFrame:
+        return rows.select(F.col(key).cast("string").alias("name"), "gram", F.col("f").cast("double").alias("f"), rounds.alias("k")).filter(drawn(F.lit("gram"), "k", "gram") < keep)
+
+    texts = unknown.select(F.col("text").cast("string").alias("text")).distinct()
+    order = Window.partitionBy("text", "k").orderBy(F.xxhash64(F.lit(seed), F.lit("impostor"), "k", "text", "name"), "name")
+    met = texts.crossJoin(impostors.select(F.col("other").cast("string").alias("name")).distinct()).withColumn("k", rounds)
+    met = met.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= sample).select("text", "name", "k", F.lit(False).alias("own"))
+    authors = texts.crossJoin(known.select(F.col("author").cast("string").alias("name")).distinct()).select("text", "name", rounds.alias("k"), F.lit(True).alias("own"))
+    of_text = halved(unknown, "text").withColumnRenamed("name", "text")
+    others = halved(known, "author").withColumn("own", F.lit(True)).unionByName(halved(impostors, "other").withColumn("own", F.lit(False)))
+    pairs = authors.unionByName(met)
+    shared = pairs.join(others, ["name", "k", "own"]).join(of_text.withColumnRenamed("f", "g"), ["text", "k", "gram"])
+    shared = shared.groupBy("text", "name", "k", "own").agg(F.sum(F.least("f", "g")).alias("mn"))
+    sums = pairs.join(others.groupBy("name", "k", "own").agg(F.sum("f").alias("sf")), ["name", "k", "own"], "left")
+    sums = sums.join(of_text.groupBy("text", "k").agg(F.sum("f").alias("sg")), ["text", "k"], "left").join(shared, ["text", "name", "k", "own"], "left")
+    mn, both = F.coalesce("mn", F.lit(0.0)), F.coalesce("sf", F.lit(0.0)) + F.coalesce("sg", F.lit(0.0))
+    far = sums.select("text", "name", "k", "own", F.round(1 - mn / (both - mn + F.lit(1e-6)), 9).alias("distance"))
+    near = far.filter(~F.col("own")).groupBy("text", "k").agg(F.min("distance").alias("near"))
+    won = far.filter("own").join(near, ["text", "k"], "left").withColumn("won", (F.col("distance") <= F.col("near")).cast("double"))
+    return won.groupBy("text", F.col("name").alias("author")).agg(F.avg("won").alias("share"))

@@ -1,6 +1,7 @@
 """Known answers and invariants of the measures."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,3 +200,37 @@ def test_seeds_and_islands_against_brute_force(spark):
     shared = "asharedpassagehere"
     start = keep("Some text, with a shared passage here.").index(shared)
     assert [(r["left_start"], r["left_end"], r["right_start"]) for r in island] == [(start, start + len(shared), 0)]
+
+
+def test_impostor_shares_against_brute_force(spark):
+    rng = random.Random(3)
+    some = lambda names: [(n, g, rng.randrange(1, 9) / 8) for n in names for g in rng.sample("abcdefghijkl", 7)]
+    u, a, o = some(range(4)), some(["x", "y", "z"]), some(range(100, 160, 5))
+    frames = [spark.createDataFrame(r, f"{k}, gram string, f double") for r, k in ((u, "text int"), (a, "author string"), (o, "other int"))]
+    rounds, sample, seed = 25, 5, 7
+    got = {(int(r["text"]), r["author"]): r["share"] for r in features.impostor_shares(*frames, iterations=rounds, sample=sample, seed=seed).collect()}
+
+    ks = spark.range(1, rounds + 1).select(F.col("id").cast("int").alias("k"))
+    hashed = ks.crossJoin(frames[0].select("gram").union(frames[1].select("gram")).union(frames[2].select("gram")).distinct())
+    hashed = hashed.select("k", "gram", (F.pmod(F.xxhash64(F.lit(seed), F.lit("gram"), "k", "gram"), F.lit(1 << 30)) / 2.0**30).alias("u"))
+    kept = {(r["k"], r["gram"]) for r in hashed.collect() if r["u"] < 0.5}
+    drawn = ks.crossJoin(frames[0].select("text").distinct()).crossJoin(frames[2].select("other").distinct())
+    ranks = {(r["k"], r["text"], r["other"]): r["h"] for r in drawn.withColumn("h", F.xxhash64(F.lit(seed), F.lit("impostor"), "k", F.col("text").cast("string"), F.col("other").cast("string"))).collect()}
+
+    def distance(p, q, k):
+        p, q = ({g: f for g, f in x.items() if (k, g) in kept} for x in (p, q))
+        least = sum(min(p.get(g, 0), q.get(g, 0)) for g in p | q)
+        return round(1 - least / (sum(max(p.get(g, 0), q.get(g, 0)) for g in p | q) + 1e-6), 9)
+
+    of = lambda rows, name: {g: f for n, g, f in rows if n == name}
+    want, met = {}, set()
+    for t in range(4):
+        for x in "xyz":
+            wins = 0
+            for k in range(1, rounds + 1):
+                chosen = sorted(range(100, 160, 5), key=lambda n: (ranks[k, t, n], n))[:sample]
+                met |= set(chosen)
+                wins += distance(of(u, t), of(a, x), k) <= min(distance(of(u, t), of(o, n), k) for n in chosen)
+            want[t, x] = wins / rounds
+    assert got == pytest.approx(want) and len(met) == 12
+    assert {r["share"] for r in features.impostor_shares(*frames[:2], frames[2].limit(0), iterations=2).collect()} == {None}
