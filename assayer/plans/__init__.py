@@ -1,5 +1,5 @@
-"""Plan helpers: cutting lineage, size-checked broadcasts."""
+"""Plan helpers: cutting lineage, size-checked broadcasts, joins with hot keys."""
 
-from assayer.plans.materialise import broadcast_if_small, checkpoint_folder, cut
+from assayer.plans.materialise import broadcast_if_small, checkpoint_folder, cut, fresh_names, join_counted, remove_folder
 
-__all__ = ["broadcast_if_small", "checkpoint_folder", "cut"]
+__all__ = ["broadcast_if_small", "checkpoint_folder", "cut", "fresh_names", "join_counted", "remove_folder"]

@@ -38,3 +38,42 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     at ``max_rows + 1`` rows.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, each with underscores behind it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, size: str, how: str = "inner", small: int = 200_000, hot_share: int = 50_000) -> DataFrame:
+    """``left`` joined to ``right``, which has one materialised row per key and the number of left rows of that key as ``size``.
+
+    Up to ``small`` rows of ``right`` are broadcast whole. Beyond that, a key is hot if more than the
+    ``hot_share``-th part of all counted rows (1,000 at least) have it: there are fewer than ``hot_share`` such keys whatever the input, so
+    they are broadcast, and their left rows stay where they are. The other rows are shuffled, and no key of
+    theirs is large. ``how``: inner or left; rows of no counted key are never hot.
+    """
+    if right.limit(small + 1).count() <= small:
+        return left.join(F.broadcast(right), key, how)
+    total = right.agg(F.sum(size)).collect()[0][0]
+    bound = max(1000, total // hot_share)
+    hot = right.filter(F.col(size) > bound)
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    near = left.join(F.broadcast(hot), key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return near.unionByName(rest.join(right.filter(F.col(size) <= bound), key, how))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage, if it is there."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
