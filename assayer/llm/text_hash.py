@@ -8,6 +8,8 @@ import numpy as np
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+#: Power tables up to this length are kept by the process; longer ones, for longer texts, go with the text.
+KEPT_POWERS = 1 << 20
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -15,13 +17,15 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64, n of each at least."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        size = 1 << max(12, (n - 1).bit_length())
+        size = n if n > KEPT_POWERS else 1 << max(12, (n - 1).bit_length())
         made = []
         for b in (base, pow(base, -1, 1 << 64)):
             steps = np.full(size, b, np.uint64)
             steps[0] = 1
             made.append(np.cumprod(steps, dtype=np.uint64))
-        have = _POWERS[base] = (made[0], made[1])
+        have = (made[0], made[1])
+        if n <= KEPT_POWERS:
+            _POWERS[base] = have
     return have
 
 
@@ -43,7 +47,19 @@ def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+    """A 64-bit hash of each word's bytes. A long text is taken in pieces between words, so memory stays small."""
+    if len(data) < KEPT_POWERS or not len(starts):
+        return _word_hashes(data, starts, ends)
+    found, at = [], 0
+    while at < len(starts):
+        low = int(starts[at])
+        end = max(at + 1, int(np.searchsorted(ends, low + KEPT_POWERS - 1, side="right")))
+        found.append(_word_hashes(data[low : int(ends[end - 1])], starts[at:end] - low, ends[at:end] - low))
+        at = end
+    return np.concatenate(found)
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     power, inverse = _powers(BYTE_BASE, len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])

@@ -77,6 +77,15 @@ def test_automaton_statistics():
     assert list(automaton.matching_statistics([1, 2, 4, 4, 7, 3, 1])) == [1, 2, 3, 3, 0, 1, 2]
 
 
+def test_word_hashes_of_long_texts_are_those_of_pieces(monkeypatch):
+    from assayer.llm import text_hash
+
+    raw = b"alpha  beta " + b"x" * 5000 + b" gamma\n" + b"some more words here " * 400
+    whole = text_hash.word_hashes(*text_hash.word_bounds(raw))
+    monkeypatch.setattr(text_hash, "KEPT_POWERS", 64)
+    assert (text_hash.word_hashes(*text_hash.word_bounds(raw)) == whole).all()
+
+
 def test_sliding_min_and_flags():
     values = np.random.default_rng(3).integers(0, 1000, 257).astype(np.uint64)
     assert sliding_min(values, 26).tolist() == [values[i : i + 26].min() for i in range(257 - 25)]
@@ -95,8 +104,9 @@ def test_exact_against_brute_force(spark, corpus):
             ids = [x for x in groups[t or ""] if x is not None]
             top = best(ids) if ids else None
             expected.append((i, top, len(groups[t or ""]), i == top, hashlib.sha256((t or "").encode()).hexdigest()))
-        got = [tuple(r) for r in exact_dedup.exact_dedup(frame(spark, corpus), keep=keep).collect()]
-        assert sorted(got, key=str) == sorted(expected, key=str)
+        for small in (exact_dedup.SMALL, 0):
+            got = [tuple(r) for r in exact_dedup.exact_dedup(frame(spark, corpus), keep=keep, small=small).collect()]
+            assert sorted(got, key=str) == sorted(expected, key=str)
 
 
 def test_drop_copies_keeps_columns_and_one_of_each(spark, corpus):
