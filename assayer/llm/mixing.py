@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +81,60 @@ def leaf_budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], share: f
     return pool.select(*LEVELS, "tokens", "budget")
 
 
+def _placed(df: DataFrame, weights: dict, share: float, max_epochs: int, seed: int, columns: dict[str, Column], max_broadcast: int) -> tuple[DataFrame, Callable, DataFrame]:
+    """(slim, ordered, plan): ``columns`` of ``df``; what adds ``leaf``, ``key`` and ``bucket`` to rows that have them; and the leaves' budgets and ends."""
+    levels = list(LEVELS)
+    slim = cut(df.select(*[c.alias(n) for n, c in columns.items()]))
+    leaves = slim.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"))
+    budgets = leaf_budgets(leaves, weights, share, max_epochs)
+    whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long")
+    budgets = cut(budgets.withColumn("epochs", whole).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")))
+    place = F.struct("budget", "epochs", "rest").alias("leaf")
+
+    def ordered(rows: DataFrame, plan: DataFrame) -> DataFrame:
+        rows = rows.join(broadcast_if_small(plan, max_broadcast), levels, "left")
+        key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("leaf.epochs").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
+        return rows.withColumn("key", key).withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
+
+    sums = ordered(slim, budgets.select(*levels, place)).groupBy(*levels, F.col("leaf.rest").alias("rest"), "bucket").agg(F.sum("n_tokens").alias("t"))
+    upto = F.sum("t").over(Window.partitionBy(*levels).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    ends = sums.withColumn("upto", upto).filter(F.col("upto") > F.col("rest"))
+    ends = ends.groupBy(*levels).agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("t")).alias("before")), "bucket").alias("end"))
+    plan = cut(budgets.join(ends, levels, "left").select(*levels, F.struct("budget", "epochs", "rest", "end").alias("leaf")))
+    return slim, ordered, plan
+
+
+def _copies(inside: Column) -> Column:
+    """How often a row is taken: the whole epochs, and once more inside the prefix. A row without tokens has no part in a prefix."""
+    more = inside & (F.col("leaf.rest") > 0) & (F.col("n_tokens") > 0)
+    return (F.col("leaf.epochs") + more.cast("long")).alias("copies")
+
+
+def _by_place(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(clear, edge) with ``copies``.
+
+    clear: the rows whose range of the seeded order lies before or behind the end of their leaf's prefix. edge: those of
+    the one range in which it ends, about the 4096th part of a leaf, sorted within the leaf.
+    """
+    last = F.coalesce(F.col("leaf.end.bucket"), F.lit(BUCKETS))
+    clear = placed.filter(F.col("bucket") != last).withColumn("copies", _copies(F.col("bucket") < last))
+    order = Window.partitionBy(*LEVELS).orderBy("key", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    edge = placed.filter(F.col("bucket") == last).withColumn("upto", F.col("leaf.end.before") + F.sum("n_tokens").over(order))
+    return clear, edge.withColumn("copies", _copies(F.col("upto") <= F.col("leaf.rest"))).drop("upto")
+
+
+def _columns(id_col: str, text_col: str, lang_col: str, source_col: str, domain: Column | None) -> dict[str, Column]:
+    none = F.lit("(none)")
+    name = F.col(source_col).cast("string")
+    return {
+        "id": F.col(id_col).cast("long"),
+        "domain": F.coalesce(domain if domain is not None else domain_of(name), none),
+        "lang": F.coalesce(F.col(lang_col).cast("string"), none),
+        "source": F.coalesce(name, none),
+        "n_tokens": count_words(F.col(text_col).cast("string")),
+    }
+
+
 def mix_sources(
     df: DataFrame,
     weights: dict[str, dict[str, int]],
@@ -101,43 +157,36 @@ def mix_sources(
 
     The prefix of a leaf is found without sorting it: tokens are summed over 4096
     ranges of the order, and only rows of the one range in which the prefix ends are sorted.
-    A null or empty text has no tokens. Null names form a node called ``(none)``. Repeated rows share
+    A null or empty text has no tokens: it comes with every whole epoch of its leaf, takes no part in a prefix, and a leaf without any
+    tokens has no epoch. Null names form a node called ``(none)``. Repeated rows share
     one place in the order and are taken one after the other. Other columns are not read; an empty table gives an empty result.
     """
-    none = F.lit("(none)")
-    source = F.coalesce(F.col(source_col).cast("string"), none)
-    docs = cut(
-        df.select(
-            F.col(id_col).cast("long").alias("id"),
-            F.coalesce(domain if domain is not None else domain_of(F.col(source_col).cast("string")), none).alias("domain"),
-            F.coalesce(F.col(lang_col).cast("string"), none).alias("lang"),
-            source.alias("source"),
-            count_words(F.col(text_col).cast("string")).alias("n_tokens"),
-        )
-    )
-    leaves = docs.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
-    budgets = leaf_budgets(leaves, weights, share, max_epochs)
-    whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long")
-    budgets = cut(budgets.withColumn("epochs", whole).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")))
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
-    placed = docs.join(broadcast_if_small(budgets, max_broadcast), list(LEVELS)).withColumn("key", key)
-    placed = placed.withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
-    sums = placed.groupBy(*LEVELS, "rest", "bucket").agg(F.sum("n_tokens").alias("t"))
-    upto = F.sum("t").over(Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    ends = sums.withColumn("upto", upto).filter(F.col("upto") > F.col("rest"))
-    ends = cut(ends.groupBy(*LEVELS).agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("t")).alias("before")), "bucket").alias("end")))
-    known = placed.join(broadcast_if_small(ends, max_broadcast), list(LEVELS), "left").withColumns(
-        {"last": F.coalesce("end.bucket", F.lit(BUCKETS)), "before": F.coalesce("end.before", F.lit(0)).cast("long")}
-    )
-    out = [F.col("id").alias(id_col), *LEVELS, "n_tokens", "budget"]
-    clear = known.filter(F.col("bucket") != F.col("last")).select(*out, (F.col("epochs") + (F.col("bucket") < F.col("last")).cast("long")).alias("copies"))
-    order = Window.partitionBy(*LEVELS).orderBy("key", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    edge = known.filter(F.col("bucket") == F.col("last")).withColumn("upto", F.col("before") + F.sum("n_tokens").over(order))
-    return clear.unionByName(edge.select(*out, (F.col("epochs") + (F.col("upto") <= F.col("rest")).cast("long")).alias("copies")))
+    columns = _columns(id_col, text_col, lang_col, source_col, domain)
+    slim, ordered, plan = _placed(df, weights, share, max_epochs, seed, columns, max_broadcast)
+    clear, edge = _by_place(ordered(slim, plan))
+    return clear.unionByName(edge).select(F.col("id").alias(id_col), *LEVELS, "n_tokens", F.col("leaf.budget").alias("budget"), "copies")
 
 
-def take_mixed(df: DataFrame, weights: dict[str, dict[str, int]], id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``df`` that a mix of one epoch takes, with all columns. Ids should be unique."""
-    mixed = mix_sources(df, weights, id_col=id_col, max_epochs=1, **how)
-    taken = mixed.filter(F.col("copies") > 0).select(F.col(id_col).alias("_taken_id")).distinct()
-    return df.join(taken, F.col(id_col).eqNullSafe(F.col("_taken_id")), "left_semi")
+def take_mixed(
+    df: DataFrame,
+    weights: dict[str, dict[str, int]],
+    share: float = 0.5,
+    seed: int = 5,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    source_col: str = "source",
+    domain: Column | None = None,
+    max_broadcast: int = 100_000,
+) -> DataFrame:
+    """The rows of ``df`` that a mix of one epoch takes (``mix_sources`` with ``max_epochs`` 1), with all columns.
+
+    Whole rows go by their range of the seeded order without a shuffle; only those of the range in which a leaf's prefix ends are
+    sorted within the leaf. Nulls, empty texts, ties, repeated rows and empty tables as there; columns of any name are
+    carried through. A leaf without any tokens gives no row.
+    """
+    columns = _columns(id_col, text_col, lang_col, source_col, domain)
+    _, ordered, plan = _placed(df, weights, share, 1, seed, columns, max_broadcast)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+    clear, edge = _by_place(ordered(rows, plan))
+    return clear.unionByName(edge).filter(F.col("copies") > 0).select("row.*")

@@ -117,7 +117,7 @@ ORACLES = {
                      sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('5|' || epochs || '|' || coalesce(doc_id::VARCHAR, 'null')), doc_id
                                          ROWS UNBOUNDED PRECEDING) AS upto
               FROM d JOIN leaf USING (domain, lang, source))
-        SELECT doc_id, domain, lang, source, n_tokens, budget, epochs + (upto <= rest)::BIGINT AS copies FROM o""",
+        SELECT doc_id, domain, lang, source, n_tokens, budget, epochs + (rest > 0 AND n_tokens > 0 AND upto <= rest)::BIGINT AS copies FROM o""",
     "op2_url_filter": """
         WITH u AS (SELECT page_id, url, instr(url, '://') AS p FROM pages),
         r AS (SELECT page_id, CASE WHEN p > 0 THEN substr(url, p + 3) ELSE '' END AS s FROM u),
