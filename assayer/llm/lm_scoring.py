@@ -24,7 +24,7 @@ SUFFIX_BUCKETS = 256
 class Settings:
     """Sizes of the model and of its training.
 
-    lookup: the most frequent words, at most so many, whose counts every task holds.
+    lookup: the most frequent words of up to ``longest_word`` bytes, at most so many, whose counts every task holds.
     head: the most frequent of those, which have outputs of their own, in classes of ``per_class``.
     """
 
@@ -41,6 +41,7 @@ class Settings:
     seed: int = 3
     chunk_tokens: int = 2_000_000
     combiners: int = 8
+    longest_word: int = 256
 
 
 class Words:
@@ -65,7 +66,8 @@ class Words:
         self.class_of = np.where(rank < self.head, rank // s.per_class, np.where(rank < split, self.head_classes, self.head_classes + 1)).astype(np.int32)
         self.class_of[self.n] = self.head_classes + 2
         known = counts[:-1].sum()
-        self.rest_sum = total - known + distinct - self.n + 1
+        self.seen = counts > 0
+        self.rest_sum = max(1, total - known + distinct - int(self.seen.sum()) + 1)
         self.base_sum = total + distinct + 1
         inside = np.zeros(self.n + 1)
         weight = np.zeros(self.classes)
@@ -298,6 +300,9 @@ class Network:
                 done += size
                 if not last:
                     lanes = s.first_lanes if self.updates < 300 else s.lanes
+            if last and done < len(targets):  # fewer than a window: one lane of them all
+                self.learn(inputs[done:, None], targets[done:, None], np.zeros((1, s.hidden), np.float32))
+                done = len(targets)
             kept, have = [(targets[done:], inputs[done:])], len(targets) - done
             return done
 
@@ -372,28 +377,31 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def learn_words(counts: DataFrame, s: Settings) -> Words:
-    """The frequent words for the tasks, at most ``s.lookup``, found by a histogram of counts."""
+    """The frequent words for the tasks, at most ``s.lookup`` of bounded length, found by a histogram of counts."""
+    short = F.octet_length("w") <= s.longest_word
     step = F.floor(F.log(F.col("n")) * 64)
-    found = counts.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens")).collect()  # about 2000 rows at most
+    found = counts.groupBy(F.when(short, step).alias("b")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens")).collect()  # about 2000 rows at most
     least, have = None, 0
-    for r in sorted(found, key=lambda r: -r["b"]):
+    for r in sorted((r for r in found if r["b"] is not None), key=lambda r: -r["b"]):
         have += r["words"]
         if have > s.lookup - 1:
             break
         least = r["b"]
-    frequent = [] if least is None else [(bytes(r["w"]), r["n"]) for r in counts.filter(step >= least).collect()]
+    frequent = [] if least is None else [(bytes(r["w"]), r["n"]) for r in counts.filter(short & (step >= least)).collect()]
     if all(w != END for w, _ in frequent):
         frequent += [(END, r["n"]) for r in counts.filter(F.col("w") == F.lit(END)).collect()] or [(END, 0)]
     distinct = sum(r["words"] for r in found)
-    return Words(frequent, sum(r["tokens"] for r in found), max(distinct, 1), s)
+    return Words(frequent, sum(r["tokens"] for r in found), distinct, s)
+
+
+COPIES = "part int, tokens long, weights binary"
 
 
 def train(docs: DataFrame, words: Words, s: Settings) -> np.ndarray:
     """The weights after one pass over ``docs(id, text)``, in ``s.rounds`` parts by a hash of the id.
 
-    In each round every task trains a copy on its rows, and the copies are averaged by their tokens: a
-    few combining tasks sum the vectors as they stream in, so neither a task nor the driver ever holds more than
-    ``s.combiners`` of them.
+    In each round every task trains a copy on its rows, and the copies are averaged by their tokens in a tree:
+    combining tasks sum about 32 vectors each as they stream in, level by level, until ``s.combiners`` are left for the driver.
     """
     sc = docs.sparkSession.sparkContext
     shared_words = sc.broadcast(words)
@@ -411,20 +419,25 @@ def train(docs: DataFrame, words: Words, s: Settings) -> np.ndarray:
                 )
 
         def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, summed = 0, None
+            total, summed, part = 0, None, TaskContext.get().partitionId()
             for batch in batches:
                 for n, w in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                     mine = np.frombuffer(w.as_py(), np.float32).astype(np.float64) * n
                     summed = mine if summed is None else summed + mine
                     total += n
             if total:
+                mean = (summed / total).astype(np.float32).tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([total], pa.int64()), pa.array([(summed / total).astype(np.float32).tobytes()], pa.binary())], names=["tokens", "weights"]
+                    [pa.array([part], pa.int32()), pa.array([total], pa.int64()), pa.array([mean], pa.binary())], names=["part", "tokens", "weights"]
                 )
 
         mine = docs.filter(F.pmod(F.xxhash64("id", F.lit(s.seed)), F.lit(s.rounds)) == r).select("text")
-        copies = mine.mapInArrow(fit, "part int, tokens long, weights binary").repartition(s.combiners, "part")
-        sums = copies.mapInArrow(combine, "tokens long, weights binary").collect()
+        copies = mine.mapInArrow(fit, COPIES)
+        parts = docs.rdd.getNumPartitions()
+        while parts > 64 * s.combiners:
+            parts = -(-parts // 32)
+            copies = copies.repartition(parts, "part").mapInArrow(combine, COPIES)
+        sums = copies.repartition(s.combiners, "part").mapInArrow(combine, COPIES).collect()
         if sums:
             total = sum(x["tokens"] for x in sums)
             flat = sum(np.frombuffer(x["weights"], np.float32).astype(np.float64) * (x["tokens"] / total) for x in sums).astype(np.float32)
@@ -453,7 +466,7 @@ def _score(words, weights, s: Settings):
                 goal, given, rare = known.encode(t.as_py() or b"")
                 # the first item stands for the document; its key is no word
                 items = [{"w": b" %d" % uid, "n": 0}, *({"w": w, "n": n} for w, n in Counter(rare).items())]
-                rows.append((uid, id_, held, len(goal), len(goal) - len(rare), float(known.base[goal].sum()), items))
+                rows.append((uid, id_, held, len(goal), int(known.seen[goal].sum()), float(known.base[goal].sum()), items))
                 targets.append(goal)
                 inputs.append(given)
                 uid, have = uid + 1, have + len(goal)
@@ -485,7 +498,9 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null texts count as empty: they have the end token alone. Rows with a null id are trained on. Repeated rows each
     count and come out. Other columns are not read; an empty table gives an empty result. The weights depend on how rows are
-    split into tasks, as the copies of the network are averaged; a task that is repeated gives the same copy.
+    split into tasks, as the copies of the network are averaged; a task that is repeated gives the same copy. Documents are told apart by
+    task and row, so rows must come in the same order if a task is repeated, as they do from files; ``cut`` others first.
+    Without any training row no word is known and base_score is 0.
     """
     s = settings or Settings()
     sc = df.sparkSession.sparkContext

@@ -232,6 +232,23 @@ def test_network_is_the_unigram_model_before_and_better_after_training():
     assert alone == pytest.approx(score()[3], abs=1e-3)
 
 
+def test_every_token_is_trained():
+    docs = [b"a b c d e"] * 2
+    counts = {w: 2 for w in (b"a", b"b", b"c", b"d", b"e", END)}
+    for n in (1, 2):
+        s = Settings(head=8, per_class=4, hidden=4)
+        net = Network(Words(list(counts.items()), 12, 6, s), s)
+        assert net.fit(iter(docs[:n])) == 6 * n and net.updates == 1
+        assert (net.p["vc"] != 0).any()
+
+
+def test_lm_without_training_rows(spark):
+    held = [i for i in range(60) if __import__("zlib").crc32(str(i).encode()) % 7 == 2]
+    rows = [(i, "three words here") for i in held]
+    for r in lm_scoring.score_documents(frame(spark, rows)).collect():
+        assert r["held_out"] and (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (4, 0, 0, 0.0)
+
+
 def test_lm_base_score(spark):
     import math
     import zlib
@@ -245,7 +262,7 @@ def test_lm_base_score(spark):
             for w in tokens(t):
                 counts[w] = counts.get(w, 0) + 1
     n, v = sum(counts.values()), len(counts)
-    for settings in (Settings(), Settings(lookup=4, head=2, per_class=2)):
+    for settings in (Settings(), Settings(lookup=4, head=2, per_class=2), Settings(longest_word=2)):
         got = sorted(map(tuple, lm_scoring.score_documents(frame(spark, rows), settings=settings).collect()), key=str)
         expected = []
         for i, t in rows:
