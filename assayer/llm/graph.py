@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.plans import cut
+from assayer.plans import cut, join_counted
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label) for every node of ``links(a, b)``; label: the least node of its component.
 
     Each round every node takes the least label among its own and its neighbours',
-    then the label of that label, so that long chains halve. Rounds go on until no
+    then the label of that label, so that long chains halve; a label of many nodes is broadcast to them. Rounds go on until no
     label changes. Labels live in the shared checkpoint folder between rounds; the
     driver sees only the number of changes.
     """
@@ -20,13 +20,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
     for _ in range(max_rounds):
         near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, labels.node == near.a).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("further"))
-        new = cut(
-            hooked.join(jump, hooked.label == jump.via, "left").select(
-                "node", F.least("label", F.coalesce("further", "label")).alias("label"), (F.least("label", F.coalesce("further", "label")) != F.col("old")).alias("moved")
-            )
-        )
+        hooked = cut(labels.join(near, labels.node == near.a).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old")))
+        roots = hooked.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+        jump = cut(labels.select(F.col("node").alias("via"), F.col("label").alias("further")).join(roots, F.col("via") == roots.label).select("label", "further", "n"))
+        least = F.least("label", F.coalesce("further", "label"))
+        new = cut(join_counted(hooked, jump, "label", "n", "left").select("node", least.alias("label"), (least != F.col("old")).alias("moved")))
         labels = new.select("node", "label")
         if new.filter("moved").isEmpty():
             return labels

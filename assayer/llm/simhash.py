@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm.graph import components
-from assayer.plans import cut
+from assayer.plans import cut, join_counted
 
 BITS = 64
 
@@ -114,32 +114,25 @@ def similar_fingerprints(fps: DataFrame, distance: int = 2, segments: int = 16,
 
 
 def simhash_groups(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2, segments: int = 16, bucket_cap: int = 64
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2, segments: int | None = None, bucket_cap: int = 64
 ) -> DataFrame:
     """One row per row of ``df``: id, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest id reachable over links of at most ``distance``
     differing bits, the row's own included. Equal fingerprints meet before any pair
-    is made, so a group of copies costs one row. Null ids take no part in the minimum
+    is made, so a group of copies costs one row. Without ``segments``, 16 of them give keys of 28 bits; from 2**26 distinct fingerprints
+    on, 64 give 31. Null ids take no part in the minimum
     (a component of null ids only has null). Repeated rows each come out; other columns are not
     read; an empty table gives an empty result.
     """
     marked = cut(fingerprints(df, id_col, text_col, width))
-    distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")))
+    if segments is None:
+        segments = 16 if distinct.count() < 1 << 26 else 64
     labels = components(similar_fingerprints(distinct.select("fp"), distance, segments, bucket_cap))
-    member = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    smallest = member.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = member.join(smallest, "label").select("fp", "component_id")
-    return marked.join(named, "fp").select(
+    member = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least", "rows", F.coalesce("label", "fp").alias("label"))
+    smallest = member.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = cut(join_counted(member, cut(smallest), "label", "n").select("fp", "component_id", "rows"))
+    return join_counted(marked, named, "fp", "rows").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
-
-
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``df`` whose id is their component's smallest, with all columns.
-
-    Of repeated rows all stay, for they are one document; deduplicate exactly first.
-    """
-    groups = simhash_groups(df, id_col, text_col, **how)
-    stay = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stay_id")).distinct()
-    return df.join(stay, F.col(id_col).eqNullSafe(F.col("_stay_id")), "left_semi")

@@ -5,8 +5,9 @@ import random
 
 import numpy as np
 import pytest
+from brute import brute_near
 
-from assayer.llm import exact_dedup, graph, simhash, substring_dedup
+from assayer.llm import exact_dedup, graph, near_copies, simhash, substring_dedup
 from assayer.llm.text_hash import covered, repeated, sliding_min
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -166,6 +167,34 @@ def test_simhash_groups_against_brute_force(spark):
         assert got == expected
 
 
+def test_near_groups_against_brute_force(spark):
+    rng = random.Random(3)
+
+    def changed(t, n):
+        w = t.split()
+        for k in rng.sample(range(len(w)), n):
+            w[k] = f"c{rng.randrange(10**6)}"
+        return " ".join(w)
+
+    base = [words(rng, 200) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows += [(100 + 10 * i + k, changed(t, k)) for i, t in enumerate(base) for k in (1, 2, 8)]
+    crowd = words(rng, 300)
+    rows += [(1000 + k, changed(crowd, 1 + k % 3)) for k in range(60)]
+    rows += [(2000, None), (2001, ""), (2002, " "), (2003, "a b"), (2004, "A  b"), (2005, "a c"), (None, base[0]), (5, base[5]), (7, "x " * 4000)]
+    expected = sorted(((i, g) for (i, _), g in zip(rows, brute_near(rows), strict=True)), key=str)
+    for cap in (64, 2):
+        got = near_copies.near_groups(frame(spark, rows), bucket_cap=cap, small=100 if cap == 64 else 0).select("doc_id", "component_id")
+        assert sorted(map(tuple, got.collect()), key=str) == expected
+    # keys of 28 bits on more bits, as for large tables
+    got = near_copies.near_groups(frame(spark, rows[:60]), bits=4096, chain=7).select("doc_id", "component_id")
+    few = brute_near(rows[:60])
+    assert sorted(map(tuple, got.collect())) == sorted((i, g) for (i, _), g in zip(rows[:60], few, strict=True))
+    kept = near_copies.drop_near_copies(frame(spark, rows))
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, g in expected if i == g)
+
+
 def test_fingerprint_hash_is_sparks(spark):
     from pyspark.sql import functions as F
 
@@ -189,6 +218,6 @@ def test_components_of_a_chain(spark):
     assert all(labels[i] == 0 for i in range(41)) and labels[101] == 100
 
 
-@pytest.mark.parametrize("operator", [exact_dedup.exact_dedup, simhash.simhash_groups, substring_dedup.dedup_substrings])
+@pytest.mark.parametrize("operator", [exact_dedup.exact_dedup, exact_dedup.drop_copies, simhash.simhash_groups, near_copies.near_groups, near_copies.drop_near_copies, substring_dedup.dedup_substrings])
 def test_empty_tables(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from brute import brute_mix, brute_quality
 
 from assayer.llm import lm_scoring, mixing, pii, quality, sharding, url_filter
 from assayer.llm.lm_scoring import END, Network, Settings, Words
@@ -80,16 +81,6 @@ def test_place_against_key_by_key():
     assert got == expected
 
 
-def brute_quality(text):
-    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-    places = {}
-    for k in range(len(w) - 4):
-        places.setdefault(tuple(w[k : k + 5]), []).append(k)
-    inside = {k + j for ks in places.values() if len(ks) > 1 for k in ks for j in range(5)}
-    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(inside)
-
-
 def test_quality_measures(spark):
     rng = random.Random(4)
     texts = [None, "", " \n\t", "a b c", "é# ü* " * 40, "one two three four five six seven eight nine ten\n" * 3, "x" * 50000]
@@ -143,53 +134,6 @@ def test_mixing_budgets_and_prefixes(spark):
     assert mixing.take_mixed(df, {}, share=1.0).count() == len(rows)
 
 
-def brute_mix(rows, weights, share, max_epochs, seed=5):
-    """Budgets by filling one token of room at a time would be slow: raise a common level until the pool is spent; prefixes by a plain walk."""
-    import hashlib
-
-    docs = [(i, domain, lang, source, len((t or "").split())) for i, t, domain, lang, source in rows]
-
-    def fill(children, pool):
-        got, full = {}, set()
-        while True:
-            free = {c: w for c, (room, w) in children.items() if c not in full}
-            left = pool - sum(children[c][0] for c in full)
-            total = sum(free.values())
-            over = [c for c, w in free.items() if w == 0 or children[c][0] * total <= left * w]
-            if not over:
-                got = {c: (children[c][0] if c in full else min(children[c][0], left * w // total)) for c, w in {**dict.fromkeys(full, 0), **free}.items()}
-                return got
-            for c in over:
-                if free[c] == 0:
-                    children[c] = (0, 0)
-            full |= set(over)
-
-    def below(path):
-        return sum(n for _, *p, n in docs if tuple(p[: len(path)]) == path) * max_epochs
-
-    def spread(path, pool):
-        if len(path) == 3:
-            return {path: pool}
-        names = sorted({p[len(path)] for _, *p, _ in docs if tuple(p[: len(path)]) == path})
-        of = weights.get(mixing.LEVELS[len(path)], {})
-        budgets = fill({c: (below((*path, c)), of.get(c, 1)) for c in names}, pool)
-        return {k: v for c in names for k, v in spread((*path, c), budgets[c]).items()}
-
-    budgets = spread((), int(sum(d[-1] for d in docs) * share))
-    out = []
-    for leaf, budget in budgets.items():
-        mine = [(i, n) for i, *p, n in docs if tuple(p) == leaf]
-        tokens = sum(n for _, n in mine)
-        epochs = budget // tokens if tokens else 0
-        rest = budget - epochs * tokens
-        key = lambda x: (hashlib.md5(f"{seed}|{epochs}|{'null' if x[0] is None else x[0]}".encode()).hexdigest(), x[0] or 0, x[1])  # noqa: E731,B023
-        used = 0
-        for i, n in sorted(mine, key=key):
-            used += n
-            out.append((i, *leaf, n, budget, epochs + (0 < n and used <= rest)))
-    return sorted(out, key=str)
-
-
 @pytest.mark.parametrize(("share", "epochs"), [(0.5, 2), (2.0, 2), (0.9, 1), (1.0, 1)])
 def test_mixing_against_a_plain_walk(spark, share, epochs):
     from pyspark.sql import functions as F

@@ -5,9 +5,9 @@ import random
 from collections import Counter
 
 import pytest
+from brute import brute_kept, brute_mix, brute_near
 
-from assayer.llm import mixing, queries, sentencepiece, simhash
-from assayer.llm.quality import GRAM_LIMITS, LINE_LIMIT, measure
+from assayer.llm import queries, sentencepiece
 
 pytestmark = pytest.mark.skipif(not os.path.exists(queries.PIECE_MODEL), reason="no model file")
 TEXTS = ["", " ", "  a  b ", "\n\n x\n", "日本 語 ▁ ok", "Ünï cödé, thea.\tend ", "word " * 300, "x" * 3000, "\u0000\x7f", "👍🏽 fine"]
@@ -98,22 +98,31 @@ def test_pipeline_against_plain_python(spark, tmp_path, vocabulary):
 
     rng = random.Random(9)
     text = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
-    rows = [(i, text(rng.randrange(5, 90))) for i in range(60)]
+
+    def changed(t, n):
+        w = t.split()
+        for k in rng.sample(range(len(w)), n):
+            w[k] = "changed"
+        return " ".join(w)
+
+    rows = [(i, text(rng.randrange(5, 90))) for i in range(60)] + [(70 + i, text(150)) for i in range(20)]
     rows += [(100 + i, rows[i][1]) for i in range(10)] + [(200 + i, rows[20 + i][1] + " tail") for i in range(10)] + [(300, "spam spam " * 50), (301, None)]
+    rows += [(400 + i, changed(rows[60 + i][1], 1 + i % 3)) for i in range(20)] + [(500 + i, changed(rows[60 + i][1], 12)) for i in range(20)]
     full = [(i, t, ("en", "de")[i % 2], f"src{i % 5}", len(t or "")) for i, t in rows]
     df = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long")
     df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: list(r["ids"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-
-    left = [r for r in full if measure((r[1] or "").encode(), GRAM_LIMITS, LINE_LIMIT)[-1]]
-    best = {}
-    for r in left:
-        best[r[1]] = min(r[0], best.get(r[1], r[0]))
-    left = [r for r in left if best[r[1]] == r[0]]
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.simhash_groups(spark.createDataFrame(left, df.schema)).collect()}
-    left = [r for r in left if groups[r[0]] == r[0]]
-    mixed = mixing.mix_sources(spark.createDataFrame(left, df.schema), queries.MIX_WEIGHTS, queries.MIX_SHARE, max_epochs=1)
-    taken = {r["doc_id"] for r in mixed.collect() if r["copies"]}
+    encoded = corpus_pipeline.run(spark, str(tmp_path))
+    got = {r["doc_id"]: list(r["ids"]) for r in encoded.collect()}
+
+    left = [r for r in full if brute_kept(r[1])]
+    left = [r for r in left if r[0] == min(x[0] for x in left if x[1] == r[1])]
+    groups = brute_near([r[:2] for r in left])
+    left = [r for r, g in zip(left, groups, strict=True) if r[0] == g]
+    domain = lambda source: f"d{int(source[3:]) % 4}"
+    mixed = brute_mix([(i, t, domain(s), lang, s) for i, t, lang, s, _ in left], queries.MIX_WEIGHTS, queries.MIX_SHARE, 1)
+    taken = {r[0] for r in mixed if r[-1]}
+    texts = {r[0]: r[1] for r in left}
+    assert set(got) == taken and 300 not in got and 0 < len(got) < len(left)
     encoder = sentencepiece.Encoder(vocabulary, 0.1, 11)
-    assert got == {i: encoder.encode(t, i).tolist() for i, t, *_ in left if i in taken}
-    assert 300 not in got and 0 < len(got) < len(left)
+    assert all(encoder.decode(ids) == texts[i] and ids == encoder.encode(texts[i], i).tolist() for i, ids in got.items())
+    assert sum(400 <= r[0] < 420 for r in left) < 3 and sum(500 <= r[0] for r in left) == 20
