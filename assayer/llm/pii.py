@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,15 +15,16 @@ from pyspark.sql import functions as F
 
 from assayer.plans import broadcast_if_small, cut
 
-KINDS = ("email", "ip", "card", "phone")
-OTHER = len(KINDS)
+#: The first four have fixed shapes; a secret has none, its spans all come from contexts.
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE, SECRET, OTHER = 4, 4, len(KINDS)
 
 LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-MAYBE = re.compile(rb"[0-9@]|dot")
+MAYBE = re.compile(rb"[0-9@]|dot")  # any base span, key or loose shape has one of these
 
 #: Shapes that may be an identifier if the words around them say so; by kind.
 LOOSE = {
@@ -30,8 +33,12 @@ LOOSE = {
     2: re.compile(r"(?<![0-9+.,-])[0-9]{4}(?:[ -][0-9]{4,6})[ -][0-9]{4,5}(?![0-9.-])"),
     3: re.compile(r"(?<![0-9+(.,-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])(?:[0-9]{2,4}[ .-]){1,3}[0-9]{2,4}(?![0-9.-])"),
 }
-NUMBER = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+#: Seeds of secrets: hexadecimal keys of usual lengths with letters and digits.
+KEY = re.compile(r"(?<![0-9A-Za-z])(?=[a-f]*[0-9])(?=[0-9]*[a-f])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: What a word must hold to be an identifier in the slot of a pattern.
+LIKELY = re.compile(r"[0-9@_]")
+EDGE = ".,;:!?()[]{}<>\"'`"
 
 
 def luhn(digits: str) -> bool:
@@ -83,16 +90,6 @@ def _short(value: str) -> str:
     return value if len(value) <= 200 else f"{value[:100]}#{hashlib.sha256(value.encode('utf-8', 'surrogatepass')).hexdigest()}"
 
 
-def _context(text: str, words: tuple[list[int], list[int]], start: int, end: int) -> tuple[str, str, str]:
-    """The two words before and the one behind, lower-cased and without edge punctuation; ``words`` are the starts and ends of all."""
-    starts, ends = words
-    edge = ".,;:!?()[]\"'"
-    i, j = bisect_left(starts, start), bisect_right(ends, end)
-    before = _short(text[starts[i - 1] : min(ends[i - 1], start)].lower().strip(edge)) if i else "^"
-    second = _short(text[starts[i - 2] : ends[i - 2]].lower().strip(edge)) if i > 1 else "^"
-    return before, second, _short(text[max(starts[j], end) : ends[j]].lower().strip(edge)) if j < len(ends) else "$"
-
-
 def _united(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     """Starts and ends of the union of ``spans``, in order."""
     starts: list[int] = []
@@ -113,113 +110,247 @@ def _free(taken: tuple[list[int], list[int]], start: int, end: int) -> bool:
 
 
 def mentions(text: str) -> tuple[list, list]:
-    """(base spans, mentions); a mention: (kind, start, end, is_base, instance, left, left2, right).
-
-    Mentions hold the base spans, the loose shapes that overlap none, and as kind ``OTHER`` every other
-    word with a digit or an at sign: what a pattern must not match.
-    """
+    """(base spans, mentions): a mention (kind, start, end, is_seed) is a base span, a key (the seeds), or a loose shape that overlaps none of those."""
     base = base_spans(text)
-    rows = [(k, s, e, True) for k, s, e in base]
     taken = _united([(s, e) for _, s, e in base])
-    for kind, shape in LOOSE.items():
-        found = [(m.start(), m.end()) for m in shape.finditer(text) if _loose_fits(kind, m[0]) and _free(taken, m.start(), m.end())]
-        rows += [(kind, s, e, False) for s, e in found]
+    rows = [(k, s, e, True) for k, s, e in base]
+    shapes = [(SECRET, KEY), *LOOSE.items()]
+    for kind, shape in shapes:
+        found = [(m.start(), m.end()) for m in shape.finditer(text) if (kind == SECRET or _loose_fits(kind, m[0])) and _free(taken, m.start(), m.end())]
+        rows += [(kind, s, e, kind == SECRET) for s, e in found]
         taken = _united([*zip(*taken, strict=True), *found]) if found else taken
-    rows += [(OTHER, m.start(), m.end(), False) for m in NUMBER.finditer(text) if _free(taken, m.start(), m.end())]
-    places = [m.span() for m in WORD.finditer(text)] if rows else []
-    words = [s for s, _ in places], [e for _, e in places]
-    out = []
-    for kind, start, end, is_base in rows:
-        value = text[start:end]
-        out.append((kind, start, end, is_base, _digits(value) if kind in (2, 3) else _short(value.lower()), *_context(text, words, start, end)))
-    return base, out
+    return base, rows
+
+
+def units(text: str, rows: list) -> tuple[list[str], list[tuple[int, int, int]]]:
+    """The text as a sequence of units, one for each mention (overlapping ones share one) and each word outside them.
+
+    Returns their normal forms (``<kind>`` for a mention, else the word lower-cased and without edge punctuation; words of punctuation alone are no
+    units), and (start, end, number of the mention in ``rows`` or -1).
+    """
+    names: list[str] = []
+    places: list[tuple[int, int, int]] = []
+
+    def words(start: int, end: int) -> None:
+        for m in WORD.finditer(text, start, end):
+            raw = m[0]
+            left = len(raw) - len(raw.lstrip(EDGE))
+            word = raw.strip(EDGE)
+            if word:
+                names.append(_short(word.lower()))
+                places.append((m.start() + left, m.start() + left + len(word), -1))
+
+    at = 0
+    for n in sorted(range(len(rows)), key=lambda n: (rows[n][1], -rows[n][2])):
+        kind, start, end, _ = rows[n]
+        if start < at:
+            continue  # shares the unit of the mention it overlaps
+        words(at, start)
+        names.append(f"<{KINDS[kind]}>")
+        places.append((start, end, n))
+        at = end
+    words(at, len(text))
+    return names, places
+
+
+def patterns_at(names: list[str], i: int) -> tuple[str, str, str, str]:
+    """The patterns around unit i: the unit before, the two before, the one behind, both neighbours."""
+    left = names[i - 1] if i else "^"
+    second = names[i - 2] if i > 1 else "^"
+    right = names[i + 1] if i + 1 < len(names) else "$"
+    return f"L {left}", f"LL {second} {left}", f"R {right}", f"B {left} {right}"
+
+
+def _instance(kind: int, value: str) -> str:
+    return _digits(value) if kind in (2, 3) else _short(value.lower())
 
 
 SPAN = pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
-MENTION = pa.struct(
-    [("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("base", pa.bool_()), *((n, pa.string()) for n in ("inst", "l", "l2", "r"))]
-)
-SCANNED = (
-    "id long, th long, base array<struct<k:int,s:int,e:int>>, "
-    "found array<struct<k:int,s:int,e:int,base:boolean,inst:string,l:string,l2:string,r:string>>"
-)
+MENTION = pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("seed", pa.bool_()), ("inst", pa.string()), ("around", pa.list_(pa.string()))])
+SCANNED = "id long, th long, base array<struct<k:int,s:int,e:int>>, found array<struct<k:int,s:int,e:int,seed:boolean,inst:string,around:array<string>>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The base spans of each text, and its mentions; seeds with the patterns around them."""
     for batch in batches:
-        bases, rows = [], []
+        bases, found = [], []
         for t in batch.column(2).cast(pa.binary()):
             raw = t.as_py() or b""
-            base, found = mentions(raw.decode("utf-8", "replace")) if MAYBE.search(raw) else ([], [])
+            base, rows, mine = [], [], []
+            if MAYBE.search(raw):
+                text = raw.decode("utf-8", "replace")
+                base, rows = mentions(text)
+                names, places = units(text, rows) if rows else ([], [])
+                around = {n: list(patterns_at(names, i)) for i, (_, _, n) in enumerate(places) if n >= 0}
+                for n, (k, s, e, seed) in enumerate(rows):
+                    mine.append({"k": k, "s": s, "e": e, "seed": seed, "inst": _instance(k, text[s:e]), "around": around.get(n, []) if seed else []})
             bases.append([dict(zip("kse", b, strict=True)) for b in base])
-            rows.append([dict(zip(("k", "s", "e", "base", "inst", "l", "l2", "r"), m, strict=True)) for m in found])
+            found.append(mine)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(bases, pa.list_(SPAN)), pa.array(rows, pa.list_(MENTION))], names=["id", "th", "base", "found"]
+            [batch.column(0), batch.column(1), pa.array(bases, pa.list_(SPAN)), pa.array(found, pa.list_(MENTION))], names=["id", "th", "base", "found"]
         )
 
 
+FILLED = "pid int, n long, id long, th long, s int, e int, k int, seed boolean, inst string, pids array<int>"
+FILLED_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.int32())]
+FILLED_NAMES = ["pid", "n", "id", "th", "s", "e", "k", "seed", "inst", "pids"]
+
+
+def _fill(shared):
+    """What fills the slots of the candidate patterns in the whole corpus: rows (id, th, s, e, k, seed, inst, pids) for mentions and
+    words like identifiers, and rows (pid, n) that count all other words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, lefts = shared.value
+        plain: Counter = Counter()
+        for batch in batches:
+            rows = []
+            for i, th, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+                text = (t.as_py() or b"").decode("utf-8", "replace")
+                names, places, found = None, None, ()
+                if LIKELY.search(text) or MAYBE.search(text.encode()):
+                    _, found = mentions(text)
+                    names, places = units(text, found)
+                    likely = [n >= 0 or LIKELY.search(w) is not None for w, (_, _, n) in zip(names, places, strict=True)]
+                else:
+                    names = [_short(x) for w in text.lower().translate(BLANKS).split(" ") if (x := w.strip(EDGE))]
+                    likely = None
+                second, left = "^", "^"
+                for at, name in enumerate(names):
+                    right = names[at + 1] if at + 1 < len(names) else "$"
+                    hits = []
+                    if left in lefts:
+                        hits = [p for p in (ids.get("L " + left), ids.get(f"LL {second} {left}"), ids.get(f"B {left} {right}")) if p is not None]
+                    if (p := ids.get("R " + right)) is not None:
+                        hits.append(p)
+                    if hits:
+                        if likely is None or not likely[at]:
+                            plain.update(hits)
+                        else:
+                            s, e, n = places[at]
+                            kind, seed = (found[n][0], found[n][3]) if n >= 0 else (OTHER, False)
+                            rows.append((None, None, i, th, s, e, kind, seed, _instance(kind, text[s:e]), hits))
+                    second, left = left, name
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), FILLED_TYPES, strict=True)], names=FILLED_NAMES)
+        if plain:
+            none = [None] * len(plain)
+            columns = [list(plain), list(plain.values()), *[none] * 8]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, FILLED_TYPES, strict=True)], names=FILLED_NAMES)
+
+    return run
+
+
+#: White space other than blanks, as blanks.
+BLANKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
+
+
 def _spans_text(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     one = lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))
     return F.array_join(F.transform(F.array_sort(spans), one), ",")
 
 
-def discover(scanned: DataFrame, rounds: int = 3, min_support: int = 5, min_score: float = 0.8, min_confidence: float = 0.9) -> tuple[DataFrame, DataFrame]:
-    """(patterns, instances) induced from the seed entities of ``scanned``.
+def candidate_patterns(scanned: DataFrame, min_support: int, support_share: float) -> list[tuple[str, int]]:
+    """(pattern, kind) of the patterns around at least ``min_support`` distinct seeds of a kind, and at least ``support_share`` of all distinct seeds.
 
-    A pattern is the word before, the two words before, the word behind, or both
-    neighbours. Its score for a kind is the confidence it has gathered over its distinct
-    instances of that kind, divided by all its distinct instances, numbers of no kind
-    included; it counts from ``min_support`` seeds on. An instance's confidence is
-    the chance that any of its patterns is right, ``1 - prod(1 - score)``; seeds have 1.
-    Scores and confidences feed each other for some rounds. Only patterns around a
-    candidate are scored, and of each round only the candidates' confidences are kept.
+    A seed has four patterns, so there are at most ``4 / support_share`` of them whatever the input; the driver holds these.
+    """
+    seeds = scanned.select(F.explode("found").alias("m")).filter("m.seed").select("m.k", "m.inst", "m.around")
+    seeds = cut(seeds.select("k", "inst", F.explode("around").alias("pattern")).distinct())
+    distinct = seeds.select("k", "inst").distinct().count()
+    least = max(min_support, math.ceil(support_share * distinct))
+    found = seeds.groupBy("pattern", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    return [(r["pattern"], r["k"]) for r in found.collect()]
+
+
+def rate_patterns(
+    filled: DataFrame, kinds: DataFrame, min_support: int, min_score: float, tolerance: float = 1e-6, max_rounds: int = 50
+) -> tuple[DataFrame, DataFrame]:
+    """(trusted patterns (pid, k, score), confidences (k, inst, confidence)) from the slots' fillers, by rounds until no confidence moves.
+
+    A pattern's score for a kind is the confidence gathered over its distinct fillers of that kind or of none, divided by
+    all its distinct fillers that look like identifiers and all mentions of other words in its slot; from ``min_score`` on it is trusted.
+    Seeds have confidence 1. A candidate's is the chance that any of its trusted patterns is right, ``1 - prod(1 - score)``. Scores only grow
+    with confidences and these with scores, so the rounds settle. Patterns that would miss ``min_score`` even if all their candidates were
+    right are left out before the first round.
     """
-    m = scanned.select(F.explode("found").alias("m")).select("m.*")
-    patterns = F.array(F.concat(F.lit("L "), "l"), F.concat(F.lit("LL "), "l2", F.lit(" "), "l"), F.concat(F.lit("R "), "r"), F.concat(F.lit("B "), "l", F.lit(" "), "r"))
-    edges = cut(m.select(F.explode(patterns).alias("pattern"), "k", "inst", "base").distinct())
-    candidates = edges.filter(~F.col("base") & (F.col("k") < OTHER)).select("pattern", "k", "inst")
-    candidates = cut(candidates)
-    wanted = candidates.select("pattern").distinct()
-    near = edges.join(wanted, "pattern", "left_semi")
-    totals = near.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
-    seeds = near.filter("base").groupBy("pattern", "k").agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= min_support)
-    table = cut(seeds.join(totals, "pattern"))
+    edges = filled.filter("pids is not null").select(F.explode("pids").alias("pid"), "k", "inst", "seed").distinct()
+    plain = filled.filter("pids is null").groupBy("pid").agg(F.sum("n").alias("n"))
+    totals = edges.select("pid", F.lit(1).cast("long").alias("n")).unionByName(plain.select("pid", "n")).groupBy("pid").agg(F.sum("n").alias("total"))
+    of_kind = edges.withColumnRenamed("k", "own").join(kinds, "pid").filter((F.col("own") == F.col("k")) | ((F.col("own") == OTHER) & ~F.col("seed")))
+    near = cut(of_kind.select("pid", "k", "inst", "seed"))
+    table = near.groupBy("pid", "k").agg(F.sum(F.col("seed").cast("long")).alias("seeds"), F.count(F.lit(1)).alias("best")).join(totals, "pid")
+    table = cut(table.filter((F.col("seeds") >= min_support) & (F.col("best") >= min_score * F.col("total"))).drop("best"))  # as many rows as patterns at most
+    candidates = cut(near.filter(~F.col("seed")).join(F.broadcast(table.select("pid", "k")), ["pid", "k"]).select("pid", "k", "inst"))
     confidence = candidates.select("k", "inst").distinct().withColumn("confidence", F.lit(0.0))
-    for _ in range(rounds):
-        gathered = candidates.join(confidence, ["k", "inst"]).groupBy("pattern", "k").agg(F.sum("confidence").alias("more"))
-        scored = table.join(gathered, ["pattern", "k"], "left").withColumn(
-            "score", F.least(F.lit(0.999), (F.col("seeds") + F.coalesce("more", F.lit(0.0))) / F.col("total"))
-        )
-        scored = scored.filter(F.col("score") >= min_score)
+    for _ in range(max_rounds):
+        gathered = candidates.join(confidence, ["k", "inst"]).groupBy("pid", "k").agg(F.sum("confidence").alias("more"))
+        scored = table.join(gathered, ["pid", "k"], "left")
+        scored = scored.withColumn("score", F.least(F.lit(0.999), (F.col("seeds") + F.coalesce("more", F.lit(0.0))) / F.col("total"))).filter(F.col("score") >= min_score)
+        scored = cut(scored.select("pid", "k", "score"))
         wrong = F.exp(F.sum(F.log(1 - F.col("score"))))
-        confidence = cut(candidates.join(scored, ["pattern", "k"]).groupBy("k", "inst").agg(F.round(1 - wrong, 9).alias("confidence")))
-    return scored.select("pattern", "k", "seeds", "total", F.round("score", 9).alias("score")), confidence.filter(F.col("confidence") >= min_confidence)
-
-
-def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 50_000, **how) -> DataFrame:
+        raised = candidates.join(F.broadcast(scored), ["pid", "k"]).groupBy("k", "inst").agg((1 - wrong).alias("raised"))
+        new = confidence.withColumnRenamed("confidence", "old").join(raised, ["k", "inst"], "left")
+        new = cut(new.select("k", "inst", F.coalesce("raised", F.lit(0.0)).alias("confidence"), (F.coalesce("raised", F.lit(0.0)) - F.col("old") > tolerance).alias("moved")))
+        confidence = new.select("k", "inst", "confidence")
+        if new.filter("moved").isEmpty():
+            break
+    return scored, confidence
+
+
+def find_personal_data(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_support: int = 5,
+    support_share: float = 1e-4,
+    min_score: float = 0.8,
+    min_confidence: float = 0.9,
+    max_broadcast: int = 50_000,
+) -> DataFrame:
     """One row per row of ``df``: the base counts and hash, and all spans.
 
-    n_email, n_ip, n_card, n_phone and base_sha256 are of the fixed shapes; ``spans`` holds
-    those and the discovered ones as ``kind:start:end``, by kind then start, in code
-    points, end exclusive; n_discovered counts the latter. A discovered span is a loose shape (``LOOSE``)
-    whose instance ``discover`` trusts.
+    n_email, n_ip, n_card, n_phone and base_sha256 are of the fixed shapes; ``spans`` holds those and the discovered ones as
+    ``kind:start:end``, by kind then start, in code points, end exclusive; n_discovered counts the latter.
+
+    1. Seeds are the base spans, and as seeds of secrets hexadecimal keys (``KEY``). The patterns around them are counted (``candidate_patterns``).
+    2. The whole corpus is read again for what fills the slots of these patterns: mentions, words that look like
+       identifiers (with a digit, an @ or an underscore), and, as evidence against a pattern, all other words.
+    3. Patterns and instances rate each other until nothing moves (``rate_patterns``).
+    4. Discovered are: loose shapes (``LOOSE``) whose instance has ``min_confidence``, wherever they stand; and keys and words like
+       identifiers where the trusted patterns around them give ``min_confidence``, as the kind of the best. So a key without a trusted pattern around it is
+       none, and a secret or number of an unseen shape is found in the slot of a trusted one.
 
     A null text counts as empty. Null ids and repeated rows each come out; spans are
     matched back by id and text hash, so rows that share an id keep apart. Other
-    columns are not read; an empty table gives an empty result.
+    columns are not read; an empty table gives an empty result. Ids are integers.
     """
+    spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
     scanned = cut(docs.mapInArrow(_scan, SCANNED))
-    _, trusted = discover(scanned, **how)
-    loose = scanned.select("id", "th", F.explode("found").alias("m")).filter(~F.col("m.base") & (F.col("m.k") < OTHER))
-    hits = loose.select("id", "th", "m.*").join(broadcast_if_small(trusted.select("k", "inst"), max_broadcast), ["k", "inst"])
-    added = cut(hits.distinct().groupBy("id", "th").agg(F.collect_list(F.struct("k", "s", "e")).alias("more")))
-    added = added.select(F.col("id").alias("more_id"), F.col("th").alias("more_th"), "more")
+    patterns = candidate_patterns(scanned, min_support, support_share)
+    ids = {p: n for n, p in enumerate(sorted({p for p, _ in patterns}))}
+    kinds = F.broadcast(spark.createDataFrame([(ids[p], k) for p, k in patterns], "pid int, k int"))  # at most 4 / support_share rows
+    shared = spark.sparkContext.broadcast((ids, {p.split(" ")[2 if p.startswith("LL ") else 1] for p in ids if not p.startswith("R ")}))
+    filled = cut(docs.mapInArrow(_fill(shared), FILLED))
+    trusted, confidence = rate_patterns(filled, kinds, min_support, min_score)
+
+    loose = scanned.select("id", "th", F.explode("found").alias("m")).select("id", "th", "m.*").filter(~F.col("seed"))
+    sure = cut(confidence.filter(F.col("confidence") >= min_confidence).select("k", "inst"))
+    by_value = loose.join(broadcast_if_small(sure, max_broadcast), ["k", "inst"]).select("id", "th", "k", "s", "e")
+    slots = filled.filter((F.col("k") == OTHER) | ((F.col("k") == SECRET) & F.col("seed"))).select("id", "th", "s", "e", F.col("k").alias("own"), F.explode("pids").alias("pid"))
+    rated = slots.distinct().join(F.broadcast(trusted), "pid").filter((F.col("own") == OTHER) | (F.col("own") == F.col("k")))
+    right = 1 - F.exp(F.sum(F.log(1 - F.col("score"))))
+    by_place = rated.groupBy("id", "th", "s", "e", "k").agg(right.alias("sure")).filter(F.col("sure") >= min_confidence)
+    by_place = by_place.groupBy("id", "th", "s", "e").agg(F.max_by("k", F.struct(F.round("sure", 9), -F.col("k"))).alias("k")).select("id", "th", "k", "s", "e")
+
+    added = by_value.unionByName(by_place).distinct().groupBy("id", "th").agg(F.collect_list(F.struct("k", "s", "e")).alias("more"))
+    added = cut(added).select(F.col("id").alias("more_id"), F.col("th").alias("more_th"), "more")
     both = scanned.join(broadcast_if_small(added, max_broadcast), F.col("id").eqNullSafe(F.col("more_id")) & (F.col("th") == F.col("more_th")), "left")
     empty = F.array().cast("array<struct<k:int,s:int,e:int>>")
-    kinds = F.transform("base", lambda x: x["k"])
-    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    base_kinds = F.transform("base", lambda x: x["k"])
+    counts = [(F.size(base_kinds) - F.size(F.array_remove(base_kinds, i))).cast("long").alias(f"n_{KINDS[i]}") for i in range(BASE)]
     return both.select(
         F.col("id").alias(id_col),
         *counts,

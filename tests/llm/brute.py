@@ -3,7 +3,7 @@
 import hashlib
 import re
 
-from assayer.llm import mixing
+from assayer.llm import mixing, pii
 
 
 def brute_quality(text):
@@ -99,3 +99,103 @@ def brute_mix(rows, weights, share, max_epochs, seed=5):
             used += n
             out.append((i, *leaf, n, budget, epochs + (0 < n and used <= rest)))
     return sorted(out, key=str)
+
+
+BASE = (
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    r"[0-9]([\x20-]?[0-9])+",
+    r"\+[0-9][\x20().0-9-]+[0-9]",
+)
+
+
+def brute_base(text):
+    """(kind, start, end) by the patterns of the job as they stand."""
+    out = []
+    for kind, shape in enumerate(BASE):
+        for m in re.finditer(shape, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            luhn = sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+            good = {0: True, 1: all(int(x) <= 255 for x in m[0].split(".")) if kind == 1 else True, 2: 16 <= len(digits) <= 19 and luhn, 3: 8 <= len(digits) <= 15}
+            if good[kind]:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def brute_pii(rows, support=5, min_score=0.8, min_confidence=0.9):
+    """{id: spans text} by pattern tables held in dictionaries and rounds over all of them."""
+    docs = {}
+    for i, t in rows:
+        t = t or ""
+        base = brute_base(t)
+        marks = [(k, s, e, True) for k, s, e in base]
+        for kind, shape in [(4, pii.KEY), *pii.LOOSE.items()]:
+            new = [m.span() for m in shape.finditer(t) if (kind == 4 or pii._loose_fits(kind, m[0])) and not any(m.start() < e and s < m.end() for _, s, e, _ in marks)]
+            marks += [(kind, s, e, kind == 4) for s, e in new]
+        spots, at = [], 0
+        for mark in sorted(marks, key=lambda m: (m[1], -m[2])):
+            if mark[1] >= at:
+                spots += [(x, None) for x in _words(t, at, mark[1])] + [((mark[1], mark[2]), mark)]
+                at = mark[2]
+        spots += [(x, None) for x in _words(t, at, len(t))]
+        docs[i] = (t, base, marks, spots)
+    name = lambda t, spot: f"<{pii.KINDS[spot[1][0]]}>" if spot[1] else t[slice(*spot[0])].lower()
+    value = lambda k, x: re.sub("[^0-9]", "", x) if k in (2, 3) else x.lower()
+    slots = []  # (id, span, kind, seed, instance, patterns)
+    for i, (t, _, _, spots) in docs.items():
+        names = ["^", "^", *(name(t, s) for s in spots), "$"]
+        for n, (span, mark) in enumerate(spots, 2):
+            around = {f"L {names[n - 1]}", f"LL {names[n - 2]} {names[n - 1]}", f"R {names[n + 1]}", f"B {names[n - 1]} {names[n + 1]}"}
+            if n == 2:
+                around = {"L ^", "LL ^ ^", f"R {names[n + 1]}", f"B ^ {names[n + 1]}"}
+            text = t[slice(*span)]
+            kind = mark[0] if mark else (5 if re.search("[0-9@_]", text) else None)
+            slots.append((i, span, kind, bool(mark and mark[3]), None if kind is None else value(kind, text), around))
+    seeds = {}
+    for _, _, kind, seed, inst, around in slots:
+        for p in around if seed else ():
+            seeds.setdefault((p, kind), set()).add(inst)
+    seeds = {x: v for x, v in seeds.items() if len(v) >= support}
+    fillers, plain = {}, {}
+    for _, _, kind, seed, inst, around in slots:
+        for p in around:
+            if kind is None:
+                plain[p] = plain.get(p, 0) + 1
+            else:
+                fillers.setdefault(p, set()).add((kind, inst, seed))
+    sure, score = {}, {}
+    for _ in range(50):
+        score = {}
+        for (p, k), of in seeds.items():
+            more = sum(sure.get((k, inst), 0) for own, inst, seed in fillers[p] if not seed and own in (k, 5))
+            x = min(0.999, (len(of) + more) / (len(fillers[p]) + plain.get(p, 0)))
+            if x >= min_score:
+                score[p, k] = x
+        wrong = {}
+        for p, k in score:
+            for own, inst, seed in fillers[p]:
+                if not seed and own in (k, 5):
+                    wrong[k, inst] = wrong.get((k, inst), 1) * (1 - score[p, k])
+        sure = {x: 1 - w for x, w in wrong.items()}
+    found = {i: set() for i in docs}
+    for i, (t, _, marks, _) in docs.items():
+        found[i] |= {(k, s, e) for k, s, e, seed in marks if not seed and sure.get((k, value(k, t[s:e])), 0) >= min_confidence}
+    for i, span, kind, _seed, _, around in slots:
+        if kind in (4, 5):
+            chances = {}
+            for p in around:
+                for k in range(5):
+                    if (p, k) in score and kind in (k, 5):
+                        chances[k] = chances.get(k, 1) * (1 - score[p, k])
+            good = [(round(1 - w, 9), -k) for k, w in chances.items() if 1 - w >= min_confidence]
+            if good:
+                found[i].add((-max(good)[1], *span))
+    return {i: ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in sorted({*found[i], *docs[i][1]})) for i in docs}
+
+
+def _words(text, start, end):
+    for m in re.compile(r"[^\x20\x09-\x0D]+").finditer(text, start, end):
+        word = m[0].strip(pii.EDGE)
+        if word:
+            at = m.start() + len(m[0]) - len(m[0].lstrip(pii.EDGE))
+            yield at, at + len(word)
