@@ -15,6 +15,10 @@ from assayer.plans import cut
 
 #: A run of windows with one anchor is cut into contexts of this many windows at most.
 RUN = 32
+#: Windows that more than this part of all windows of crowded anchors share go into the broadcast shards; so there are fewer of them than this.
+HOT_SHARE = 4000
+#: Words of a broadcast shard, about.
+SHARD_WORDS = 50_000
 
 
 class SuffixAutomaton:
@@ -58,6 +62,10 @@ class SuffixAutomaton:
 
     def matching_statistics(self, tokens: list[int]) -> Iterator[int]:
         """For each place, the length of the longest piece ending there that occurs in the reference."""
+        return (matched for _, matched in self.walk(tokens))
+
+    def walk(self, tokens: list[int]) -> Iterator[tuple[int, int]]:
+        """For each place, the state of that piece and its length."""
         nxt, link, length = self.next, self.link, self.length
         state = matched = 0
         for token in tokens:
@@ -67,7 +75,37 @@ class SuffixAutomaton:
             if token in nxt[state]:
                 state = nxt[state][token]
                 matched += 1
-            yield matched
+            yield state, matched
+
+
+class Shard:
+    """An automaton over passages of several documents that knows the smallest id under which each window stands."""
+
+    def __init__(self, passages: list[tuple[int, np.ndarray]], window: int):
+        self.window, self.automaton = window, SuffixAutomaton()
+        a = self.automaton
+        least: list[int | None] = [None]
+        for id_, tokens in passages:
+            a.texts += 1
+            for token in [*tokens.tolist(), ("end", a.texts)]:
+                a._extend(token)
+                least += [None] * (len(a.next) - len(least))
+                least[a.last] = id_
+        for state in sorted(range(1, len(a.next)), key=a.length.__getitem__, reverse=True):
+            up = a.link[state]
+            if least[state] is not None and up >= 0 and (least[up] is None or least[state] < least[up]):
+                least[up] = least[state]
+        self.least = least
+
+    def repeats(self, id_: int, tokens: list[int]) -> Iterator[int]:
+        """The starts of the windows of a document that stand in the shard under a smaller id."""
+        a, window = self.automaton, self.window
+        for end, (state, matched) in enumerate(a.walk(tokens)):
+            if matched >= window:
+                while a.length[a.link[state]] >= window:  # the state of the window itself
+                    state = a.link[state]
+                if self.least[state] < id_:
+                    yield end - window + 1
 
 
 class Reference:
@@ -194,6 +232,58 @@ def _stream(window: int):
     return run
 
 
+def _passages(window: int):
+    """(id, tokens): the passages that the given windows of each document make up; a token is a word's 64-bit hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = [], []
+            for id_, t, starts in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
+                tokens = word_hashes(*word_bounds(t.as_py())).view(np.int64)
+                at = np.unique(np.array(starts, np.int64))
+                edge = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1] + 1, [True])))
+                for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    ids.append(id_)
+                    found.append(tokens[at[s] : at[e - 1] + window].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "tokens"])
+
+    return run
+
+
+#: Automata of this process by the broadcast they were built from.
+_SHARDS: dict[int, list[Shard]] = {}
+
+
+def _against(shared, window: int):
+    """Streams documents against the broadcast shards; yields ranges of removed words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, passages = shared.value
+        if key not in _SHARDS:
+            _SHARDS.clear()
+            made: list[list] = [[]]
+            room = SHARD_WORDS
+            for id_, tokens in passages:
+                if room <= 0:
+                    made.append([])
+                    room = SHARD_WORDS
+                made[-1].append((id_, tokens))
+                room -= len(tokens)
+            _SHARDS[key] = [Shard(p, window) for p in made if p]
+        shards = _SHARDS[key]
+        for batch in batches:
+            rows = []
+            for id_, th, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+                tokens = word_hashes(*word_bounds(t.as_py())).view(np.int64).tolist()
+                rows += [(id_, th, start, start + window) for shard in shards for start in shard.repeats(id_, tokens)]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["id", "th", "s", "e"]
+            )
+
+    return run
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, digests, ranges = [], [], []
@@ -229,8 +319,11 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        anchor; in each, contexts come in rising id order, stream through the suffix automaton of those
        before them, and join it. Matching statistics of ``window`` or more mark the windows to remove. A shard
        has the contexts of ``crowd`` documents at most.
-    4. Anchors of more documents take an exact way without a shard: the 128-bit digest of each of their windows
-       is aggregated to its smallest id, and rows of greater id lose the window.
+    4. Anchors of more documents would make too large a shard. The 128-bit digest of each of their windows is counted and aggregated to its smallest id.
+       A window in over ``crowd`` rows, and in over a 4000th part of these windows, is hot; there are fewer than 4,000 such windows whatever the input. The
+       passages they make up, at most 200,000 words, are broadcast as shards. Every task builds their suffix automata, in which each state knows the
+       smallest id, and the documents stream past them where they are, without a shuffle. Windows that are less common
+       meet the smallest id of their digest in a join in which no digest is frequent.
 
     Null texts have no words. Rows without an id neither lose words nor count as a reference, but equal to
     another whole text. Rows that share an id do not remove each other's words. Other columns are not read; an empty table gives an
@@ -254,8 +347,11 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = contexts.repartition("a").sortWithinPartitions("a", "id", "th", "start")
     ranges = dealt.mapInArrow(_stream(window), "id long, th long, s int, e int")
     crowded = found.select("id", "th", F.explode("windows").alias("w")).select("w.digest", "id", "th", "w.start")
-    lowest = crowded.groupBy("digest").agg(F.min("id").alias("lo"))
-    late = crowded.join(lowest, "digest").filter(F.col("id") > F.col("lo"))
+    lowest = cut(crowded.groupBy("digest").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi"))
+    bound = max(crowd, (lowest.agg(F.sum("n")).collect()[0][0] or 0) // HOT_SHARE)
+    hot, mild = lowest.filter(F.col("n") > bound), lowest.filter(F.col("n") <= bound)
+    ranges = ranges.unionByName(_hot_ranges(found, crowded, hot, window))
+    late = crowded.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(mild, "digest").filter(F.col("id") > F.col("lo"))
     ranges = ranges.unionByName(late.select("id", "th", F.col("start").alias("s"), (F.col("start") + window).alias("e")))
     gathered = ranges.groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("found"))
     texts = found.select("id", "th", "text").join(gathered, ["id", "th"])
@@ -275,6 +371,20 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
+def _hot_ranges(found: DataFrame, crowded: DataFrame, hot: DataFrame, window: int) -> DataFrame:
+    """Ranges (id, th, s, e) of the windows of ``hot`` in rows of greater id, by broadcast automata of their passages."""
+    sc = found.sparkSession.sparkContext
+    first = crowded.join(F.broadcast(hot.select("digest", F.col("lo").alias("id"))), ["digest", "id"])
+    first = first.groupBy("digest", "id").agg(F.min(F.struct("th", "start")).alias("at"))  # one place of each hot window
+    spots = cut(first.groupBy("id", F.col("at.th").alias("th")).agg(F.collect_list("at.start").alias("starts")))
+    texts = found.select("id", "th", "text").join(F.broadcast(spots), ["id", "th"]).dropDuplicates(["id", "th"])
+    passages = texts.select("id", "text", "starts").mapInArrow(_passages(window), "id long, tokens array<long>").collect()  # 200,000 words at most
+    made = sorted((r["id"], r["tokens"]) for r in passages)
+    shared = sc.broadcast((hash((sc.applicationId, str(made))), [(i, np.array(t, np.int64)) for i, t in made]))
+    streamed = found.filter(F.size("windows") > 0).select("id", "th", "text") if made else found.limit(0).select("id", "th", "text")
+    return streamed.mapInArrow(_against(shared, window), "id long, th long, s int, e int")
+
+
 def _cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []

@@ -87,6 +87,23 @@ def test_word_hashes_of_long_texts_are_those_of_pieces(monkeypatch):
     assert (text_hash.word_hashes(*text_hash.word_bounds(raw)) == whole).all()
 
 
+def test_shard_knows_the_smallest_id():
+    a, b = np.arange(10), np.array([50, 3, 4, 5, 6, 51])
+    shard = substring_dedup.Shard([(7, a), (3, b)], 3)
+    assert list(shard.repeats(9, [2, 3, 4, 5, 6, 7, 8, 60])) == [0, 1, 2, 3, 4]
+    assert list(shard.repeats(5, [2, 3, 4, 5, 6, 7, 8, 60])) == [1, 2]  # 3 4 5 and 4 5 6 stand under id 3
+    assert list(shard.repeats(3, [3, 4, 5])) == []
+
+
+def test_hot_windows_stream_past_the_shards(spark):
+    rng = random.Random(6)
+    passage, other = words(rng, 70), words(rng, 55)
+    rows = [(i, f"{words(rng, rng.randrange(40))} {passage} {words(rng, 9)} {other if i % 2 else ''}") for i in range(40)]
+    rows += [(50, None), (None, passage), (3, f"{passage} {passage}"), (60, passage.upper()), (61, passage)]
+    got = sorted((tuple(r)[:4] for r in substring_dedup.dedup_substrings(frame(spark, rows), crowd=10).collect()), key=str)
+    assert got == brute_substrings(rows)
+
+
 def test_sliding_min_and_flags():
     values = np.random.default_rng(3).integers(0, 1000, 257).astype(np.uint64)
     assert sliding_min(values, 26).tolist() == [values[i : i + 26].min() for i in range(257 - 25)]
