@@ -104,6 +104,9 @@ class Encoder:
             self.text_of[i] = bytes([b])
         for i in vocabulary.special - set(vocabulary.bytes_at):
             self.text_of[i] = b""
+        self.all_text = np.frombuffer(b"".join(self.text_of), np.uint8)
+        self.lengths = np.array([len(t) for t in self.text_of], np.int32)
+        self.starts = (np.cumsum(self.lengths) - self.lengths).astype(np.int32)
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.rank):
             raise ValueError("pieces may have marks at their front only, and no line feed")
         self.unit = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -261,9 +264,21 @@ class Encoder:
                 out.append(node[0] if skip >= node[1] else self._varied(unit, node, key, skip))
         return np.frombuffer(b"".join(out), "<i4")
 
+    def decode_bytes(self, ids) -> bytes:
+        """The UTF-8 text of ``ids``; the leading space that encoding adds is dropped. The bytes of all pieces are gathered at once, a piece of the ids at a time."""
+        ids, out = np.asarray(ids, np.int32), []
+        for at in range(0, len(ids), 1 << 18):
+            part = ids[at : at + (1 << 18)]
+            lengths = self.lengths[part]
+            ends = np.cumsum(lengths, dtype=np.int32)
+            places = np.arange(int(ends[-1]), dtype=np.int32)
+            places += np.repeat(self.starts[part] - (ends - lengths), lengths)
+            out.append(self.all_text[places].tobytes())
+        return b"".join(out)[1:]
+
     def decode(self, ids) -> str:
-        """The text of ``ids``; the leading space that encoding adds is dropped."""
-        return b"".join(map(self.text_of.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))[1:].decode("utf-8", "replace")
+        """The text of ``ids``."""
+        return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
 #: Encoders of this process by their parameters; a Python worker keeps them from task to task.
@@ -294,11 +309,11 @@ def encode_documents(
         encoder = _encoder(shared.value, dropout, seed)
         for batch in batches:
             found, same = [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = t.as_py() or ""
-                ids = encoder.encode(text, i or 0)
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                raw = t.as_py() or b""
+                ids = encoder.encode(raw.decode("utf-8", "replace"), i or 0)
                 found.append(ids)
-                same.append(encoder.decode(ids) == text)
+                same.append(encoder.decode_bytes(ids) == raw)
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = np.concatenate(found) if found else np.zeros(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
