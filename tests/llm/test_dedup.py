@@ -195,13 +195,13 @@ def test_near_groups_against_brute_force(spark):
 
     base = [words(rng, 200) for _ in range(12)]
     rows = [(i, t) for i, t in enumerate(base)]
-    rows += [(100 + 10 * i + k, changed(t, k)) for i, t in enumerate(base) for k in (1, 2, 8)]
+    rows += [(100 + 30 * i + k, changed(t, k)) for i, t in enumerate(base) for k in (1, 2, 20)]  # far from the threshold, where SimHashes may tell either way
     crowd = words(rng, 300)
     rows += [(1000 + k, changed(crowd, 1 + k % 3)) for k in range(60)]
     rows += [(2000, None), (2001, ""), (2002, " "), (2003, "a b"), (2004, "A  b"), (2005, "a c"), (None, base[0]), (5, base[5]), (7, "x " * 4000)]
     expected = sorted(((i, g) for (i, _), g in zip(rows, brute_near(rows), strict=True)), key=str)
     for cap in (64, 2):
-        got = near_copies.near_groups(frame(spark, rows), bucket_cap=cap, small=100 if cap == 64 else 0).select("doc_id", "component_id")
+        got = near_copies.near_groups(frame(spark, rows), bucket_cap=cap).select("doc_id", "component_id")
         assert sorted(map(tuple, got.collect()), key=str) == expected
     # keys of 28 bits on more bits, as for large tables
     got = near_copies.near_groups(frame(spark, rows[:60]), bits=4096, chain=7).select("doc_id", "component_id")
@@ -229,6 +229,20 @@ def test_similar_fingerprints_find_all_pairs(spark):
     assert {tuple(r) for r in simhash.similar_fingerprints(fps).collect()} == expected
 
 
+def test_group_within_finds_all_links():
+    rng = random.Random(4)
+    for n, edges in ((1, 0), (30, 10), (30, 40), (60, 50)):
+        links = {(rng.randrange(n), rng.randrange(n)) for _ in range(edges)}
+        table = np.zeros((n, n), bool)
+        for a, b in links:
+            table[a, b] = table[b, a] = True
+        group = list(range(n))
+        for a, b in links:
+            old, new = max(group[a], group[b]), min(group[a], group[b])
+            group = [new if g == old else g for g in group]
+        assert near_copies.group_within(n, lambda i, t=table: t[i]).tolist() == group
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     labels = {r["node"]: r["label"] for r in graph.components(links).collect()}
