@@ -8,6 +8,7 @@ from assayer.functions import measures as m
 from assayer.functions import text as tx
 from assayer.operators import features as ft
 from assayer.operators import scores
+from assayer.plans import cut
 from assayer.registry import query
 
 R = lambda c, name: F.round(c, 6).alias(name)
@@ -30,23 +31,27 @@ def _docs(spark, d):
     return table(spark, d, "documents")
 
 
+def _grams(rows, keys, length):
+    return ft.char_gram_counts(rows, keys, "text", [length]).drop("length")
+
+
 def _talk(spark, d):
     return table(spark, d, "conversations")
 
 
 @query("ng_char_counts", f"SELECT * FROM {grams(3, 'documents', 'lang')}")
 def ng_char_counts(spark, d):
-    return ft.gram_counts(_docs(spark, d), ["lang"], tx.char_ngrams(F.col("text"), 3))
+    return _grams(_docs(spark, d), ["lang"], 3)
 
 
 @query("ng_vocab", f"SELECT gram, sum(n)::BIGINT AS n FROM {grams(3, 'documents', 'lang')} GROUP BY gram HAVING sum(n) >= 5")
 def ng_vocab(spark, d):
-    return ft.vocabulary(ft.gram_counts(_docs(spark, d), ["lang"], tx.char_ngrams(F.col("text"), 3)), 5)
+    return ft.vocabulary(_grams(_docs(spark, d), ["lang"], 3), 5)
 
 
 @query("ng_maxabs", f"WITH c AS {grams(3, 'documents', 'lang')}, f AS (SELECT lang, gram, n / sum(n) OVER (PARTITION BY lang)::DOUBLE AS f FROM c) SELECT lang, gram, round(f / max(f) OVER (PARTITION BY gram), 6) AS value FROM f")
 def ng_maxabs(spark, d):
-    counts = ft.gram_counts(_docs(spark, d), ["lang"], tx.char_ngrams(F.col("text"), 3))
+    counts = _grams(_docs(spark, d), ["lang"], 3)
     return ft.max_abs_scaled(counts, ["lang"]).select("lang", "gram", R(F.col("value"), "value"))
 
 
@@ -55,7 +60,7 @@ PROFILE = "SELECT {k}, gram, n / a::DOUBLE AS f FROM (SELECT *, sum(n) OVER (PAR
 
 @query("ng_profile", "SELECT lang, gram, round(f, 6) AS f FROM (" + PROFILE.format(k="lang", c=grams(3, "documents", "lang"), n=500) + ")")
 def ng_profile(spark, d):
-    counts = ft.gram_counts(_docs(spark, d), ["lang"], tx.char_ngrams(F.col("text"), 3))
+    counts = _grams(_docs(spark, d), ["lang"], 3)
     return ft.profile(counts, ["lang"], 500).select("lang", "gram", R(F.col("f"), "f"))
 
 
@@ -63,8 +68,8 @@ def ng_profile(spark, d):
     SELECT conv_id, lang, round((coalesce(s, 0) + 4 * (size - coalesce(c, 0))) / (4 * size)::DOUBLE, 6) AS distance FROM (SELECT * FROM (SELECT conv_id, count(*) AS size FROM u GROUP BY 1), (SELECT DISTINCT lang FROM k))
     LEFT JOIN (SELECT conv_id, lang, sum(pow(2 * (u.f - k.f) / (u.f + k.f), 2)) AS s, count(*) AS c FROM u JOIN k USING (gram) GROUP BY ALL) USING (conv_id, lang)""")
 def cng_distance(spark, d):
-    known = ft.profile(ft.gram_counts(_docs(spark, d), ["lang"], tx.char_ngrams(F.col("text"), 3)), ["lang"], 1000)
-    unknown = ft.profile(ft.gram_counts(_talk(spark, d), ["conv_id"], tx.char_ngrams(F.col("text"), 3)), ["conv_id"], 200)
+    known = ft.profile(_grams(_docs(spark, d), ["lang"], 3), ["lang"], 1000)
+    unknown = ft.profile(_grams(_talk(spark, d), ["conv_id"], 3), ["conv_id"], 200)
     return ft.cng_distance(unknown, known, "conv_id", "lang").select("conv_id", "lang", R(F.col("distance"), "distance"))
 
 
@@ -79,7 +84,7 @@ def _weights(spark, d):
     pairs = view(spark, d, "pairs")
     sides = pairs.select("conv_id", "turn", F.lit(0).alias("side"), F.col("hyp").alias("text")).unionByName(pairs.select("conv_id", "turn", F.lit(1).alias("side"), F.col("ref").alias("text")))
     sides = sides.withColumn("key", F.concat_ws(":", "conv_id", "turn", "side"))
-    counts = ft.gram_counts(sides, ["key"], tx.char_ngrams(F.col("text"), 4))
+    counts = cut(_grams(sides, ["key"], 4))
     texts = sides.agg(F.count(F.lit(1)).alias("n_all"))
     weighted = ft.tf_idf(counts.crossJoin(F.broadcast(texts)), "key", F.col("n_all"))  # one row
     part = lambda i: F.split("key", ":")[i].cast("long")
@@ -203,7 +208,7 @@ MINMAX = SIDES.replace(grams(4, "sides", "conv_id, turn, side"), grams(3, "sides
 def _frequencies(spark, d):
     pairs = view(spark, d, "pairs")
     sides = pairs.select("conv_id", "turn", F.lit(0).alias("side"), F.col("hyp").alias("text")).unionByName(pairs.select("conv_id", "turn", F.lit(1).alias("side"), F.col("ref").alias("text")))
-    counts = ft.gram_counts(sides, ["conv_id", "turn", "side"], tx.char_ngrams(F.col("text"), 3))
+    counts = cut(_grams(sides, ["conv_id", "turn", "side"], 3))
     return counts.join(counts.groupBy("conv_id", "turn", "side").agg(F.sum("n").alias("all")), ["conv_id", "turn", "side"]).withColumn("f", F.col("n") / F.col("all"))
 
 

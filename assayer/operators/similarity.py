@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,15 +21,40 @@ def _counted(df: DataFrame, keys: list[str], grams, orders: range, side: str) ->
     return df.select(*keys, F.explode(parts).alias("x")).select(*keys, "x.*", F.lit(h).alias("h"), F.lit(r).alias("r"))
 
 
-def gram_matches(df: DataFrame, keys: list[str], hyp_grams, ref_grams, orders: range) -> DataFrame:
-    """keys, n, matched (clipped), n_hyp, n_ref. Both sides meet in one aggregation."""
-    both = _counted(df, keys, hyp_grams, orders, "h").unionByName(_counted(df, keys, ref_grams, orders, "r"))
-    grams = both.groupBy(*keys, "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    return grams.groupBy(*keys, "n").agg(F.sum(F.least("h", "r")).alias("matched"), F.sum("h").alias("n_hyp"), F.sum("r").alias("n_ref"))
+def row_matches(df: DataFrame, keys: list[str], hyp: str, ref: str, orders: range) -> DataFrame:
+    """keys, n, matched (clipped), n_hyp, n_ref of each row's two arrays of tokens, or two strings of characters.
+
+    A row's counts need that row alone, so they are made inside it by one Arrow function over batches, without a shuffle. An order that neither
+    side has gives no row.
+    """
+    chars = dict(df.dtypes)[hyp] == "string"
+    sizes = list(orders)
+
+    @F.pandas_udf("array<struct<n:int,matched:bigint,n_hyp:bigint,n_ref:bigint>>")
+    def count(hyps: pd.Series, refs: pd.Series) -> pd.Series:
+        def grams(x, n):
+            if chars:
+                return Counter([x[i : i + n] for i in range(len(x) - n + 1)])
+            return Counter(zip(*[x[k:] for k in range(n)], strict=False))
+
+        def one(h, r):
+            h, r = ("" if h is None else h, "" if r is None else r) if chars else ([] if h is None else list(h), [] if r is None else list(r))
+            found = []
+            for n in sizes:
+                mine = (max(len(h) - n + 1, 0), max(len(r) - n + 1, 0))
+                if any(mine):
+                    a, b = (grams(h, n), grams(r, n)) if all(mine) else ({}, {})
+                    few, many = (a, b) if len(a) < len(b) else (b, a)
+                    found.append({"n": n, "matched": sum(min(c, many[g]) for g, c in few.items() if g in many), "n_hyp": mine[0], "n_ref": mine[1]})
+            return found
+
+        return pd.Series([one(h, r) for h, r in zip(hyps, refs, strict=True)])
+
+    return df.select(*keys, F.explode(count(hyp, ref)).alias("x")).select(*keys, "x.*")
 
 
 def token_matches(df: DataFrame, keys: list[str], hyp: str, ref: str, orders: range = range(1, 5)) -> DataFrame:
-    return gram_matches(df, keys, lambda n: tx.ngrams(F.col(hyp), n), lambda n: tx.ngrams(F.col(ref), n), orders)
+    return row_matches(df, keys, hyp, ref, orders)
 
 
 def brevity(n_hyp: Column, n_ref: Column) -> Column:
@@ -86,7 +114,7 @@ def corpus_nist(df: DataFrame, keys: list[str], groups: list[str], hyp: str, ref
 def chrf(df: DataFrame, keys: list[str], hyp: str, ref: str, order: int = 6, beta: float = 2.0) -> DataFrame:
     """Character n-gram F of each row, blanks left out, in [0, 1]: the F of mean precision and recall over the orders both texts have."""
     plain = df.select(*keys, F.regexp_replace(hyp, r"[ \t\n]+", "").alias("h"), F.regexp_replace(ref, r"[ \t\n]+", "").alias("r"))
-    matches = gram_matches(plain, keys, lambda n: tx.char_ngrams(F.col("h"), n), lambda n: tx.char_ngrams(F.col("r"), n), range(1, order + 1))
+    matches = row_matches(plain, keys, "h", "r", range(1, order + 1))
     full = matches.filter((F.col("n_hyp") > 0) & (F.col("n_ref") > 0))
     means = full.groupBy(*keys).agg(F.avg(F.col("matched") / F.col("n_hyp")).alias("p"), F.avg(F.col("matched") / F.col("n_ref")).alias("q"))
     return plain.select(*keys).join(means, keys, "left").select(*keys, F.coalesce(m.f_beta(F.col("p"), F.col("q"), beta), F.lit(0.0)).alias("chrf"))
