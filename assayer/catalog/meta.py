@@ -60,7 +60,8 @@ def mt_pr_curve(spark, d):
     FROM systems, range(1, 10) t(k) GROUP BY ALL""")
 def mt_threshold_agreement(spark, d):
     ks = F.broadcast(spark.range(1, 10).select((F.col("id") / 10).alias("threshold")))
-    counts = view(spark, d, "systems").groupBy("system", "p").agg(m.count_if(F.col("y") == 1).alias("pos"), m.count_if(F.col("y") == 0).alias("neg"))
+    cell = scores.threshold_cells(F.col("p"), lambda k: (k + 1) / 10, F.col("p") * 10 - 1, 9)
+    counts = view(spark, d, "systems").groupBy("system", cell.alias("cell")).agg(F.min("p").alias("p"), m.count_if(F.col("y") == 1).alias("pos"), m.count_if(F.col("y") == 0).alias("neg"))
     over = F.col("p") >= F.col("threshold")
     right = F.sum(F.when(over, F.col("pos")).otherwise(F.col("neg")))
     sums = counts.crossJoin(ks).groupBy("system", "threshold")

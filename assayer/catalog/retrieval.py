@@ -142,8 +142,9 @@ def doc_flatten(spark, d):
     sc AS (SELECT qid, docno, round(sum(qf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25 + 0.75::DOUBLE * dl / a))), 6) AS score FROM qf JOIN df USING (token) JOIN tf USING (token) JOIN dl USING (docno), st GROUP BY ALL)
     SELECT qid, docno, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS r FROM sc) WHERE r <= 10""")
 def ir_bm25(spark, d):
-    tokens = lambda t, key, name: table(spark, d, t).select(F.col(key).alias(name), F.explode(tx.words(F.lower("text"))).alias("token"))
-    return rt.bm25(tokens("benchmark", "item_id", "qid"), tokens("documents", "doc_id", "docno"), top=10).select("qid", "docno", F.round("score", 4).alias("score"))
+    tokens = lambda t, key, name: table(spark, d, t).select(F.col(key).alias(name), tx.words(F.lower("text")).alias("tokens"))
+    asked = tokens("benchmark", "item_id", "qid").select("qid", F.explode("tokens").alias("token"))
+    return rt.bm25(asked, tokens("documents", "doc_id", "docno"), top=10).select("qid", "docno", F.round("score", 4).alias("score"))
 
 
 IR = """ju AS (SELECT r.qid, r.docno, coalesce(q.rel, 0) AS rel, row_number() OVER (PARTITION BY r.qid ORDER BY score DESC, r.docno) AS k FROM ranked r LEFT JOIN qrels q ON q.qid = r.qid AND q.docno = r.docno),

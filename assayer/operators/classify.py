@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,22 +143,63 @@ def relabel(df: DataFrame, groups: list[str], label: str, name: str) -> DataFram
     return df.join(labels, [*groups, label])
 
 
-def best_assignment(df: DataFrame, groups: list[str], ref: str = "ref", sys: str = "sys", size: int = 5) -> DataFrame:
+def assign(counts: dict[tuple[int, int], int], size: int) -> list[int]:
+    """For each row 0 .. ``size`` - 1 its column in the one-to-one map with the largest sum of counts; of equal maps the first in the order of the rows' columns.
+
+    Shortest augmenting paths over whole numbers: a count is scaled up so far that the preference for smaller columns, row by row, only decides ties.
+    """
+    scale = size**size + 1
+    cost = [[-counts.get((i, j), 0) * scale + j * size ** (size - 1 - i) for j in range(size)] for i in range(size)]
+    u, v = [0] * (size + 1), [0] * (size + 1)
+    owner = [0] * (size + 1)  # rows from 1 by column; column 0 holds the row that is placed
+    for row in range(1, size + 1):
+        owner[0] = row
+        at, least, came, done = 0, [None] * (size + 1), [0] * (size + 1), [False] * (size + 1)
+        while owner[at]:
+            done[at] = True
+            i, step, nearest = owner[at], None, 0
+            for j in range(1, size + 1):
+                if not done[j]:
+                    slack = cost[i - 1][j - 1] - u[i] - v[j]
+                    if least[j] is None or slack < least[j]:
+                        least[j], came[j] = slack, at
+                    if step is None or least[j] < step:
+                        step, nearest = least[j], j
+            for j in range(size + 1):
+                if done[j]:
+                    u[owner[j]] += step
+                    v[j] -= step
+                elif least[j] is not None:
+                    least[j] -= step
+            at = nearest
+        while at:
+            owner[at], at = owner[came[at]], came[at]
+    found = [0] * size
+    for j in range(1, size + 1):
+        found[owner[j] - 1] = j - 1
+    return found
+
+
+def best_assignment(df: DataFrame, groups: list[str], ref: str = "ref", sys: str = "sys", size: int = 1) -> DataFrame:
     """groups, ref, sys: the one-to-one map of dense ids with the most matches; of equals the first permutation.
 
-    At most ``size`` ids a side: each of the ``size!`` permutations gets its sum through an equi-join with the
-    counts, so nothing is enumerated per row.
+    A group is as large as its largest id asks, and ``size`` ids a side at least. Only its contingency counts, at most
+    K * K rows, reach Python. Ids must be whole numbers from 0.
     """
-    spark = df.sparkSession
-    perms = [(k, i, s) for k, p in enumerate(permutations(range(size))) for i, s in enumerate(p)]
-    table = F.broadcast(spark.createDataFrame(perms, f"k int, {ref} int, {sys} int"))
     counts = contingency(df, groups, ref, sys)
-    sums = counts.join(table, [ref, sys]).groupBy(*groups, "k").agg(F.sum("n").alias("n"))
-    best = sums.groupBy(*groups).agg(F.max_by("k", F.struct("n", -F.col("k"))).alias("k"))
-    return best.join(table, "k").drop("k")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        if (pdf[[ref, sys]] < 0).any(axis=None):
+            raise ValueError("ids are whole numbers from 0; relabel first")
+        n = max(size, int(pdf[ref].max()) + 1, int(pdf[sys].max()) + 1)
+        found = assign({(int(r), int(s)): int(c) for r, s, c in zip(pdf[ref], pdf[sys], pdf["n"], strict=True)}, n)
+        return pd.DataFrame({**{g: [pdf[g].iloc[0]] * n for g in groups}, ref: range(n), sys: found})
+
+    kinds = dict(df.dtypes)
+    return counts.groupBy(*groups).applyInPandas(solve, ", ".join([*(f"{g} {kinds[g]}" for g in groups), f"{ref} int", f"{sys} int"]))
 
 
-def diarization(df: DataFrame, groups: list[str], ref: str = "ref", sys: str = "sys", size: int = 5) -> DataFrame:
+def diarization(df: DataFrame, groups: list[str], ref: str = "ref", sys: str = "sys", size: int = 1) -> DataFrame:
     """Per group: der, the share of items outside the matched clusters, and jer, the mean Jaccard error of the reference's."""
     counts = contingency(df, groups, ref, sys)
     refs = counts.groupBy(*groups, ref).agg(F.sum("n").alias("n_ref"))

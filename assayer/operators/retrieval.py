@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import measures as m
 from assayer.functions import text as tx
+from assayer.plans import broadcast_if_small, cut
 
 #: ASCII punctuation and white space: what alignment ignores.
 IGNORED = r"[\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"
@@ -28,10 +34,57 @@ def char_grams_at(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
     return at.join(grams, [key, "pos"]).select(key, "pos", F.col("i").alias("start"), (F.col("last") + 1).alias("end"), "gram")
 
 
-def seed_matches(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str, length: int) -> DataFrame:
-    """Places (left_pos, right_pos) in the kept characters at which both texts have the same n-gram."""
-    grams = lambda df, key, pos: df.select(key, F.posexplode(tx.char_ngrams(plain_chars(F.col(text)), length)).alias(pos, "gram"))
-    return grams(left, left_key, "left_pos").join(grams(right, right_key, "right_pos"), "gram").drop("gram")
+def _plain_grams(key: str, pos: str, length: int, wanted=None):
+    """(key, pos, gram) over Arrow batches of kept characters; with ``wanted`` (a broadcast set of hashes) only n-grams whose hash is in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = None if wanted is None else wanted.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                keys, places, grams = [], [], []
+                part = batch.slice(at, 64)
+                for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    n = 0 if t is None else max(len(t) - length + 1, 0)
+                    hit = range(n)
+                    if keep is not None and n:
+                        hit = np.flatnonzero(np.isin(gram_hashes(t, length), keep)).tolist()
+                    keys += [k] * len(hit)
+                    places += hit
+                    grams += [t[i : i + length] for i in hit]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(places, pa.int32()), pa.array(grams, pa.string())], names=[key, pos, "gram"])
+
+    return run
+
+
+def gram_hashes(text: str, length: int) -> np.ndarray:
+    """A 64-bit polynomial hash of each n-gram of code points, all by one running sum."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(points) < length:
+        return np.zeros(0, np.uint64)
+    hashes = np.zeros(len(points) - length + 1, np.uint64)
+    base = np.uint64(0x9E3779B97F4A7C15)
+    for k in range(length):
+        hashes = hashes * base + (points[k : k + len(hashes)] + np.uint64(1))
+    return hashes
+
+
+def seed_matches(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str, length: int, max_broadcast: int = 2_000_000) -> DataFrame:
+    """Places (left_pos, right_pos) in the kept characters at which both texts have the same n-gram.
+
+    The n-grams of ``right`` are made first. While they are ``max_broadcast`` at most, their 64-bit hashes go to all tasks, and
+    of ``left`` only n-grams with such a hash are ever made; a larger ``right`` meets all n-grams of ``left`` in a join. The n-grams themselves are compared in either case.
+    """
+
+    def grams(df: DataFrame, key: str, pos: str, wanted=None) -> DataFrame:
+        plain = df.select(key, plain_chars(F.col(text)).alias("t"))
+        return plain.mapInArrow(_plain_grams(key, pos, length, wanted), f"`{key}` {dict(df.dtypes)[key]}, `{pos}` int, gram string")
+
+    known = cut(grams(right, right_key, "right_pos"))
+    wanted = None
+    if known.limit(max_broadcast + 1).count() <= max_broadcast:
+        hashes = [gram_hashes(r["gram"], length) for r in known.select("gram").distinct().toLocalIterator()]  # up to max_broadcast of them
+        wanted = left.sparkSession.sparkContext.broadcast(np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes])))
+    return grams(left, left_key, "left_pos", wanted).join(known, "gram").drop("gram")
 
 
 def diagonal_islands(seeds: DataFrame, keys: list[str], length: int) -> DataFrame:
@@ -42,21 +95,75 @@ def diagonal_islands(seeds: DataFrame, keys: list[str], length: int) -> DataFram
     return marked.groupBy(*keys, "diagonal", "run").agg(F.min("left_pos").alias("left_start"), (F.max("left_pos") + length).alias("left_end"), F.min("right_pos").alias("right_start")).drop("diagonal", "run")
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75, top: int | None = None) -> DataFrame:
-    """qid, docno, score, rank from token tables (qid, token) and (docno, token); repeated query tokens count."""
-    tf = docs.groupBy("docno", "token").agg(F.count(F.lit(1)).alias("tf"))
-    length = docs.groupBy("docno").agg(F.count(F.lit(1)).alias("dl"))
-    stats = length.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    q = queries.groupBy("qid", "token").agg(F.count(F.lit(1)).alias("qf"))
-    hits = q.join(df, "token").join(tf, "token").join(length, "docno").crossJoin(F.broadcast(stats))  # stats: one row
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("qid", "docno").agg(F.round(F.sum(part), 6).alias("score"))
+def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75, top: int | None = None, max_broadcast: int = 200_000) -> DataFrame:
+    """qid, docno, score, rank from token tables (qid, token) and (docno, tokens), the latter with an array a document; repeated query tokens count.
+
+    Only tokens of a query are counted. With ``top`` and up to ``max_broadcast`` query terms, every task scores its documents against all queries
+    and gives its best ``top`` of each, so common words make no rows; else the terms meet in a join.
+    """
+    q = cut(queries.groupBy("qid", "token").agg(F.count(F.lit(1)).alias("qf")))
+    terms = cut(q.select("token").distinct())
+    found = docs.select("docno", F.explode("tokens").alias("token")).join(broadcast_if_small(terms, max_broadcast), "token")
+    tf = found.groupBy("docno", "token").agg(F.count(F.lit(1)).alias("tf"))
+    df = cut(tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+    stats = docs.filter(F.size("tokens") > 0).agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("tokens")).alias("avgdl")).collect()[0]
+    idf = F.log(1 + (F.lit(stats["docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = q.join(df, "token").select("qid", "token", (F.col("qf") * idf).alias("w"))
+    average = float(stats["avgdl"] or 1.0)
+    if top is not None and q.limit(max_broadcast + 1).count() <= max_broadcast:
+        rows = weighted.collect()  # up to max_broadcast terms
+        scored = _best_documents(rows, docs, average, k1, b, top, dict(queries.dtypes)["qid"])
+    else:
+        length = docs.select("docno", F.size("tokens").alias("dl"))
+        hits = weighted.join(tf, "token").join(length, "docno")
+        part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(average)))
+        scored = hits.groupBy("qid", "docno").agg(F.round(F.sum(part), 6).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "docno")))
     return ranked if top is None else ranked.filter(F.col("rank") <= top)
 
 
+def _best_documents(rows: list, docs: DataFrame, average: float, k1: float, b: float, top: int, qid_type: str) -> DataFrame:
+    """(qid, docno, score): the best ``top`` documents of each query in each block of 256 documents."""
+    qids = sorted({r["qid"] for r in rows})
+    at = {q: i for i, q in enumerate(qids)}
+    index: dict[str, tuple[list, list]] = {}
+    for r in sorted(rows, key=lambda r: (r["token"], at[r["qid"]])):
+        ids, weights = index.setdefault(r["token"], ([], []))
+        ids.append(at[r["qid"]])
+        weights.append(r["w"])
+    shared = docs.sparkSession.sparkContext.broadcast({t: (np.array(i), np.array(w)) for t, (i, w) in index.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                batch = whole.slice(first, 256)
+                scores = np.zeros((batch.num_rows, len(qids)))
+                hit = np.zeros((batch.num_rows, len(qids)), bool)
+                for n, tokens in enumerate(batch.column(1).to_pylist()):
+                    size = len(tokens or ())
+                    for token, tf in Counter(tokens or ()).items():
+                        if token in known:
+                            ids, weights = known[token]
+                            scores[n, ids] += weights * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / average))
+                            hit[n, ids] = True
+                scores = np.round(scores, 6)
+                docno = np.array(batch.column(0).to_pylist(), dtype=object)
+                order = np.argsort(docno, kind="stable")  # ties go to the smaller document
+                out: list[tuple] = []
+                for i in range(len(qids)):
+                    mine = order[hit[order, i]]
+                    mine = mine[np.argsort(-scores[mine, i], kind="stable")[:top]]
+                    out += [(qids[i], docno[n], float(scores[n, i])) for n in mine.tolist()]
+                columns = list(zip(*out, strict=True)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+
+    docno_type = dict(docs.dtypes)["docno"]
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    kinds = pa.schema([("qid", arrow[qid_type]), ("docno", arrow[docno_type]), ("score", pa.float64())])
+    return docs.select("docno", "tokens").mapInArrow(run, f"qid {qid_type}, docno {docno_type}, score double")
+
+
 def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """The run with its rank per query (score down, then docno) and rel, 0 where unjudged."""
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "docno"))

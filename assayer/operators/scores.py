@@ -90,11 +90,23 @@ def best_offset(df: DataFrame, measure: Column, steps: int = 1000, drop: float =
     return seen.groupBy().agg(F.max_by("offset", F.struct("value", -F.col("k"))).alias("offset"), F.max("value").alias("value"))
 
 
+def threshold_cells(p: Column, threshold, guess: Column, steps: int) -> Column:
+    """A cell for scores that compare alike with all thresholds 0 .. ``steps`` - 1, ``threshold(k)``: how many are at most p, and whether p equals the last of them.
+
+    ``guess`` is about that number; it may be one off, for the comparisons themselves decide.
+    """
+    g = F.greatest(F.lit(-1), F.least(F.lit(steps), F.floor(guess))).cast("long")
+    at = lambda k: (k >= 0) & (k < steps) & (threshold(k) <= p)
+    k = F.when(at(g + 1), g + 1).when(at(g), g).when(at(g - 1), g - 1).otherwise(F.greatest(F.lit(-1).cast("long"), F.least(g - 2, F.lit(steps - 1).cast("long"))))
+    return 2 * k + ((k >= 0) & (threshold(k) == p)).cast("long")
+
+
 def sweep(df: DataFrame, low: float, high: float, steps: int) -> DataFrame:
-    """Precision, recall and F1 at each of ``steps`` thresholds; scores are counted before they meet the thresholds."""
+    """Precision, recall and F1 at each of ``steps`` thresholds; scores are counted per interval of thresholds before they meet them, so few rows do whatever the scores."""
     width = (high - low) / steps
+    cell = threshold_cells(F.col("p"), lambda k: k * F.lit(width) + F.lit(low), (F.col("p") - low) / width, steps)
     thresholds = F.broadcast(df.sparkSession.range(steps).select((F.col("id") * F.lit(width) + F.lit(low)).alias("threshold")))
-    counted = df.groupBy("p").agg(m.count_if(F.col("y") == 1).alias("pos"), m.count_if(F.col("y") == 0).alias("neg"))
+    counted = df.groupBy(cell.alias("cell")).agg(F.min("p").alias("p"), m.count_if(F.col("y") == 1).alias("pos"), m.count_if(F.col("y") == 0).alias("neg"))
     at = F.col("p") >= F.col("threshold")
     sums = counted.crossJoin(thresholds).groupBy("threshold").agg(
         F.sum(F.when(at, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(at, F.col("neg")).otherwise(0)).alias("fp"), F.sum(F.when(~at, F.col("pos")).otherwise(0)).alias("fn")
@@ -113,7 +125,8 @@ def threshold_grid(df: DataFrame, steps: int = 98) -> DataFrame:
     ks = df.sparkSession.range(1, steps + 1)
     grid = ks.select(F.col("id").alias("i")).join(ks.select(F.col("id").alias("j")), F.col("i") < F.col("j"))
     grid = F.broadcast(grid.select("i", "j", (F.col("i") / 100).alias("p1"), (F.col("j") / 100).alias("p2")))
-    counted = df.groupBy("p").agg(m.count_if(F.col("y") == 1).alias("pos"), m.count_if(F.col("y") == 0).alias("neg"))
+    cell = threshold_cells(F.col("p"), lambda k: (k + 1) / 100, F.col("p") * 100 - 1, steps)
+    counted = df.groupBy(cell.alias("cell")).agg(F.min("p").alias("p"), m.count_if(F.col("y") == 1).alias("pos"), m.count_if(F.col("y") == 0).alias("neg"))
     q = F.when(F.col("p") <= F.col("p1"), -1).when(F.col("p") < F.col("p2"), 0).otherwise(1)
     one = lambda side, c: F.sum(F.when(q == side, F.col(c)).otherwise(0)).cast("double")
     sums = counted.crossJoin(grid).groupBy("i", "j").agg(

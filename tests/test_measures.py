@@ -10,6 +10,7 @@ from assayer.functions import measures as m
 from assayer.functions import text as tx
 from assayer.operators import classify, clusters, features, intervals, passages, retrieval, scores, similarity, validate
 
+#: Published known answers for passage annotations; the expected numbers below belong to them.
 ANN = {
     1: ("tref1", 0, 100, "sref1", 0, 100, True),
     2: ("tref1", 0, 100, "", 0, 0, False),
@@ -106,6 +107,78 @@ def test_diarization_errors(spark):
     assert got[1]["jer"] == 0.75 and got[2]["jer"] == 0 and got[2]["der"] == 0
 
 
+def test_assignment_is_the_first_best_permutation(spark):
+    from itertools import permutations
+
+    rng = random.Random(5)
+    for n in (1, 2, 4, 6):
+        for _ in range(20):
+            counts = {(i, j): rng.randrange(4) for i in range(n) for j in range(n)}
+            best = max(permutations(range(n)), key=lambda p: (sum(counts[i, j] for i, j in enumerate(p)), [-j for j in p]))
+            assert classify.assign(counts, n) == list(best)
+
+
+def test_more_than_five_clusters_count(spark):
+    rows = [(1, c, c) for c in range(5) for _ in range(3)] + [(1, 5 + k % 2, 5 + (k + 1) % 2 if k > 3 else k % 5) for k in range(6)]
+    rows += [(2, c, (c + 3) % 9) for c in range(9) for _ in range(c + 1)]
+    got = {r["problem"]: r for r in classify.diarization(spark.createDataFrame(rows, "problem int, ref int, sys int"), ["problem"]).collect()}
+    assert got[1]["der"] > 0 and got[2]["der"] == 0 and got[2]["jer"] == 0
+    wrong = [(1, c, c) for c in range(5) for _ in range(3)] + [(1, 5, c) for c in range(3)] + [(1, 6, c) for c in range(3)]
+    got = classify.diarization(spark.createDataFrame(wrong, "problem int, ref int, sys int"), ["problem"]).collect()[0]
+    assert got["der"] == pytest.approx(6 / 21)
+
+
+def test_bm25_both_ways(spark):
+    rng = random.Random(1)
+    docs = [(i, [rng.choice("abcdefgh") for _ in range(rng.randrange(12))]) for i in range(700)]
+    asked = [(f"q{k}", [rng.choice("abcdxyz") for _ in range(4)]) for k in range(5)]
+    used = [t for _, t in docs if t]
+    mean = sum(map(len, used)) / len(used)
+    want = {}
+    for q, terms in asked:
+        scores = []
+        for i, tokens in docs:
+            if set(terms) & set(tokens):
+                part = 0.0
+                for t in terms:
+                    df, tf = sum(t in x for _, x in docs), tokens.count(t)
+                    part += math.log(1 + (len(used) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(tokens) / mean))
+                scores.append((-round(part, 6), i))
+        want[q] = [(i, pytest.approx(-s)) for s, i in sorted(scores)[:10]]
+    queries = spark.createDataFrame([(q, t) for q, terms in asked for t in terms], "qid string, token string")
+    table = spark.createDataFrame(docs, "docno long, tokens array<string>").repartition(3)
+    for limit in (1000, 0):
+        got = {}
+        for r in retrieval.bm25(queries, table, top=10, max_broadcast=limit).orderBy("qid", "rank").collect():
+            got.setdefault(r["qid"], []).append((r["docno"], r["score"]))
+        assert got == {q: v for q, v in want.items() if v}
+
+
+def test_threshold_cells_change_no_comparison(spark):
+    rng = random.Random(3)
+    scores_ = [rng.random() for _ in range(300)] + [k / 100 for k in range(101)] + [0.25, 0.75, 0.0, 1.0, -3.0, 7.0]
+    rows = [(rng.randrange(2), p) for p in scores_]
+    df = spark.createDataFrame(rows, "y int, p double")
+    for r in scores.sweep(df, 0.25, 0.75, 40).collect():
+        tp = sum(y == 1 and p >= r["threshold"] for y, p in rows)
+        fp = sum(y == 0 and p >= r["threshold"] for y, p in rows)
+        assert r["precision"] == pytest.approx(tp / (tp + fp)) and r["recall"] == pytest.approx(tp / sum(y for y, _ in rows))
+
+
+def test_char_gram_counts_and_row_matches(spark):
+    texts = [("a", "añb👍añ"), ("a", "añ"), (None, "xx"), ("b", None), ("b", "")]
+    got = {(r["k"], r["length"], r["gram"]): r["n"] for r in features.char_gram_counts(spark.createDataFrame(texts, "k string, t string"), ["k"], "t", [1, 2]).collect()}
+    want = {}
+    for k, t in texts:
+        for n in (1, 2):
+            for i in range(len(t or "") - n + 1):
+                want[k, n, t[i : i + n]] = want.get((k, n, t[i : i + n]), 0) + 1
+    assert got == want
+    rows = spark.createDataFrame([(1, "abab", "ab"), (2, "", "x"), (3, None, None)], "id int, h string, r string")
+    got = sorted(tuple(r) for r in similarity.row_matches(rows, ["id"], "h", "r", range(1, 4)).collect())
+    assert got == [(1, 1, 2, 4, 2), (1, 2, 1, 3, 1), (1, 3, 0, 2, 0), (2, 1, 0, 0, 1)]
+
+
 def test_style_change_f1(spark):
     rows = spark.createDataFrame([(0, 0), (0, 0), (0, 1), (1, 1), (0, 0), (0, 0)], "y int, yhat int")
     assert classify.binary_report(rows, []).collect()[0]["f1_macro"] == pytest.approx(0.77, abs=0.01)
