@@ -20,7 +20,9 @@ MARK = "▁"
 #: Stands for a mark that is in the text itself; a lone surrogate is in no valid text.
 OWN_MARK = "\udc81"
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
+#: Rows that are encoded before they are passed on; their ids take far more room than the texts.
+ROWS = 500
 
 
 @dataclass(frozen=True)
@@ -307,7 +309,7 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, dropout, seed)
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             found, same = [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 raw = t.as_py() or b""
