@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.text_hash import Grams, sliding_min, word_bounds, word_hashes
-from assayer.plans import cut
+from assayer.plans import cut, join_counted
 
 #: A run of windows with one anchor is cut into contexts of this many windows at most.
 RUN = 32
@@ -332,8 +332,9 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     summary = cut(docs.mapInArrow(_summaries(window), "id long, th long, n_words long, sha binary, anchors array<long>"))
-    first = summary.groupBy("sha").agg(F.min("id").alias("first_id"))
-    lone = summary.select("id", "th", "sha", "anchors").filter(F.size("anchors") > 0).join(first, ["sha"]).filter(F.col("id") == F.col("first_id"))
+    copies = cut(summary.groupBy("sha").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    marked = join_counted(summary, copies, "sha", "n", "left").withColumn("first_id", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("first_id")))
+    lone = marked.select("id", "th", "anchors", "first_id").filter((F.size("anchors") > 0) & (F.col("id") == F.col("first_id")))
     anchored = cut(lone.select("id", "th", F.explode("anchors").alias("a")))
     seen = anchored.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n"))
     shared = seen.filter("lo < hi").select("a", (F.col("n") <= crowd).alias("small"))
@@ -357,7 +358,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = found.select("id", "th", "text").join(gathered, ["id", "th"])
     result = texts.mapInArrow(_kept, "id long, th long, n_removed long, kept binary, removed array<struct<s:int,e:int>>").dropDuplicates(["id", "th"])
     result = result.select(F.col("id").alias("r_id"), F.col("th").alias("r_th"), "n_removed", "kept", "removed")
-    whole = summary.select("id", "th", "n_words", "sha").join(first, "sha", "left")
+    whole = marked.select("id", "th", "n_words", "sha", "first_id")
     both = whole.join(result, (F.col("id") == F.col("r_id")) & (F.col("th") == F.col("r_th")), "left")
     copy = (F.col("id") > F.col("first_id")) & (F.col("n_words") >= window)
     all_words = F.array(F.struct(F.lit(0).alias("s"), F.col("n_words").cast("int").alias("e")))
