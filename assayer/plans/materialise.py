@@ -40,6 +40,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+#: Bytes of an Arrow batch, about; a batch is a row at least.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, not by rows alone, where the session does not say otherwise: 10,000 long texts would be a large batch."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
     """The wanted column names, each with underscores behind it until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -2,7 +2,7 @@
 
 import pytest
 
-from assayer.plans import fresh_names, join_counted
+from assayer.plans import bounded_batches, fresh_names, join_counted
 
 
 def test_fresh_names(spark):
@@ -17,3 +17,15 @@ def test_counted_join_equals_a_plain_join(spark, how, small):
     right = spark.createDataFrame([("hot", 7, 3000), ("cold", 8, 1)], "k string, v int, n long")
     got = join_counted(left, right, "k", "n", how, small=small)
     assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    bounded_batches(spark)
+    df = spark.range(300, numPartitions=1).selectExpr("repeat('x', 100000) AS t")
+    assert max(r["n"] for r in df.mapInArrow(sizes, "n long").collect()) < 8 << 20
