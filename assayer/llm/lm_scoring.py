@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.plans import cut
+from assayer.plans import bounded_batches, cut
 
 #: The token that ends each document: no word, for words hold no white space.
 END = b"\n"
@@ -503,6 +503,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Without any training row no word is known and base_score is 0.
     """
     s = settings or Settings()
+    bounded_batches(df.sparkSession)
     sc = df.sparkSession.sparkContext
     docs = df.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     learnt = docs.filter(~F.col("held_out"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.plans import broadcast_if_small, cut
+from assayer.plans import bounded_batches, broadcast_if_small, cut
 
 #: The first four have fixed shapes; a secret has none, its spans all come from contexts.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -327,6 +327,7 @@ def find_personal_data(
     columns are not read; an empty table gives an empty result. Ids are integers.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
     scanned = cut(docs.mapInArrow(_scan, SCANNED))
     patterns = candidate_patterns(scanned, min_support, support_share)

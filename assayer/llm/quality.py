@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.text_hash import Grams, covered, repeated, word_bounds, word_hashes
+from assayer.plans import bounded_batches, fresh_names
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -80,14 +81,20 @@ def quality_rules(
     no shuffle; repeated rows get equal verdicts; other columns are not read; an empty
     table gives an empty result.
     """
+    bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = ", ".join(["id long", *(f"{n} {t}" for n, t in zip(NAMES, SQL_TYPES, strict=True))])
     return docs.mapInArrow(_judge(gram_limits, line_limit, lambda batch, made: [batch.column(0), *made], ["id", *NAMES]), schema).withColumnRenamed("id", id_col)
 
 
 def keep_good(df: DataFrame, text_col: str = "text", gram_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT) -> DataFrame:
-    """The rows of ``df`` that the rules keep, with all columns; no shuffle."""
-    ordered = df.select(F.col(text_col).cast("string").alias("_judged_text"), *[F.col(f"`{c}`") for c in df.columns])
+    """The rows of ``df`` that the rules keep, with all columns of whatever names; no shuffle.
+
+    A null, empty or blank text is rejected; repeated rows get one verdict each, the same; an empty table gives an empty result.
+    """
+    bounded_batches(df.sparkSession)
+    (judged,) = fresh_names(df, "judged_text")
+    ordered = df.select(F.col(text_col).cast("string").alias(judged), *[F.col(f"`{c}`") for c in df.columns])
 
     def passing(batch: pa.RecordBatch, made: list[pa.Array]) -> list[pa.Array]:
         return [c.filter(made[-1]) for c in batch.columns[1:]]

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.plans import bounded_batches
+
 MARK = "▁"
 #: Stands for a mark that is in the text itself; a lone surrogate is in no valid text.
 OWN_MARK = "\udc81"
@@ -305,6 +307,7 @@ def encode_documents(
     ids. A null id counts as 0 in the keyed hash. Repeated rows get equal ids; other
     columns are not read; an empty table gives an empty result.
     """
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +331,8 @@ def encode_documents(
 
 
 def decode_documents(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``id_col`` and text for every row of ids; null or empty ids give an empty text."""
+    """``id_col`` and text for every row of ids; null or empty ids give an empty text. Repeated rows each come out; an empty table gives an empty result."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

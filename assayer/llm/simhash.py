@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm.graph import components
-from assayer.plans import cut, join_counted
+from assayer.plans import bounded_batches, cut, join_counted
 
 BITS = 64
 
@@ -54,6 +54,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shingle's hash is XXH64 of its UTF-8 bytes with seed 42. A bit is 1 if it is 1
     in over half of the hashes. A text without words, or null, has fingerprint 0.
     """
+    bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return docs.mapInArrow(_fingerprints(width), "id long, fp long")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.text_hash import Grams, sliding_min, word_bounds, word_hashes
-from assayer.plans import cut, join_counted
+from assayer.plans import bounded_batches, cut, join_counted
 
 #: A run of windows with one anchor is cut into contexts of this many windows at most.
 RUN = 32
@@ -329,6 +329,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     another whole text. Rows that share an id do not remove each other's words. Other columns are not read; an empty table gives an
     empty result.
     """
+    bounded_batches(df.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     summary = cut(docs.mapInArrow(_summaries(window), "id long, th long, n_words long, sha binary, anchors array<long>"))
