@@ -22,7 +22,7 @@ MARK = "▁"
 #: Stands for a mark that is in the text itself; a lone surrogate is in no valid text.
 OWN_MARK = "\udc81"
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 #: Rows that are encoded before they are passed on; their ids take far more room than the texts.
 ROWS = 500
 
@@ -114,8 +114,8 @@ class Encoder:
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.rank):
             raise ValueError("pieces may have marks at their front only, and no line feed")
         self.unit = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-        self.known: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
+        self.known: dict[str, list] = {}
+        self.older: dict[str, list] = {}
         self.room = CACHE_ENTRIES
 
     @staticmethod
@@ -218,26 +218,28 @@ class Encoder:
             self.room = CACHE_ENTRIES
         old = self.older.get(unit)
         if old is not None:
-            node = self.known[unit] = (old[0], old[1], {})
+            node = self.known[unit] = [old[0], old[1], None]
             self.room -= 1
             return node[0] if skip >= node[1] else self._varied(unit, node, key, skip)
         ids, popped = self._segment(unit, key, skip)
         if popped <= skip and len(unit) <= 64:
-            self.known[unit] = (ids, popped, {})
+            self.known[unit] = [ids, popped, None]
             self.room -= 1
         return ids
 
-    def _varied(self, unit: str, node: tuple[bytes, int, dict], key: int, first: int) -> bytes:
+    def _varied(self, unit: str, node: list, key: int, first: int) -> bytes:
         """The packed ids of an occurrence whose first skip is one of its candidates."""
         skip, number = first, 1
         while skip < node[1]:
+            if node[2] is None:
+                node[2] = {}
             child = node[2].get(skip)
             number += 1
             behind = skip + 1 + self._gap(key, number)
             if child is None:
                 ids, popped = self._segment(unit, key, first)
                 if popped <= behind and self.room > 0:
-                    node[2][skip] = (ids, popped, {})
+                    node[2][skip] = [ids, popped, None]
                     self.room -= 1
                 return ids
             node, skip = child, behind
