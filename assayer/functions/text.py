@@ -52,7 +52,9 @@ def html_to_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"[ \n\t]+", " "))
 
 
-#: Replacements of tweet normalisation in their order: (pattern, replacement).
+#: Replacements of tweet normalisation in their order: (pattern, replacement). The order, the placeholders' names, the emoticons and the
+#: class of characters outside ASCII. The patterns of URLs, users, times and numbers are this library's own and more general; emoji are
+#: deleted with the other characters outside ASCII instead of getting a placeholder.
 TWEET_STEPS = (
     (r"https?://[A-Za-z0-9_]+\.[A-Za-z0-9_/.]*", " <URL> "),
     ("\n", ""),

@@ -35,19 +35,21 @@ def char_grams_at(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
 
 
 def _plain_grams(key: str, pos: str, length: int, wanted=None):
-    """(key, pos, gram) over Arrow batches of kept characters; with ``wanted`` (a broadcast set of hashes) only n-grams whose hash is in it."""
+    """(key, pos, gram) over Arrow batches of kept characters; with ``wanted`` (broadcast hashes in order) only n-grams whose hash is in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = None if wanted is None else wanted.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
+            for first in range(0, batch.num_rows, 64):
                 keys, places, grams = [], [], []
-                part = batch.slice(at, 64)
+                part = batch.slice(first, 64)
                 for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     n = 0 if t is None else max(len(t) - length + 1, 0)
                     hit = range(n)
                     if keep is not None and n:
-                        hit = np.flatnonzero(np.isin(gram_hashes(t, length), keep)).tolist()
+                        hashes = gram_hashes(t, length)
+                        at = np.minimum(np.searchsorted(keep, hashes), max(len(keep) - 1, 0))
+                        hit = np.flatnonzero(keep[at] == hashes).tolist() if len(keep) else []
                     keys += [k] * len(hit)
                     places += hit
                     grams += [t[i : i + length] for i in hit]
