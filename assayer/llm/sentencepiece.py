@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 from itertools import repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,10 @@ MARK = "▁"
 OWN_MARK = "\udc81"
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 CACHE_ENTRIES = 150_000
+#: Occurrences that are segmented together, about; and columns of one array while they are.
+TOGETHER, COLUMNS = 1 << 16, 1 << 13
+#: Units of more characters are merged one by one.
+LONGEST = 48
 #: Rows that are encoded before they are passed on; their ids take far more room than the texts.
 ROWS = 500
 
@@ -58,6 +63,8 @@ MASK = (1 << 64) - 1
 PLACE = (1 << 32) - 1
 #: A rank behind all others: no candidate.
 NEVER = 1 << 31
+#: For a unit that is not remembered: no skip lies behind so many candidates.
+LACKING = (b"", 1 << 62)
 
 
 GOLDEN = 0x9E3779B97F4A7C15
@@ -88,10 +95,9 @@ class Encoder:
     agenda). The hash gives the gaps from one skip to the next, which are geometric if each
     candidate is drawn by itself. What is left and no piece becomes byte pieces.
 
-    A unit's segmentation is a function of the numbers of its skipped candidates, so it is
-    remembered by those: a node (packed ids, candidates popped, nodes by the next skip) per
-    unit and set of skips, and an occurrence walks from skip to skip until its next one lies
-    behind the last candidate; where a node lacks, the unit is merged. Of two generations of nodes the older one is dropped when the younger is full.
+    A unit's segmentation without a skip is remembered, with the candidates popped: it serves every
+    occurrence whose first skip lies behind them. Of two generations of such units the older one is dropped when the younger is full. All other
+    occurrences of many texts are segmented together, an agenda a column of an array, each step taking the best candidate of every column.
     """
 
     def __init__(self, vocabulary: Vocabulary, dropout: float = 0.1, seed: int = 11):
@@ -114,9 +120,60 @@ class Encoder:
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.rank):
             raise ValueError("pieces may have marks at their front only, and no line feed")
         self.unit = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-        self.known: dict[str, list] = {}
-        self.older: dict[str, list] = {}
+        self.known: dict[str, tuple[bytes, int]] = {}
+        self.older: dict[str, tuple[bytes, int]] = {}
         self.room = CACHE_ENTRIES
+        self._symbols()
+
+    def _symbols(self) -> None:
+        """Numbers for all parts of a unit: pieces by rank, then characters inside pieces that are no piece themselves, then one number for all other characters, which no piece has.
+
+        ``pair_key`` and ``pair_rank`` are a hash table from two symbols to the rank of their concatenation.
+        """
+        symbol = dict(self.rank)
+        for p in self.rank:
+            for c in p:
+                symbol.setdefault(c, len(symbol))
+        self.unknown = len(symbol)
+        self.symbol_of = np.full(0x110000, self.unknown, np.int32)
+        for c, k in symbol.items():
+            if len(c) == 1:
+                self.symbol_of[ord(c)] = k
+        self.pieces = len(self.rank)
+        self.id_of = np.array(self.by_rank, np.int32)
+        pairs = [(symbol[a], symbol[b], r) for p, r in self.rank.items() for i in range(1, len(p)) if (a := p[:i]) in symbol and (b := p[i:]) in symbol]
+        left, right, rank = np.array(pairs, np.int64).reshape(-1, 3).T
+        keys = left << 32 | right
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        size = 1 << self.bits
+        self.pair_key, self.pair_rank = np.full(size, -1, np.int64), np.full(size, NEVER, np.int64)
+        at = self._slot(keys)
+        while len(keys):
+            free = self.pair_key[at] == -1
+            self.pair_key[at[free]] = keys[free]  # of several keys for one slot the last one gets it
+            placed = self.pair_key[at] == keys
+            self.pair_rank[at[placed]] = rank[placed]
+            keys, rank, at = keys[~placed], rank[~placed], (at[~placed] + 1) & (size - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(GOLDEN)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols; ``NEVER`` where it is no piece."""
+        keys = left.astype(np.int64) << 32 | right
+        at = self._slot(keys)
+        there = self.pair_key[at]
+        out = self.pair_rank[at]
+        other = np.flatnonzero(there != keys)
+        out[other] = NEVER
+        other = other[there[other] != -1]
+        while len(other):  # the slot is another pair's: look at the next one
+            at[other] = (at[other] + 1) & (len(self.pair_key) - 1)
+            there = self.pair_key[at[other]]
+            hit = there == keys[other]
+            out[other[hit]] = self.pair_rank[at[other[hit]]]
+            other = other[~hit & (there != -1)]
+        return out
 
     @staticmethod
     def _reach(dropout: float) -> list[int]:
@@ -208,67 +265,149 @@ class Encoder:
 
     def _segment(self, unit: str, key: int, skip: int) -> tuple[bytes, int]:
         """The packed ids of an occurrence and the candidates popped."""
-        parts, popped = (self._by_heap if len(unit) > 48 else self._by_list)(unit, key, skip)
+        parts, popped = (self._by_heap if len(unit) > LONGEST else self._by_list)(unit, key, skip)
         return self._ids(parts), popped
 
-    def _first(self, unit: str, key: int, skip: int) -> bytes:
-        """The packed ids of an occurrence whose unit the younger generation lacks; kept if nothing was skipped."""
+    def _columns(self, units: list[str], keys: np.ndarray, skips: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """``_segment`` of many occurrences of units of two to ``LONGEST`` characters: a column for each, a row for each character."""
+        n = len(units)
+        lengths = np.fromiter(map(len, units), np.int64, n)
+        height, ends = int(lengths.max()), np.cumsum(lengths)
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        column = np.repeat(np.arange(n), lengths)
+        row = np.arange(len(points)) - np.repeat(ends - lengths, lengths)
+        symbols = np.full((height, n), self.unknown, np.int64)
+        symbols[row, column] = self.symbol_of[points]
+        # a candidate is (rank, row of its left part), and the least one of a column comes next
+        rows = np.arange(height)[:, None]
+        agenda = np.full((height, n), NEVER << 6, np.int64)
+        agenda[:-1] = self._ranks(symbols[:-1].ravel(), symbols[1:].ravel()).reshape(height - 1, n) << 6 | rows[:-1]
+        after = np.ascontiguousarray(np.broadcast_to(rows + 1, (height, n)))
+        before = np.ascontiguousarray(np.broadcast_to(rows - 1, (height, n)))
+        live = rows < lengths
+        popped, number, skip, keys = np.zeros(n, np.int64), np.ones(n, np.uint64), skips.astype(np.int64), keys.astype(np.uint64)
+        flat_symbols, flat_agenda, flat_after, flat_before, flat_live = (x.reshape(-1) for x in (symbols, agenda, after, before, live))
+        going = np.arange(n)
+        narrow = agenda  # the columns of ``going``
+        while len(going):
+            best = narrow.min(axis=0)
+            more = np.flatnonzero(best < NEVER << 6)
+            going, best = going[more], best[more]
+            if not len(going):
+                break
+            popped[going] += 1
+            skipped = popped[going] > skip[going]
+            left = (best & 63) * n + going
+            out = going[skipped]
+            if len(out):
+                flat_agenda[left[skipped]] = NEVER << 6
+                number[out] += np.uint64(1)
+                drawn = _mixed_all(keys[out] + number[out] * np.uint64(GOLDEN))
+                skip[out] += 1 + len(self.reach) - np.searchsorted(self.reach_all, drawn, "right")
+            merged = ~skipped
+            at, left, rank = going[merged], left[merged], best[merged] >> 6
+            right = flat_after[left] * n + at
+            further = flat_after[right]
+            flat_symbols[left] = rank  # pieces are numbered by rank
+            flat_after[left] = further
+            flat_live[right] = False
+            flat_agenda[right] = NEVER << 6
+            place = left // n
+            inner = further < height
+            here, further_at = left[inner], further[inner] * n + at[inner]
+            flat_before[further_at] = place[inner]
+            flat_agenda[left[~inner]] = NEVER << 6
+            flat_agenda[here] = self._ranks(rank[inner], flat_symbols[further_at]) << 6 | place[inner]
+            previous = flat_before[left]
+            inner = previous >= 0
+            previous, at = previous[inner], at[inner]
+            previous_at = previous * n + at
+            flat_agenda[previous_at] = self._ranks(flat_symbols[previous_at], rank[inner]) << 6 | previous
+            narrow = agenda if len(going) > n * 0.8 else agenda[:, going]
+            if narrow is agenda:
+                going = np.arange(n)
+        kept = live.T
+        last, found = np.cumsum(kept.sum(axis=1)), symbols.T[kept]
+        blob = self.id_of[np.minimum(found, self.pieces - 1)].astype("<i4").tobytes()
+        stops = (last * 4).tolist()
+        ids = [blob[i:j] for i, j in zip([0, *stops], stops, strict=False)]
+        for k in np.unique(np.searchsorted(last, np.flatnonzero(found >= self.pieces), "right")).tolist():  # some part is no piece
+            cuts = [*np.flatnonzero(kept[k]).tolist(), len(units[k])]
+            ids[k] = self._ids([units[k][i:j] for i, j in zip(cuts, cuts[1:], strict=False)])
+        return ids, popped
+
+    def _settle(self, out: list[bytes], waiting: list[tuple]) -> None:
+        """Put the packed ids of all waiting occurrences into ``out``; units without a skip are remembered.
+
+        Each entry of ``waiting`` has arrays of places in ``out`` and of first skips and keys, and a list of units.
+        """
+        places, skips, keys = (np.concatenate([w[i] for w in waiting]) for i in range(3))
+        units = [u for w in waiting for u in w[3]]
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        order = np.argsort(lengths, kind="stable")
+        low, high = np.searchsorted(lengths[order], [2, LONGEST + 1]) if len(units) > 64 else (0, 0)
+        alone = np.concatenate((order[:low], order[high:]))
+        groups = [([units[i]], [i], [node[0]], [node[1]]) for i in alone.tolist() for node in [self._segment(units[i], int(keys[i]), int(skips[i]))]]
+        for at in range(low, high, COLUMNS):
+            mine = order[at : min(high, at + COLUMNS)]
+            some = [units[i] for i in mine.tolist()]
+            groups.append((some, mine, *self._columns(some, keys[mine], skips[mine])))
+        for some, mine, found, popped in groups:
+            for place, ids in zip(places[mine].tolist(), found, strict=True):
+                out[place] = ids
+            for k in np.flatnonzero(popped <= skips[mine]).tolist():
+                unit = some[k]
+                if len(unit) <= 64 and unit not in self.known:
+                    self._remember(unit, (found[k], int(popped[k])))
+        waiting.clear()
+
+    def _remember(self, unit: str, node: tuple[bytes, int]) -> None:
         if self.room <= 0:
-            self.older, self.known = self.known, {}
-            self.room = CACHE_ENTRIES
-        old = self.older.get(unit)
-        if old is not None:
-            node = self.known[unit] = [old[0], old[1], None]
-            self.room -= 1
-            return node[0] if skip >= node[1] else self._varied(unit, node, key, skip)
-        ids, popped = self._segment(unit, key, skip)
-        if popped <= skip and len(unit) <= 64:
-            self.known[unit] = [ids, popped, None]
-            self.room -= 1
-        return ids
-
-    def _varied(self, unit: str, node: list, key: int, first: int) -> bytes:
-        """The packed ids of an occurrence whose first skip is one of its candidates."""
-        skip, number = first, 1
-        while skip < node[1]:
-            if node[2] is None:
-                node[2] = {}
-            child = node[2].get(skip)
-            number += 1
-            behind = skip + 1 + self._gap(key, number)
-            if child is None:
-                ids, popped = self._segment(unit, key, first)
-                if popped <= behind and self.room > 0:
-                    node[2][skip] = [ids, popped, None]
-                    self.room -= 1
-                return ids
-            node, skip = child, behind
-        return node[0]
+            self.older, self.known, self.room = self.known, {}, CACHE_ENTRIES
+        self.known[unit] = node
+        self.room -= 1
+
+    def encode_all(self, texts: list[str], documents: list[int]) -> list[np.ndarray]:
+        """The ids (int32) of whole texts."""
+        out, ends, waiting, have = [], [], [], 0
+        for text, document in zip(texts, documents, strict=True):
+            if MARK in text:
+                text = text.replace(MARK, OWN_MARK)
+            units = self.unit.findall(MARK + text.replace(" ", MARK)) if text else []
+            start = _mixed(_mixed(self.seed & MASK) + document & MASK)
+            for low in range(0, len(units), TOGETHER):
+                part = units[low : low + TOGETHER]
+                keys = _mixed_all(np.arange(low + 1, low + len(part) + 1, dtype=np.uint64) * np.uint64(GOLDEN) + np.uint64(start))
+                if self.dropout:
+                    first = len(self.reach) - np.searchsorted(self.reach_all, _mixed_all(keys + np.uint64(GOLDEN)), "right")
+                else:
+                    first = np.full(len(part), NEVER)
+                nodes = list(map(self.known.get, part, repeat(LACKING)))
+                base = len(out)
+                out.extend(map(itemgetter(0), nodes))
+                behind = first >= np.fromiter(map(itemgetter(1), nodes), np.int64, len(part))
+                miss = np.flatnonzero(~behind)
+                if self.older:
+                    for i in miss.tolist():
+                        if nodes[i] is LACKING and (node := self.older.get(part[i])) is not None:
+                            self._remember(part[i], node)
+                            if first[i] >= node[1]:
+                                out[base + i], behind[i] = node[0], True
+                    miss = np.flatnonzero(~behind)
+                if len(miss):
+                    waiting.append((base + miss, first[miss], keys[miss], [part[i] for i in miss.tolist()]))
+                    have += len(miss)
+                if have >= TOGETHER:
+                    self._settle(out, waiting)
+                    have = 0
+            ends.append(len(out))
+        if waiting:
+            self._settle(out, waiting)
+        return [np.frombuffer(b"".join(out[i:j]), "<i4") for i, j in zip([0, *ends], ends, strict=False)]
 
     def encode(self, text: str, document: int = 0) -> np.ndarray:
         """The ids (int32) of a whole text."""
-        if not text:
-            return np.zeros(0, np.int32)
-        if MARK in text:
-            text = text.replace(MARK, OWN_MARK)
-        units = self.unit.findall(MARK + text.replace(" ", MARK))
-        if self.dropout:
-            start = _mixed(_mixed(self.seed & MASK) + document & MASK)
-            keys = _mixed_all(np.arange(1, len(units) + 1, dtype=np.uint64) * np.uint64(GOLDEN) + np.uint64(start))
-            first = len(self.reach) - np.searchsorted(self.reach_all, _mixed_all(keys + np.uint64(GOLDEN)), "right")
-            draws = zip(units, first.tolist(), keys.tolist(), strict=True)
-        else:
-            draws = zip(units, repeat(NEVER), repeat(0))
-        out = []
-        known = self.known
-        for unit, skip, key in draws:
-            node = known.get(unit)
-            if node is None:
-                out.append(self._first(unit, key, skip))
-                known = self.known
-            else:
-                out.append(node[0] if skip >= node[1] else self._varied(unit, node, key, skip))
-        return np.frombuffer(b"".join(out), "<i4")
+        return self.encode_all([text], [document])[0]
 
     def decode_bytes(self, ids) -> bytes:
         """The UTF-8 text of ``ids``; the leading space that encoding adds is dropped. The bytes of all pieces are gathered at once, a piece of the ids at a time."""
@@ -315,12 +454,9 @@ def encode_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, dropout, seed)
         for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
-            found, same = [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                raw = t.as_py() or b""
-                ids = encoder.encode(raw.decode("utf-8", "replace"), i or 0)
-                found.append(ids)
-                same.append(encoder.decode_bytes(ids) == raw)
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            found = encoder.encode_all([t.decode("utf-8", "replace") for t in texts], [i or 0 for i in batch.column(0).to_pylist()])
+            same = [encoder.decode_bytes(ids) == raw for ids, raw in zip(found, texts, strict=True)]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = np.concatenate(found) if found else np.zeros(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
