@@ -98,14 +98,16 @@ class Words:
         """(targets, inputs, words beyond the lookup) of a whole text with its end token; target ``n`` is a word beyond."""
         words = raw.lower().split()
         words.append(END)
-        targets = np.array(list(map(self.ids.get, words, repeat(self.n))), np.int32)
+        targets = np.fromiter(map(self.ids.get, words, repeat(self.n)), np.int32, len(words))
         beyond = np.flatnonzero(targets == self.n)
         rare = [words[i] for i in beyond.tolist()]
         inputs = np.empty(len(words), np.int32)
         inputs[0] = self.start
         inputs[1:] = self.input_of[targets[:-1]]
-        for at, word in zip(beyond.tolist(), rare, strict=True):
-            inputs[at + 1] = self.head + self.suffix(word)  # the end token is never beyond
+        if rare:  # ``suffix`` of all of them; the end token is never beyond
+            lengths = np.fromiter(map(len, rare), np.int64, len(rare))
+            letters, last = np.frombuffer(b"".join(rare), np.uint8).astype(np.int32), np.cumsum(lengths) - 1
+            inputs[beyond + 1] = self.head + (letters[last] * 31 + np.where(lengths > 1, letters[last - 1], 0)) % SUFFIX_BUCKETS
         return targets, inputs, rare
 
 
@@ -182,28 +184,35 @@ class Network:
             chance[rows, classes] -= each
             back = chance @ p["vc"].T
             grads = {"vc": states.T @ chance, "bc": chance.sum(axis=0), "vw": np.zeros_like(p["vw"]), "bw": np.zeros_like(p["bw"])}
+            ones_of = np.ones(n, np.float32)
         else:
             logp -= np.log(total)
         place = targets - classes * self.s.per_class
+        weights, biases = p["vw"], p["bw"] - self.w.word_top[:, None]
+        ones = np.ones(self.s.per_class, np.float32)
         at = 0
-        for k in range(self.w.head_classes):
-            s, at = slice(at, ends[k]), ends[k]
-            size = s.stop - s.start
-            if not size:
+        for k, stop in enumerate(ends[: self.w.head_classes]):
+            start, at = at, stop
+            if start == stop:
                 continue
-            chance = states[s] @ p["vw"][k].T
-            chance += p["bw"][k] - self.w.word_top[k]
+            mine, wanted, first = states[start:stop], place[start:stop], rows[: stop - start]
+            chance = mine @ weights[k].T
+            chance += biases[k]
             if not learn:
-                logp[s] += chance[rows[:size], place[s]]
-            total = self._exponentials(chance, reach)
+                logp[start:stop] += chance[first, wanted]
+            if reach > 80:
+                np.minimum(chance, 80, out=chance)
+            np.exp(chance, out=chance)
+            total = chance @ ones
             if learn:
-                chance *= (each / total)[:, None]
-                chance[rows[:size], place[s]] -= each
-                back[s] += chance @ p["vw"][k]
-                grads["vw"][k] = chance.T @ states[s]
-                grads["bw"][k] = chance.sum(axis=0)
+                np.divide(each, total, out=total)
+                chance *= total[:, None]
+                chance[first, wanted] -= each
+                back[start:stop] += chance @ weights[k]
+                np.matmul(chance.T, mine, out=grads["vw"][k])
+                np.matmul(ones_of[: stop - start], chance, out=grads["bw"][k])
             else:
-                logp[s] -= np.log(total)
+                logp[start:stop] -= np.log(total)
         given = np.empty_like(back if learn else logp)
         given[order] = back if learn else logp
         return given, grads
@@ -224,7 +233,7 @@ class Network:
         trace, states = [], np.empty((steps, lanes, H), np.float32)
         h = state
         for t in range(steps):
-            before = h * keep[t]
+            before = h * keep[t]  # no state is carried over the start of a document
             h, gates, new, inner = self.step(x[t], before)
             trace.append((before, gates, new, inner))
             states[t] = h
@@ -235,32 +244,40 @@ class Network:
         dg = np.empty((steps, lanes, 3 * H), np.float32)
         carry = np.zeros((lanes, H), np.float32)
         turned = np.ascontiguousarray(self.p["u"].T)
+        starts = (keep == 0).any(axis=(1, 2)).tolist()
+        slope, bend, move = np.empty((lanes, 2 * H), np.float32), np.empty((lanes, H), np.float32), np.empty((lanes, H), np.float32)
         for t in range(steps - 1, -1, -1):
             before, gates, new, inner = trace[t]
             z, r = gates[:, :H], gates[:, H:]
             d = back[t]
             d += carry
             kept = d * z
-            slope = 2 * gates
-            slope *= 1 - gates
-            dnew = d - kept
-            dnew *= 1 - new * new
+            np.subtract(1, gates, out=slope)
+            slope *= gates
+            slope *= 2
             both, last = dg[t, :, : 2 * H], dg[t, :, 2 * H :]
-            np.multiply(d, before - new, out=both[:, :H])
+            dnew = dx[t, :, 2 * H :]
+            np.subtract(d, kept, out=dnew)
+            np.multiply(new, new, out=bend)
+            np.subtract(1, bend, out=bend)
+            dnew *= bend
+            np.subtract(before, new, out=move)
+            np.multiply(d, move, out=both[:, :H])
             np.multiply(dnew, inner, out=both[:, H:])
             both *= slope
             np.multiply(dnew, r, out=last)
             dx[t, :, : 2 * H] = both
-            dx[t, :, 2 * H :] = dnew
             kept += dg[t] @ turned
-            carry = kept * keep[t]
+            if starts[t]:
+                kept *= keep[t]
+            carry = kept
         stacked = np.concatenate([b for b, *_ in trace])
         del trace
         grads["u"] = stacked.T @ dg.reshape(-1, 3 * H)
         for name, g in grads.items():
             self._descend(name, g, slice(None))
         ids = inputs.ravel()
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids.astype(np.uint16) if self.w.inputs <= 1 << 16 else ids, kind="stable")  # 16 bits are sorted by radix
         ordered = ids[order]
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         self._descend("x", np.add.reduceat(dx.reshape(-1, 3 * H)[order], first, axis=0), ordered[first])
@@ -270,8 +287,17 @@ class Network:
     def _descend(self, name: str, g: np.ndarray, rows) -> None:
         """An Adagrad step."""
         seen = self.g2.setdefault(name, np.full_like(self.p[name], 1e-7))
-        seen[rows] += g * g
-        self.p[name][rows] -= self.s.rate * g / np.sqrt(seen[rows])
+        if isinstance(rows, slice):
+            seen += g * g
+            g *= np.float32(self.s.rate)
+            g /= np.sqrt(seen)
+            self.p[name] -= g
+        else:
+            squares = seen[rows] + g * g
+            seen[rows] = squares
+            g *= np.float32(self.s.rate)
+            g /= np.sqrt(squares, out=squares)
+            self.p[name][rows] -= g
 
     def fit(self, texts: Iterator[bytes]) -> int:
         """One pass; returns the number of tokens. State is carried over the windows of a lane."""
@@ -446,33 +472,37 @@ def train(docs: DataFrame, words: Words, s: Settings) -> np.ndarray:
 
 def _score(words, weights, s: Settings):
     fields = [("uid", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())]
-    item = pa.struct([("w", pa.binary()), ("n", pa.int32())])
     names = [f for f, _ in fields] + ["items"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words.value
         net = Network(known, s, weights.value)
         uid = TaskContext.get().partitionId() << 40
-        rows, targets, inputs, have = [], [], [], 0
+        rows, targets, inputs, item_words, item_counts, ends, have = [], [], [], [], [], [0], 0
 
         def flush() -> pa.RecordBatch:
             scores = net.score(targets, inputs).tolist()
-            columns = list(zip(*rows, strict=True))
-            made = [pa.array(c, t) for c, (_, t) in zip(columns[:6], fields[:6], strict=True)]
-            return pa.RecordBatch.from_arrays([*made, pa.array(scores), pa.array(columns[6], pa.list_(item))], names=names)
+            made = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields[:6], strict=True)]
+            items = pa.StructArray.from_arrays([pa.array(item_words, pa.binary()), pa.array(item_counts, pa.int32())], names=["w", "n"])
+            return pa.RecordBatch.from_arrays([*made, pa.array(scores), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], names=names)
 
         for batch in batches:
             for id_, held, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
                 goal, given, rare = known.encode(t.as_py() or b"")
+                counted = Counter(rare)
                 # the first item stands for the document; its key is no word
-                items = [{"w": b" %d" % uid, "n": 0}, *({"w": w, "n": n} for w, n in Counter(rare).items())]
-                rows.append((uid, id_, held, len(goal), int(known.seen[goal].sum()), float(known.base[goal].sum()), items))
+                item_words.append(b" %d" % uid)
+                item_words.extend(counted)
+                item_counts.append(0)
+                item_counts.extend(counted.values())
+                ends.append(len(item_words))
+                rows.append((uid, id_, held, len(goal), int(known.seen[goal].sum()), float(known.base[goal].sum())))
                 targets.append(goal)
                 inputs.append(given)
                 uid, have = uid + 1, have + len(goal)
                 if have >= s.chunk_tokens:
                     yield flush()
-                    rows, targets, inputs, have = [], [], [], 0
+                    rows, targets, inputs, item_words, item_counts, ends, have = [], [], [], [], [], [0], 0
         if rows:
             yield flush()
 
