@@ -282,8 +282,8 @@ class Encoder:
         rows = np.arange(height)[:, None]
         agenda = np.full((height, n), NEVER << 6, np.int64)
         agenda[:-1] = self._ranks(symbols[:-1].ravel(), symbols[1:].ravel()).reshape(height - 1, n) << 6 | rows[:-1]
-        after = np.ascontiguousarray(np.broadcast_to(rows + 1, (height, n)))
-        before = np.ascontiguousarray(np.broadcast_to(rows - 1, (height, n)))
+        after = np.repeat(rows + 1, n, axis=1)
+        before = np.repeat(rows - 1, n, axis=1)
         live = rows < lengths
         popped, number, skip, keys = np.zeros(n, np.int64), np.ones(n, np.uint64), skips.astype(np.int64), keys.astype(np.uint64)
         flat_symbols, flat_agenda, flat_after, flat_before, flat_live = (x.reshape(-1) for x in (symbols, agenda, after, before, live))

@@ -4,6 +4,7 @@ import os
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from brute import brute_kept, brute_mix, brute_near
 
@@ -48,6 +49,33 @@ def test_both_agendas_agree(vocabulary):
         assert encoder._merge_list(unit, key) == encoder._merge_heap(unit, key)
 
 
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.6])
+def test_columns_equal_one_by_one(vocabulary, dropout):
+    encoder, rng = sentencepiece.Encoder(vocabulary, dropout), random.Random(4)
+    units, skips, keys = [], [], []
+    for _ in range(1500):
+        units.append("▁" + "".join(rng.choice("aeinstrthéçouxWk,.-1日\udc81👍\u0000") for _ in range(rng.randrange(1, sentencepiece.LONGEST))))
+        keys.append(rng.getrandbits(64))
+        skips.append(encoder._gap(keys[-1], 1))
+    units += ["▁" * 48, "x" * 48, "the", "▁the"]
+    keys += [1, 2, 3, 4]
+    skips += [encoder._gap(k, 1) for k in (1, 2, 3, 4)]
+    ids, popped = encoder._columns(units, np.array(keys, np.uint64), np.array(skips, np.int64))
+    assert list(zip(ids, popped.tolist())) == [encoder._segment(*x) for x in zip(units, keys, skips)]
+
+
+def test_many_texts_together_equal_each_alone(vocabulary, monkeypatch):
+    rng = random.Random(5)
+    texts = [*TEXTS, *(" ".join(rng.choice(["the", "tokens", "▁", "naïve", "x" * 70, "42,"]) for _ in range(rng.randrange(400))) for _ in range(12))]
+    ids = list(range(len(texts)))
+    alone = [sentencepiece.Encoder(vocabulary, 0.2).encode(t, i).tolist() for t, i in zip(texts, ids)]
+    assert [x.tolist() for x in sentencepiece.Encoder(vocabulary, 0.2).encode_all(texts, ids)] == alone
+    monkeypatch.setattr(sentencepiece, "TOGETHER", 50)
+    monkeypatch.setattr(sentencepiece, "COLUMNS", 7)
+    monkeypatch.setattr(sentencepiece, "CACHE_ENTRIES", 3)
+    assert [x.tolist() for x in sentencepiece.Encoder(vocabulary, 0.2).encode_all(texts, ids)] == alone
+
+
 def test_small_caches_change_nothing(vocabulary, monkeypatch):
     text = "many different words make the remembered ones go away, again and again"
     whole = sentencepiece.Encoder(vocabulary, 0.2).encode(text, 3).tolist()
