@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import exact_dedup, lm_scoring, mixing, pii, quality, sentencepiece, sharding, simhash, substring_dedup, url_filter
+from assayer.llm import exact_dedup, lm_scoring, mixing, pii, quality, sentencepiece, sharding, simhash, substring_dedup, url_filter, vector_codes
 
 #: The rules of the query: (verdict, host, path).
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -69,6 +69,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SHARE)
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded_table(_table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_url_filter": op2_url_filter,
@@ -80,6 +84,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_mix_sources": op10_mix_sources,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES = {
@@ -172,3 +177,31 @@ ORACLES["op10_mix_sources"] = ORACLES["op10_mix_sources"].replace(
         ]
     ),
 )
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Lloyd rounds with every distance worked out."""
+    steps = ["""
+        kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                 WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS MATERIALIZED (SELECT r, vec_id, p, v[p * len(v) // 8 + 1:(p + 1) * len(v) // 8] AS x FROM kept, range(8) AS t(p)),
+        first AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM kept QUALIFY e < 16),
+        b0 AS MATERIALIZED (SELECT p, e, x AS c FROM parts JOIN first USING (r))"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+        a{k} AS MATERIALIZED (SELECT r, p, min({{'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': e}}) AS best
+                 FROM parts JOIN b{k} USING (p) GROUP BY r, p)""")
+        if k < rounds:
+            steps.append(f"""
+        b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m, c) AS c FROM b{k} LEFT JOIN (SELECT p, e, list(m ORDER BY i) AS m FROM (
+                 SELECT p, e, i, floor(sum(y) / count(*))::BIGINT AS m FROM (SELECT p, best.e AS e, unnest(x) AS y, unnest(range(len(x))) AS i FROM a{k} JOIN parts USING (r, p)) GROUP BY ALL) GROUP BY ALL)
+                 USING (p, e))""")
+    return f"""
+        WITH {", ".join(steps)},
+        coded AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+               (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+        FROM coded JOIN kept USING (r)"""
+
+
+ORACLES["op13_vector_codes"] = _lloyd_sql(6)
