@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import date
 
-from assayer.llm import exact_dedup, lm_scoring, mixing, pii, quality, sentencepiece, sharding, simhash, substring_dedup, url_filter, vector_codes
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from assayer.llm import exact_dedup, lm_scoring, mixing, pii, quality, sentencepiece, sharding, simhash, substring_dedup, time_parts, url_filter, vector_codes
 
 #: The rules of the query: (verdict, host, path).
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -69,6 +72,19 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SHARE)
 
 
+def click_moment() -> Column:
+    """The moment of a click: its time, for an eighth of the ids moved back by years, for another floored to its Monday."""
+    m, k = time_parts.micros(F.col("ts")), F.crc32(F.col("click_id").cast("string")) % 128
+    return F.when(k < 16, time_parts.days_before(m, (k + 6) * (k + 6) * (k + 6))).when(k > 111, time_parts.monday(m)).otherwise(m)
+
+
+def op12_time_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks = _table(spark, sf_dir, "clicks")
+    before = time_parts.micros(F.col("arrived_at")) < (date(2024, 3, 1) - date(1970, 1, 1)).days * time_parts.DAY
+    order = [time_parts.micros(F.col("arrived_at")), F.col("click_id").cast("long")]
+    return time_parts.partition_twice(clicks, click_moment(), before, order, "click_id", share=650)
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.coded_table(_table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
 
@@ -84,6 +100,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_mix_sources": op10_mix_sources,
+    "op12_time_partitions": op12_time_partitions,
     "op13_vector_codes": op13_vector_codes,
 }
 
