@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import exact_dedup, lm_scoring, mixing, pii, quality, sentencepiece, sharding, simhash, substring_dedup, time_parts, url_filter, vector_codes
+from assayer.llm import exact_dedup, lm_scoring, mixing, pii, quality, secrets, sentencepiece, sharding, simhash, substring_dedup, time_parts, url_filter, vector_codes
 
 #: The rules of the query: (verdict, host, path).
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -72,6 +72,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SHARE)
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def click_moment() -> Column:
     """The moment of a click: its time, for an eighth of the ids moved back by years, for another floored to its Monday."""
     m, k = time_parts.micros(F.col("ts")), F.crc32(F.col("click_id").cast("string")) % 128
@@ -100,6 +104,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_mix_sources": op10_mix_sources,
+    "op11_secret_scan": op11_secret_scan,
     "op12_time_partitions": op12_time_partitions,
     "op13_vector_codes": op13_vector_codes,
 }
