@@ -19,13 +19,12 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: What any text with a base span has: an assignment's last letters, a key's first, or a long run of hexadecimal digits.
-MAYBE = re.compile(rb"(?i:word|passwd|secret|token|key)|AKIA|[0-9a-f]{24}")
+#: What any text with a base span has, in lower case, unless it has a long run of hexadecimal digits.
+NEEDLES = (b"password", b"passwd", b"secret", b"token", b"key", b"akia")
+HEX_RUN = 24
 
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 FORBIDDEN = -1e9
-#: Feature weights live in a table of this size; features find their row by a keyed hash.
-DIMENSIONS = 1 << 15
 #: Tokens before and behind a sampled span, or of a sampled stretch without one.
 AROUND = 40
 #: Code points that make up a word token; each other character but white space is a token of its own.
@@ -33,12 +32,36 @@ WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), 0x5F, *range(0x80, 0x100)]] = True
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
-#: Token types whose features a worker remembers.
-REMEMBERED = 200_000
 #: Tokens that are scored together.
 PIECE = 1 << 19
 
 
+def _flags(*ranges: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for a, z in ranges:
+        out[a : z + 1] = True
+    return out
+
+
+DIGIT, UPPER, LOWER = _flags((0x30, 0x39)), _flags((0x41, 0x5A)), _flags((0x61, 0x7A))
+SMALL_HEX, ANY_HEX = _flags((0x30, 0x39), (0x61, 0x66)), _flags((0x30, 0x39), (0x61, 0x66), (0x41, 0x46))
+LOWERED = np.arange(256, dtype=np.uint8)
+LOWERED[UPPER] += 32
+#: The class of a byte inside a token: 0 a digit, 1 upper case, 2 lower case, 3 any other.
+CLASS = np.where(DIGIT, 0, np.where(UPPER, 1, np.where(LOWER, 2, 3))).astype(np.int8)
+
+#: Kinds of features of a token and how many values each has. A neighbour has a word (by hash) and a look; the last value of these stands for no neighbour.
+WORDS, LOOKS = 1 << 13, 128
+KINDS_OF_FEATURES = {
+    "size": 17, "mix": 125, "changes": 13, "hex": 8, "mixed": 32, "sign": 256,
+    "word before": WORDS + 1, "word second before": WORDS + 1, "word behind": WORDS + 1, "look before": LOOKS + 1, "look second before": LOOKS + 1, "look behind": LOOKS + 1,
+    "glue": 4, "signs in file": 6, "tokens in file": 8,
+}
+FIRST_OF = dict(zip(KINDS_OF_FEATURES, np.cumsum([0, *KINDS_OF_FEATURES.values()])[:-1].tolist(), strict=True))
+DIMENSIONS = sum(KINDS_OF_FEATURES.values())
+SALTS = {"word before": 0x9E3779B97F4A7C15, "word second before": 0xC2B2AE3D27D4EB4F, "word behind": 0x165667B19E3779F9}
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) of the fixed shapes in code points, by start then kind."""
     spans = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m[1]) >= 6]
@@ -72,49 +95,84 @@ def tokenise(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts[full], ends[full]
 
 
-def _feature(name: str) -> int:
-    return int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") % DIMENSIONS
-
-
-def _shape(word: str) -> str:
-    """Runs of classes: ``Abc12`` is ``Aa9``."""
-    plain = re.sub(r"[0-9]+", "9", re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", word)))
-    return re.sub(r"[^\x00-\x7f]+", "u", plain)
-
-
-def type_features(word: str) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Features of a token as itself, as the one before, the second before and the one behind another."""
-    digits, upper, lower = (sum(a <= c <= z for c in word) for a, z in ("09", "AZ", "az"))
-    n, shape = len(word), _shape(word)
-    size = min(n, 4) if n < 5 else min(n // 4, 12) + 4
-    changes = len(shape)
-    own = [f"n{size}", f"s{shape[:8]}", f"c{min(changes, 12)}", f"d{4 * digits // n}", f"u{4 * upper // n}", f"l{4 * lower // n}", f"v{len(set(word)) * 4 // min(n, 16)}"]
-    if n >= 6 and digits and all(c in "0123456789abcdefABCDEF" for c in word):
-        own.append(f"hex{min(n // 8, 6)}")
-    if n >= 8 and digits and (upper or lower):
-        own.append(f"mixed{min(n // 8, 6)}{bool(upper)}{bool(lower)}")
-    name = word.lower()[:40]
-    wide = f"{shape[:4]}{min(n, 8)}"
-    return (
-        [_feature(f"0{f}") for f in own],
-        [_feature(f"-{f}") for f in (f"w{name}", f"s{wide}")],
-        [_feature(f"={f}") for f in (f"w{name}", f"s{wide}")],
-        [_feature(f"+{f}") for f in (f"w{name}", f"s{wide}")],
-    )
-
-
-EDGE = type_features("\x00")
-#: Glue: whether white space stands before and behind a token. File features: share of signs and number of tokens of the whole text, in steps.
-GLUE = [_feature(f"g{k}") for k in range(4)]
-SIGNS = [_feature(f"p{k}") for k in range(6)]
-LENGTHS = [_feature(f"t{k}") for k in range(8)]
-
-
-def _files(signs: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The two file features of texts by their number of sign tokens and of all tokens."""
-    share = np.minimum(signs * 16 // np.maximum(n, 1), 5)
-    length = np.minimum(np.log2(np.maximum(n, 1)) / 2, 7).astype(np.int64)
-    return np.stack([np.array(SIGNS)[share], np.array(LENGTHS)[length]], axis=1)
+class Tokens:
+    """The tokens of texts that lie one behind the other, and their features, piece by piece."""
+
+    def __init__(self, raw: bytes, bounds: np.ndarray):
+        self.data = np.frombuffer(raw, np.uint8)
+        self.starts, self.ends = tokenise(self.data, bounds) if len(raw) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        n = len(self.starts)
+        text = np.searchsorted(bounds, self.starts, side="right") - 1
+        first = np.ones(n, bool)
+        first[1:] = text[1:] != text[:-1]
+        self.firsts = np.flatnonzero(first)  # of each text that has tokens
+        self.place = np.arange(n) - np.repeat(self.firsts, np.diff(np.append(self.firsts, n)))
+        self.last = np.append(first[1:], True)[:n]
+        behind = np.append(self.starts[1:] > self.ends[:-1], True)[:n] | self.last
+        self.glue = 2 * np.append(True, behind[:-1])[:n] + behind
+        sizes = np.diff(np.append(self.firsts, n))
+        signs = np.add.reduceat((~WORD_BYTE[self.data[self.starts]]).astype(np.int64), self.firsts) if n else sizes
+        share = np.minimum(signs * 16 // np.maximum(sizes, 1), 5)
+        length = np.minimum(np.log2(np.maximum(sizes, 1)) / 2, 7).astype(np.int64)
+        self.file = np.stack([share + FIRST_OF["signs in file"], length + FIRST_OF["tokens in file"]], axis=1)
+        self.text = np.cumsum(first) - 1  # among texts that have tokens
+
+    def features(self, low: int, high: int) -> list[np.ndarray]:
+        """A row number of the weights for each kind of feature of the tokens from ``low`` to ``high``."""
+        a, z = max(0, low - 2), min(len(self.starts), high + 1)
+        base = int(self.starts[a])
+        data, starts, ends = self.data[base : int(self.ends[z - 1])], self.starts[a:z] - base, self.ends[a:z] - base
+        within = np.zeros(len(data) + 1, np.int32)
+
+        def count(flag: np.ndarray) -> np.ndarray:
+            np.cumsum(flag, out=within[1:])
+            return within[ends] - within[starts]
+
+        n, kind = (ends - starts).astype(np.int32), CLASS[data]
+        digits, upper, lower, hexes = (count(flag[data]) for flag in (DIGIT, UPPER, LOWER, ANY_HEX))
+        turns = np.zeros(len(data), bool)
+        turns[1:] = kind[1:] != kind[:-1]
+        turns[starts] = False
+        changes = count(turns)
+        size = np.where(n < 5, n, np.minimum(n // 4, 12) + 4)
+        grade = np.minimum(n // 8, 6)
+        sign = np.where(WORD_BYTE[data[starts]], 0, data[starts])
+        mixed = np.where((n >= 8) & (digits > 0) & (upper + lower > 0), grade * 4 + 2 * (upper > 0) + (lower > 0) + 1, 0)
+        look = np.minimum(size, 15) * 8 + 4 * (digits > 0) + 2 * (upper > 0) + (lower > 0)
+        hashes = word_hashes(LOWERED[data], starts, ends)
+        own = slice(low - a, high - a)
+        found = {
+            "size": size[own], "mix": (4 * digits // n * 25 + 4 * upper // n * 5 + 4 * lower // n)[own], "changes": np.minimum(changes, 12)[own],
+            "hex": np.where((n >= 6) & (digits > 0) & (hexes == n), grade + 1, 0)[own], "mixed": mixed[own], "sign": sign[own],
+        }
+        place, last = self.place[low:high], self.last[low:high]
+        at = np.arange(low - a, high - a)
+        for which, other, there in (("before", at - 1, place > 0), ("second before", at - 2, place > 1), ("behind", at + 1, ~last)):
+            other = np.where(there, other, 0)
+            word = (hashes[other] * np.uint64(SALTS[f"word {which}"]) >> np.uint64(64 - 13)).astype(np.int64)
+            found[f"word {which}"], found[f"look {which}"] = np.where(there, word, WORDS), np.where(there, look[other], LOOKS)
+        rows = [found[k] + FIRST_OF[k] for k in list(KINDS_OF_FEATURES)[:-3]]
+        file = self.file[self.text[low:high]]
+        return [*rows, self.glue[low:high] + FIRST_OF["glue"], file[:, 0], file[:, 1]]
+
+
+def likely_texts(raw: bytes, bounds: np.ndarray) -> np.ndarray:
+    """Which of the texts between ``bounds`` may have a base span: a needle, or a long run of hexadecimal digits."""
+    found = np.zeros(len(bounds) - 1, bool)
+    lowered = raw.lower()
+    for needle in NEEDLES:
+        at = lowered.find(needle)
+        while at >= 0:
+            text = int(np.searchsorted(bounds, at, side="right")) - 1
+            found[text] = True
+            at = lowered.find(needle, int(bounds[text + 1]))  # the rest of this text is settled
+    hexes = np.concatenate(([False], SMALL_HEX[np.frombuffer(raw, np.uint8)], [False]))
+    edge = np.flatnonzero(hexes[1:] != hexes[:-1])
+    starts, ends = edge[0::2], edge[1::2]
+    long = ends - starts >= HEX_RUN
+    for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
+        found[int(np.searchsorted(bounds, s, side="right")) - 1 : int(np.searchsorted(bounds, e - 1, side="right"))] = True
+    return found
 
 
 class Model(NamedTuple):
@@ -124,83 +182,61 @@ class Model(NamedTuple):
     steps: np.ndarray
 
 
-def windows(text: str, key: int) -> list[tuple[list[list[int]], list[int], bool]]:
-    """(features, tags, whether it has a secret) of stretches of a text: around its first four secrets, or one at a place drawn by ``key``."""
+def windows(text: str, key: int) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+    """(features (tokens, kinds), tags, whether it has a secret) of stretches of a text: around its first four secrets, or one at a place drawn by ``key``."""
     raw = text.encode("utf-8", "surrogatepass")
-    data = np.frombuffer(raw, np.uint8)
-    starts, ends = tokenise(data, np.array([0, len(data)]))
-    n = len(starts)
+    tokens = Tokens(raw, np.array([0, len(raw)]))
+    n = len(tokens.starts)
     if not n:
         return []
-    values = secret_values(text)
-    spans, at, b = [], 0, 0
-    for s, e in values:  # code points to bytes
+    tags, at, b = np.full(n, OUTSIDE), 0, 0
+    for s, e in secret_values(text):  # code points to bytes
         b += len(text[at:s].encode("utf-8", "surrogatepass"))
         size = len(text[s:e].encode("utf-8", "surrogatepass"))
-        spans.append((b, b + size))
-        b, at = b + size, e
-    tags = np.full(n, OUTSIDE)
-    for s, e in spans:
-        i, j = np.searchsorted(ends, s, side="right"), np.searchsorted(starts, e, side="left")
+        i, j = np.searchsorted(tokens.ends, b, side="right"), np.searchsorted(tokens.starts, b + size, side="left")
         tags[i:j] = INSIDE
         tags[i : i + (j > i)] = BEGIN
-    signs = int((~WORD_BYTE[data[starts]]).sum())
-    file = _files(np.array([signs]), np.array([n]))[0].tolist()
+        b, at = b + size, e
     begins = np.flatnonzero(tags == BEGIN)[:4]
     if len(begins):
         cuts = [(max(0, int(i) - AROUND), min(n, int(i) + AROUND)) for i in begins]
     else:
         first = key % max(1, n - 2 * AROUND)
         cuts = [(first, min(n, first + 2 * AROUND))]
-    found = []
-    for low, high in cuts:
-        words = [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in range(max(0, low - 2), min(n, high + 1))]
-        own = [type_features(w) for w in words]
-        skip, rows = low - max(0, low - 2), []
-        for i in range(low, high):
-            k = i - low + skip
-            glue = 2 * (i == 0 or starts[i] > ends[i - 1]) + (i + 1 == n or starts[i + 1] > ends[i])
-            before, second = own[k - 1] if i else EDGE, own[k - 2] if i > 1 else EDGE
-            behind = own[k + 1] if i + 1 < n else EDGE
-            rows.append([*own[k][0], *before[1], *second[2], *behind[3], GLUE[glue], *file])
-        found.append((rows, tags[low:high].tolist(), bool(len(begins))))
-    return found
+    return [(np.stack(tokens.features(low, high), axis=1), tags[low:high], bool(len(begins))) for low, high in cuts]
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
+        likely = likely_texts(b"".join(texts), np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64))
         rows = []
-        for key, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-            raw = t.as_py() or b""
-            text = raw.decode("utf-8", "replace")
-            if not MAYBE.search(raw) and key & 15:
+        for key, raw, flag in zip(batch.column(0).to_pylist(), texts, likely.tolist(), strict=True):
+            if not flag and key & 15:
                 continue  # stretches of a sixteenth of the plain texts are candidates, drawn by their hash
-            for k, (features, tags, secret) in enumerate(windows(text, key & 0x7FFFFFFF)):
-                rows.append((key ^ k, secret, [len(x) for x in features], [f for x in features for f in x], tags))
+            for k, (features, tags, secret) in enumerate(windows(raw.decode("utf-8", "replace"), key & 0x7FFFFFFF)):
+                rows.append((key ^ k, secret, features.ravel(), tags))
         if rows:
-            types = [pa.int64(), pa.bool_(), *[pa.list_(pa.int32())] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["key", "secret", "sizes", "features", "tags"])
+            types = [pa.int64(), pa.bool_(), *[pa.list_(pa.int32())] * 2]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["key", "secret", "features", "tags"])
 
 
 def sample_windows(docs: DataFrame, bound: int) -> DataFrame:
     """At most ``bound`` stretches with base secrets and as many without, those of the least hashes of their texts; equal texts count once."""
-    cut_out = docs.select(F.xxhash64("text").alias("key"), "text").mapInArrow(_sample, "key long, secret boolean, sizes array<int>, features array<int>, tags array<int>")
+    cut_out = docs.select(F.xxhash64("text").alias("key"), "text").mapInArrow(_sample, "key long, secret boolean, features array<int>, tags array<int>")
     kept = cut(cut_out)
     halves = [kept.filter(F.col("secret") == flag).dropDuplicates(["key"]).orderBy("key").limit(bound) for flag in (True, False)]
     return cut(halves[0].unionByName(halves[1]))
 
 
-def _padded(rows: list[tuple[list, list, list]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features (b, t, f) with -1 where there is none, tags (b, t), lengths)."""
-    longest, most = max(len(r[0]) for r in rows), max(max(r[0]) for r in rows)
-    features, tags = np.full((len(rows), longest, most), -1, np.int64), np.full((len(rows), longest), OUTSIDE)
-    for k, (sizes, flat, own) in enumerate(rows):
-        at = 0
-        for i, n in enumerate(sizes):
-            features[k, i, :n] = flat[at : at + n]
-            at += n
+def _padded(rows: list[tuple[list, list]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features (b, t, kinds), tags (b, t), lengths) of stretches; what lies behind a stretch's end is not looked at."""
+    longest, kinds = max(len(r[1]) for r in rows), len(rows[0][0]) // len(rows[0][1])
+    features, tags = np.zeros((len(rows), longest, kinds), np.int64), np.full((len(rows), longest), OUTSIDE)
+    for k, (flat, own) in enumerate(rows):
+        features[k, : len(own)] = np.reshape(flat, (len(own), kinds))
         tags[k, : len(own)] = own
-    return features, tags, np.array([len(r[0]) for r in rows])
+    return features, tags, np.array([len(r[1]) for r in rows])
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -211,7 +247,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 def gradient(model: Model, features: np.ndarray, tags: np.ndarray, lengths: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     """(log-likelihood, token marginals minus truth (b, t, 3), expected minus true steps (3, 3), scores) of padded stretches, by forward and backward sums."""
     b, t = tags.shape
-    scores = np.where((features >= 0)[..., None], model.weights[features], 0).sum(axis=2)
+    scores = model.weights[features].sum(axis=2)
     inside = np.arange(t)[None, :] < lengths[:, None]
     ahead, back = np.zeros((b, t, 3)), np.zeros((b, t, 3))
     ahead[:, 0] = scores[:, 0] + model.steps[OUTSIDE]
@@ -249,10 +285,8 @@ def train_locally(rows: list[tuple], model: Model, epochs: int, rate: float, kee
         for at in range(0, len(rows), batch):
             features, tags, lengths = _padded(rows[at : at + batch])
             _, wrong, wrong_steps, _ = gradient(Model(weights, steps), features, tags, lengths)
-            flat, there = features.reshape(-1, features.shape[2]), features.reshape(-1, features.shape[2]) >= 0
-            slope = np.zeros_like(weights)
-            token, column = np.nonzero(there)
-            np.add.at(slope, flat[token, column], wrong.reshape(-1, 3)[token])
+            flat, each = features.reshape(-1), np.repeat(wrong.reshape(-1, 3), features.shape[2], axis=0)
+            slope = np.stack([np.bincount(flat, each[:, t], len(weights)) for t in range(3)], axis=1)
             seen += slope * slope
             weights -= rate * slope / np.sqrt(seen)
             seen_steps += wrong_steps * wrong_steps
@@ -278,7 +312,7 @@ def train(windows_: DataFrame, shards: int = 8, rounds: int = 2, epochs: int = 4
     for _ in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], given: Model = model) -> Iterator[pa.RecordBatch]:
-            rows = [tuple(r.values()) for b in batches for r in b.select(["sizes", "features", "tags"]).to_pylist()]
+            rows = [tuple(r.values()) for b in batches for r in b.select(["features", "tags"]).to_pylist()]
             if rows:
                 made = train_locally(rows, given, epochs, rate, keep)
                 columns = [pa.array([len(rows)]), pa.array([made.weights.tobytes()]), pa.array([made.steps.tobytes()])]
@@ -339,66 +373,15 @@ def decode(scores: np.ndarray, steps: np.ndarray, firsts: np.ndarray) -> np.ndar
     return tags
 
 
-class Scorer:
-    """Scores of tokens of many texts at once; each token type's features are looked up and summed once a worker."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.tables: np.ndarray | None = None
-        self.forget()
-
-    def forget(self) -> None:
-        self.at: dict[int, int] = {}
-        self.tables = np.zeros((4, 1024, 3), np.float32)
-        self.tables[:, 0] = self._row("\x00")
-        self.size = 1
-
-    def _row(self, word: str) -> np.ndarray:
-        return np.stack([self.model.weights[f].sum(axis=0) for f in type_features(word)])
-
-    def types(self, raw: memoryview, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if self.size + len(distinct) > REMEMBERED:
-            self.forget()
-        found = [self.at.get(h, 0) for h in distinct.tolist()]
-        for k, i in enumerate(found):
-            if not i:
-                at = first[k]
-                if self.size == self.tables.shape[1]:
-                    self.tables = np.concatenate([self.tables, np.zeros_like(self.tables)], axis=1)
-                self.tables[:, self.size] = self._row(bytes(raw[starts[at] : ends[at]]).decode("utf-8", "replace"))
-                self.at[int(distinct[k])] = found[k] = self.size
-                self.size += 1
-        return np.array(found)[inverse]
-
-    def tags(self, raw: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(starts, ends, tags) of the tokens of texts that lie between ``bounds`` of ``raw``."""
-        data = np.frombuffer(raw, np.uint8)
-        starts, ends = tokenise(data, bounds) if len(data) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        if not len(starts):
-            return starts, ends, starts
-        hashes, view, n = word_hashes(data, starts, ends), memoryview(raw), len(starts)
-        text = np.searchsorted(bounds, starts, side="right") - 1
-        first = np.concatenate(([True], text[1:] != text[:-1]))
-        firsts = np.flatnonzero(first)
-        lasts = np.concatenate((firsts[1:], [n])) - 1
-        place = np.arange(n) - np.repeat(firsts, lasts - firsts + 1)
-        last = np.concatenate((first[1:], [True]))
-        apart = np.concatenate((starts[1:] > ends[:-1], [True])) | last
-        glue = 2 * np.concatenate(([True], apart[:-1])) + apart
-        signs = np.add.reduceat((~WORD_BYTE[data[starts]]).astype(np.int64), firsts)
-        w = self.model.weights
-        scores = np.repeat(w[_files(signs, lasts - firsts + 1)].sum(axis=1), lasts - firsts + 1, axis=0) + w[np.array(GLUE)][glue]
-        for at in range(0, n, PIECE):  # a piece with its neighbours, so that the types at hand stay few
-            low, high = max(0, at - 2), min(n, at + PIECE)
-            mine = self.types(view, hashes[low : high + 1], starts[low : high + 1], ends[low : high + 1])
-            kinds = np.pad(mine, (low + 2 - at, int(high == n)))  # from two before the piece to one behind it
-            here, k = slice(at, high), high - at
-            scores[here] += self.tables[0][kinds[2 : 2 + k]]
-            scores[here] += self.tables[1][np.where(place[here] > 0, kinds[1 : 1 + k], 0)]
-            scores[here] += self.tables[2][np.where(place[here] > 1, kinds[:k], 0)]
-            scores[here] += self.tables[3][np.where(last[here], 0, kinds[3 : 3 + k])]
-        return starts, ends, decode(scores, self.model.steps, firsts)
+def tag_tokens(model: Model, raw: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, tags) of the tokens of texts that lie between ``bounds`` of ``raw``."""
+    tokens = Tokens(raw, bounds)
+    n = len(tokens.starts)
+    scores = np.zeros((n, 3), np.float32)
+    for at in range(0, n, PIECE):
+        for rows in tokens.features(at, min(n, at + PIECE)):
+            scores[at : at + PIECE] += model.weights[rows]
+    return tokens.starts, tokens.ends, decode(scores, model.steps, tokens.firsts)
 
 
 def _kind_of(value: str) -> int:
@@ -418,19 +401,20 @@ def _tagged_spans(starts: np.ndarray, ends: np.ndarray, tags: np.ndarray) -> Ite
 
 def _scan(shared, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(Model(*shared.value))
+        model = Model(*shared.value)
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
-            bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+            bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
             joined = b"".join(texts)
-            starts, ends, tags = scorer.tags(joined, bounds)
+            likely = likely_texts(joined, bounds)
+            starts, ends, tags = tag_tokens(model, joined, bounds)
             marked: dict[int, list[tuple[int, int]]] = {}
             for s, e in _tagged_spans(starts, ends, tags):
                 marked.setdefault(int(np.searchsorted(bounds, s, side="right")) - 1, []).append((s, e))
             bases, mores = [], []
             for k, raw in enumerate(texts):
                 base, more = [], []
-                if k in marked or MAYBE.search(raw):
+                if k in marked or likely[k]:
                     text = raw.decode("utf-8", "replace")
                     base = base_spans(text)
                     at, place = 0, 0  # bytes and code points so far
@@ -463,7 +447,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     1. Tokens are runs of letters, digits and underscores; each other sign is one. Their true tags (begin, inside, outside) are those of the base spans' values.
     2. At most ``sample`` stretches of 80 tokens around such secrets and as many elsewhere, those of the least hashes, train the field (``train``). Features of a token are
-       shape, length and mix of its characters, the words and shapes of the two before and the one behind, white space on either side, and the file's share of signs and length;
+       length and mix of its characters, the words and looks of the two before and the one behind, white space on either side, and the file's share of signs and length;
        not its own word, so a secret is known by what it looks like and where it stands.
     3. One pass over all whole texts tags every token by Viterbi, without a shuffle (``decode`` skips only what no best path can touch).
 

@@ -36,20 +36,19 @@ def path_score(scores, steps, tags):
 def test_gradient_by_enumeration_and_differences():
     rng = np.random.default_rng(1)
     model = random_model(rng)
-    rows = [([2, 1, 3, 2], rng.integers(0, 40, 8).tolist(), [2, 0, 1, 2]), ([1, 2], rng.integers(0, 40, 3).tolist(), [0, 0])]
+    rows = [(rng.integers(0, 40, 12).tolist(), [2, 0, 1, 2]), (rng.integers(0, 40, 6).tolist(), [0, 0])]
     features, tags, lengths = secrets._padded(rows)
     value, wrong, wrong_steps, scores = secrets.gradient(model, features, tags, lengths)
     want = 0.0
-    for k, (_, _, own) in enumerate(rows):
+    for k, (_, own) in enumerate(rows):
         n = len(own)
         paths = [path_score(scores[k, :n], model.steps, p) for p in itertools.product(range(3), repeat=n)]
         want += path_score(scores[k, :n], model.steps, own) - np.log(np.exp(np.array(paths)).sum())
     assert value == pytest.approx(want)
     slope = np.zeros_like(model.weights)
-    token, column = np.nonzero(features.reshape(-1, features.shape[2]) >= 0)
-    np.add.at(slope, features.reshape(-1, features.shape[2])[token, column], wrong.reshape(-1, 3)[token])
+    np.add.at(slope, features.reshape(-1), np.repeat(wrong.reshape(-1, 3), features.shape[2], axis=0))
     step = 1e-5
-    for f, t in itertools.product(sorted({x for _, flat, _ in rows for x in flat}), range(3)):
+    for f, t in itertools.product(sorted({x for flat, _ in rows for x in flat}), range(3)):
         up, down = model.weights.copy(), model.weights.copy()
         up[f, t] += step
         down[f, t] -= step
@@ -83,12 +82,20 @@ def test_pieces_and_texts_score_alike(monkeypatch):
     texts = ["", "a", "a b", "key = \"x9\"; é?", "one two three four five six seven 8", " ", "x=y z"]
     raw = "".join(texts).encode()
     bounds = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
-    whole = secrets.Scorer(model).tags(raw, bounds)[2].tolist()
-    alone = [secrets.Scorer(model).tags(t.encode(), np.array([0, len(t.encode())]))[2].tolist() for t in texts]
-    assert whole == [x for a in alone for x in a]
-    monkeypatch.setattr(secrets, "PIECE", 3)
-    monkeypatch.setattr(secrets, "REMEMBERED", 4)
-    assert secrets.Scorer(model).tags(raw, bounds)[2].tolist() == whole
+    whole = secrets.tag_tokens(model, raw, bounds)[2].tolist()
+    alone = [secrets.tag_tokens(model, t.encode(), np.array([0, len(t.encode())]))[2].tolist() for t in texts]
+    assert whole == [x for a in alone for x in a] and len(set(whole)) > 1
+    for size in (1, 3):
+        monkeypatch.setattr(secrets, "PIECE", size)
+        assert secrets.tag_tokens(model, raw, bounds)[2].tolist() == whole
+
+
+def test_likely_texts_leave_out_no_base_span():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["tok", "en", "TOKEN", "=", " ", "a1b2c3d4", "apikey:", "deadbeef", "AKIA", "ABCDEF012345678", "x", "é", "Passwd"]) for _ in range(rng.randrange(12))) for _ in range(2000)]
+    bounds = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    likely = secrets.likely_texts("".join(texts).encode(), bounds)
+    assert all(likely[k] for k, t in enumerate(texts) if plain_base(t)) and not likely.all()
 
 
 def words(rng, n):
@@ -134,7 +141,7 @@ def test_held_out_tokens(spark):
     model = secrets.train(taken)
     right = told = true = 0
     for _, text in made(random.Random(6), 90):
-        starts, ends, tags = secrets.Scorer(model).tags(text.encode(), np.array([0, len(text)]))
+        starts, ends, tags = secrets.tag_tokens(model, text.encode(), np.array([0, len(text)]))
         said = {(int(s), int(e)) for s, e in secrets._tagged_spans(starts, ends, tags)}
         values = set(secrets.secret_values(text))
         right, told, true = right + len(said & values), told + len(said), true + len(values)
