@@ -4,8 +4,9 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from brute import brute_near
+from brute import brute_near, brute_shingles
 
 from assayer.llm import exact_dedup, graph, near_copies, simhash, substring_dedup
 from assayer.llm.text_hash import covered, repeated, sliding_min
@@ -229,18 +230,83 @@ def test_similar_fingerprints_find_all_pairs(spark):
     assert {tuple(r) for r in simhash.similar_fingerprints(fps).collect()} == expected
 
 
-def test_group_within_finds_all_links():
-    rng = random.Random(4)
-    for n, edges in ((1, 0), (30, 10), (30, 40), (60, 50)):
-        links = {(rng.randrange(n), rng.randrange(n)) for _ in range(edges)}
-        table = np.zeros((n, n), bool)
-        for a, b in links:
-            table[a, b] = table[b, a] = True
-        group = list(range(n))
-        for a, b in links:
-            old, new = max(group[a], group[b]), min(group[a], group[b])
-            group = [new if g == old else g for g in group]
-        assert near_copies.group_within(n, lambda i, t=table: t[i]).tolist() == group
+def variants(rng, text, n, changes):
+    """Texts with single words changed far apart, so that each change takes five shingles away."""
+    w = text.split()
+    rows = []
+    for _ in range(n):
+        new = list(w)
+        at = rng.sample(range(3, len(w) - 3, 6), changes)
+        for k in at:
+            new[k] = f"v{rng.randrange(10**9)}"
+        rows.append(" ".join(new))
+    return rows
+
+
+@pytest.mark.parametrize("n", [150, 1500])
+def test_variants_of_a_template_are_one_group_however_many(spark, n):
+    """Pairs of variants are far below the similarity: only the template links them, at 0.815."""
+    rng = random.Random(n)
+    template = words(rng, 200)
+    rows = [(1, template)] + [(10 + i, t) for i, t in enumerate(variants(rng, template, n, 4))] + [(10**6 + i, words(rng, 200)) for i in range(50)]
+    shared = brute_shingles(template) & brute_shingles(rows[1][1])
+    assert 0.8 <= len(shared) / len(brute_shingles(template) | brute_shingles(rows[1][1])) < 0.83
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_groups(frame(spark, rows)).collect()}
+    found = sum(got[10 + i] == 1 for i in range(n)) / n
+    assert found >= 0.9, found
+    assert all(got[i] == i for i in got if i >= 10**6)
+
+
+def test_texts_that_only_share_a_frame_stay_apart(spark):
+    """A crowded bucket alone links nothing: these share two thirds of their words, and are below the similarity."""
+    rng = random.Random(12)
+    head = words(rng, 140)
+    rows = [(i, f"{head} {words(rng, 60)}") for i in range(200)]
+    copies = [(1000 + i, t.replace(t.split()[-2], "other")) for i, t in rows[:20]]
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_groups(frame(spark, rows + copies)).collect()}
+    assert all(got[i] == i for i, _ in rows) and all(got[i] == i - 1000 for i, _ in copies)
+
+
+def test_crowded_buckets_stream_through(spark):
+    rng = np.random.default_rng(3)
+    key = np.sort(rng.integers(0, 12, 400))
+    ahead = rng.integers(0, 1 << 62, 400)
+    order = np.lexsort((ahead, key))
+    key, ahead, node = key[order], ahead[order], np.arange(400)
+    table = pa.Table.from_arrays([pa.array(key), pa.array(ahead), pa.array(node)], names=["key", "ahead", "node"])
+    for cap in (8, 33, 1000):
+        whole = None
+        for size in (400, 7, 1):
+            out = pa.Table.from_batches(near_copies._meet(cap, [64] * 8)(iter(table.to_batches(max_chunksize=size)))).to_pylist()
+            got = sorted(str(sorted(r.items())) for r in out)
+            whole = whole or got
+            assert got == whole
+        members = [r["a"] for r in out if r["b"] is None]
+        sizes = np.bincount(key)
+        assert sorted(members) == [n for n in range(400) if sizes[key[n]] > cap]
+        pairs = sum(int(x) * (int(x) - 1) // 2 if x <= cap else int(x) - 1 for x in sizes if x)
+        assert len(out) - len(members) == pairs
+
+
+def test_short_sets_link_as_all_pairs_would(spark):
+    rng = np.random.default_rng(4)
+    pool = rng.integers(-(1 << 62), 1 << 62, 40)
+    sets = {}
+    for i in range(250):
+        base = set(pool[(i % 5) * 8 : (i % 5) * 8 + 8 + i % 9].tolist())
+        for _ in range(rng.integers(0, 4)):
+            base.symmetric_difference_update({int(rng.choice(pool))})
+        if base:
+            sets[i] = base
+    group = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {i: new if g == old else g for i, g in group.items()}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "node long, short array<long>")
+    labels = {r["node"]: r["label"] for r in graph.components(near_copies._short_links(df, 0.8)).collect()}
+    assert {i: labels.get(i, i) for i in sets} == group and len(set(group.values())) < len(group)
 
 
 def test_components_of_a_chain(spark):
