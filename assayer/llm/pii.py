@@ -191,17 +191,24 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-FILLED = "pid int, n long, id long, th long, s int, e int, k int, seed boolean, inst string, pids array<int>"
-FILLED_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.int32())]
-FILLED_NAMES = ["pid", "n", "id", "th", "s", "e", "k", "seed", "inst", "pids"]
+FILLED_NAMES = ["pattern", "n", "id", "th", "s", "e", "k", "seed", "inst", "patterns"]
+FILLED = "pattern string, n long, id long, th long, s int, e int, k int, seed boolean, inst string, patterns array<string>"
+FILLED_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.string())]
+#: Patterns of other words that a task counts before it passes them on.
+COUNTED = 200_000
 
 
 def _fill(shared):
-    """What fills the slots of the candidate patterns in the whole corpus: rows (id, th, s, e, k, seed, inst, pids) for mentions and
-    words like identifiers, and rows (pid, n) that count all other words."""
+    """What fills the slots of the candidate patterns in the whole corpus: rows (id, th, s, e, k, seed, inst, patterns) for mentions and
+    words like identifiers, and rows (pattern, n) that count all other words. With None for the candidates, the slots of all patterns."""
+
+    def counted(plain: Counter) -> pa.RecordBatch:
+        none = [None] * len(plain)
+        columns = [list(plain), list(plain.values()), *[none] * 8]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, FILLED_TYPES, strict=True)], names=FILLED_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, lefts = shared.value
+        known, lefts = shared.value if shared is not None else (None, None)
         plain: Counter = Counter()
         for batch in batches:
             rows = []
@@ -218,11 +225,12 @@ def _fill(shared):
                 second, left = "^", "^"
                 for at, name in enumerate(names):
                     right = names[at + 1] if at + 1 < len(names) else "$"
-                    hits = []
-                    if left in lefts:
-                        hits = [p for p in (ids.get("L " + left), ids.get(f"LL {second} {left}"), ids.get(f"B {left} {right}")) if p is not None]
-                    if (p := ids.get("R " + right)) is not None:
-                        hits.append(p)
+                    if known is None:
+                        hits = [f"L {left}", f"LL {second} {left}", f"R {right}", f"B {left} {right}"]
+                    else:
+                        hits = [p for p in (f"L {left}", f"LL {second} {left}", f"B {left} {right}") if p in known] if left in lefts else []
+                        if (p := "R " + right) in known:
+                            hits.append(p)
                     if hits:
                         if likely is None or not likely[at]:
                             plain.update(hits)
@@ -231,16 +239,39 @@ def _fill(shared):
                             kind, seed = (found[n][0], found[n][3]) if n >= 0 else (OTHER, False)
                             rows.append((None, None, i, th, s, e, kind, seed, _instance(kind, text[s:e]), hits))
                     second, left = left, name
+                if len(plain) > COUNTED:
+                    yield counted(plain)
+                    plain = Counter()
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), FILLED_TYPES, strict=True)], names=FILLED_NAMES)
         if plain:
-            none = [None] * len(plain)
-            columns = [list(plain), list(plain.values()), *[none] * 8]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, FILLED_TYPES, strict=True)], names=FILLED_NAMES)
+            yield counted(plain)
 
     return run
 
 
+def fill_slots(docs: DataFrame, patterns: DataFrame, max_patterns: int) -> DataFrame:
+    """What stands in the slots of the ``patterns`` (pattern, k): rows (id, th, s, e, k, seed, inst, pids) and rows (pid, n), a pid being the hash of a pattern.
+
+    Up to ``max_patterns`` patterns are known to all tasks. Beyond that the slots of all patterns are written down, those of other words as counts, and meet the
+    patterns in a join; the result is the same.
+    """
+    distinct = cut(patterns.select("pattern").distinct())
+    pid = lambda p: F.xxhash64(p)
+    if distinct.limit(max_patterns + 1).count() <= max_patterns:
+        names = {r["pattern"] for r in distinct.collect()}
+        shared = docs.sparkSession.sparkContext.broadcast((names, {p.split(" ")[2 if p.startswith("LL ") else 1] for p in names if not p.startswith("R ")}))
+        filled = docs.mapInArrow(_fill(shared), FILLED)
+        return cut(filled.select(F.when(F.col("pattern").isNotNull(), pid("pattern")).alias("pid"), "n", "id", "th", "s", "e", "k", "seed", "inst", F.transform("patterns", pid).alias("pids")))
+    filled = cut(docs.mapInArrow(_fill(None), FILLED))
+    wanted = distinct.select(pid("pattern").alias("pid"))
+    plain = filled.filter("pattern is not null").groupBy(pid("pattern").alias("pid")).agg(F.sum("n").alias("n")).join(wanted, "pid", "left_semi")
+    slot = ["id", "th", "s", "e", "k", "seed", "inst"]
+    slots = filled.filter("patterns is not null").select(*slot, F.explode(F.transform("patterns", pid)).alias("pid")).join(wanted, "pid", "left_semi")
+    slots = slots.groupBy(*slot).agg(F.sort_array(F.collect_list("pid")).alias("pids"))  # four at most for each repeat of the row
+    return cut(plain.select("pid", "n").unionByName(slots, allowMissingColumns=True).select("pid", "n", *slot, "pids"))
+
+
 #: White space other than blanks, as blanks.
 BLANKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
@@ -251,38 +282,32 @@ def _spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), one), ",")
 
 
-def candidate_patterns(scanned: DataFrame, min_support: int, support_share: float) -> list[tuple[str, int]]:
-    """(pattern, kind) of the patterns around at least ``min_support`` distinct seeds of a kind, and at least ``support_share`` of all distinct seeds.
-
-    A seed has four patterns, so there are at most ``4 / support_share`` of them whatever the input; the driver holds these.
-    """
+def candidate_patterns(scanned: DataFrame, min_support: int) -> DataFrame:
+    """(pattern, k) of the patterns around at least ``min_support`` distinct seeds of a kind, whatever else the table holds."""
     seeds = scanned.select(F.explode("found").alias("m")).filter("m.seed").select("m.k", "m.inst", "m.around")
-    seeds = cut(seeds.select("k", "inst", F.explode("around").alias("pattern")).distinct())
-    distinct = seeds.select("k", "inst").distinct().count()
-    least = max(min_support, math.ceil(support_share * distinct))
-    found = seeds.groupBy("pattern", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    return [(r["pattern"], r["k"]) for r in found.collect()]
+    seeds = seeds.select("k", "inst", F.explode("around").alias("pattern")).distinct()
+    return cut(seeds.groupBy("pattern", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_support).select("pattern", "k"))
 
 
 def rate_patterns(
-    filled: DataFrame, kinds: DataFrame, min_support: int, min_score: float, tolerance: float = 1e-6, max_rounds: int = 50
+    filled: DataFrame, kinds: DataFrame, min_support: int, min_score: float, tolerance: float = 1e-6, max_rounds: int = 200, small: int = 50_000
 ) -> tuple[DataFrame, DataFrame]:
     """(trusted patterns (pid, k, score), confidences (k, inst, confidence)) from the slots' fillers, by rounds until no confidence moves.
 
     A pattern's score for a kind is the confidence gathered over its distinct fillers of that kind or of none, divided by
     all its distinct fillers that look like identifiers and all mentions of other words in its slot; from ``min_score`` on it is trusted.
-    Seeds have confidence 1. A candidate's is the chance that any of its trusted patterns is right, ``1 - prod(1 - score)``. Scores only grow
-    with confidences and these with scores, so the rounds settle. Patterns that would miss ``min_score`` even if all their candidates were
+    ``kinds`` has a row (pid, k) for each candidate pattern. Tables of patterns of up to ``small`` rows are broadcast. Seeds have confidence 1. A candidate's is the chance that any of its trusted patterns is right, ``1 - prod(1 - score)``. Scores only grow
+    with confidences and these with scores, so the rounds settle; if they have not in ``max_rounds``, that is an error. Patterns that would miss ``min_score`` even if all their candidates were
     right are left out before the first round.
     """
     edges = filled.filter("pids is not null").select(F.explode("pids").alias("pid"), "k", "inst", "seed").distinct()
     plain = filled.filter("pids is null").groupBy("pid").agg(F.sum("n").alias("n"))
     totals = edges.select("pid", F.lit(1).cast("long").alias("n")).unionByName(plain.select("pid", "n")).groupBy("pid").agg(F.sum("n").alias("total"))
-    of_kind = edges.withColumnRenamed("k", "own").join(kinds, "pid").filter((F.col("own") == F.col("k")) | ((F.col("own") == OTHER) & ~F.col("seed")))
+    of_kind = edges.withColumnRenamed("k", "own").join(broadcast_if_small(kinds, small), "pid").filter((F.col("own") == F.col("k")) | ((F.col("own") == OTHER) & ~F.col("seed")))
     near = cut(of_kind.select("pid", "k", "inst", "seed"))
     table = near.groupBy("pid", "k").agg(F.sum(F.col("seed").cast("long")).alias("seeds"), F.count(F.lit(1)).alias("best")).join(totals, "pid")
     table = cut(table.filter((F.col("seeds") >= min_support) & (F.col("best") >= min_score * F.col("total"))).drop("best"))  # as many rows as patterns at most
-    candidates = cut(near.filter(~F.col("seed")).join(F.broadcast(table.select("pid", "k")), ["pid", "k"]).select("pid", "k", "inst"))
+    candidates = cut(near.filter(~F.col("seed")).join(broadcast_if_small(table.select("pid", "k"), small), ["pid", "k"]).select("pid", "k", "inst"))
     confidence = candidates.select("k", "inst").distinct().withColumn("confidence", F.lit(0.0))
     for _ in range(max_rounds):
         gathered = candidates.join(confidence, ["k", "inst"]).groupBy("pid", "k").agg(F.sum("confidence").alias("more"))
@@ -290,13 +315,13 @@ def rate_patterns(
         scored = scored.withColumn("score", F.least(F.lit(0.999), (F.col("seeds") + F.coalesce("more", F.lit(0.0))) / F.col("total"))).filter(F.col("score") >= min_score)
         scored = cut(scored.select("pid", "k", "score"))
         wrong = F.exp(F.sum(F.log(1 - F.col("score"))))
-        raised = candidates.join(F.broadcast(scored), ["pid", "k"]).groupBy("k", "inst").agg((1 - wrong).alias("raised"))
+        raised = candidates.join(broadcast_if_small(scored, small), ["pid", "k"]).groupBy("k", "inst").agg((1 - wrong).alias("raised"))
         new = confidence.withColumnRenamed("confidence", "old").join(raised, ["k", "inst"], "left")
         new = cut(new.select("k", "inst", F.coalesce("raised", F.lit(0.0)).alias("confidence"), (F.coalesce("raised", F.lit(0.0)) - F.col("old") > tolerance).alias("moved")))
         confidence = new.select("k", "inst", "confidence")
         if new.filter("moved").isEmpty():
-            break
-    return scored, confidence
+            return scored, confidence
+    raise RuntimeError(f"confidences did not settle in {max_rounds} rounds")
 
 
 def find_personal_data(
@@ -304,15 +329,15 @@ def find_personal_data(
     id_col: str = "doc_id",
     text_col: str = "text",
     min_support: int = 5,
-    support_share: float = 1e-4,
     min_score: float = 0.8,
     min_confidence: float = 0.9,
     max_broadcast: int = 50_000,
+    max_patterns: int = 200_000,
 ) -> DataFrame:
     """One row per row of ``df``: the base counts and hash, and all spans.
 
     n_email, n_ip, n_card, n_phone and base_sha256 are of the fixed shapes; ``spans`` holds those and the discovered ones as
-    ``kind:start:end``, by kind then start, in code points, end exclusive; n_discovered counts the latter.
+    ``kind:start:end``, by kind then start, in code points, end exclusive; n_discovered counts the latter. ``secrets`` holds the spans of the kind without a fixed shape, likewise.
 
     1. Seeds are the base spans, and as seeds of secrets hexadecimal keys (``KEY``). The patterns around them are counted (``candidate_patterns``).
     2. The whole corpus is read again for what fills the slots of these patterns: mentions, words that look like
@@ -330,18 +355,16 @@ def find_personal_data(
     bounded_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
     scanned = cut(docs.mapInArrow(_scan, SCANNED))
-    patterns = candidate_patterns(scanned, min_support, support_share)
-    ids = {p: n for n, p in enumerate(sorted({p for p, _ in patterns}))}
-    kinds = F.broadcast(spark.createDataFrame([(ids[p], k) for p, k in patterns], "pid int, k int"))  # at most 4 / support_share rows
-    shared = spark.sparkContext.broadcast((ids, {p.split(" ")[2 if p.startswith("LL ") else 1] for p in ids if not p.startswith("R ")}))
-    filled = cut(docs.mapInArrow(_fill(shared), FILLED))
-    trusted, confidence = rate_patterns(filled, kinds, min_support, min_score)
+    patterns = candidate_patterns(scanned, min_support)
+    filled = fill_slots(docs, patterns, max_patterns)
+    kinds = cut(patterns.select(F.xxhash64("pattern").alias("pid"), "k"))
+    trusted, confidence = rate_patterns(filled, kinds, min_support, min_score, small=max_broadcast)
 
     loose = scanned.select("id", "th", F.explode("found").alias("m")).select("id", "th", "m.*").filter(~F.col("seed"))
     sure = cut(confidence.filter(F.col("confidence") >= min_confidence).select("k", "inst"))
     by_value = loose.join(broadcast_if_small(sure, max_broadcast), ["k", "inst"]).select("id", "th", "k", "s", "e")
     slots = filled.filter((F.col("k") == OTHER) | ((F.col("k") == SECRET) & F.col("seed"))).select("id", "th", "s", "e", F.col("k").alias("own"), F.explode("pids").alias("pid"))
-    rated = slots.distinct().join(F.broadcast(trusted), "pid").filter((F.col("own") == OTHER) | (F.col("own") == F.col("k")))
+    rated = slots.distinct().join(broadcast_if_small(trusted, max_broadcast), "pid").filter((F.col("own") == OTHER) | (F.col("own") == F.col("k")))
     right = 1 - F.exp(F.sum(F.log(1 - F.col("score"))))
     by_place = rated.groupBy("id", "th", "s", "e", "k").agg(right.alias("sure")).filter(F.col("sure") >= min_confidence)
     by_place = by_place.groupBy("id", "th", "s", "e").agg(F.max_by("k", F.struct(F.round("sure", 9), -F.col("k"))).alias("k")).select("id", "th", "k", "s", "e")
@@ -352,10 +375,13 @@ def find_personal_data(
     empty = F.array().cast("array<struct<k:int,s:int,e:int>>")
     base_kinds = F.transform("base", lambda x: x["k"])
     counts = [(F.size(base_kinds) - F.size(F.array_remove(base_kinds, i))).cast("long").alias(f"n_{KINDS[i]}") for i in range(BASE)]
+    more = F.coalesce("more", empty)
+    of_base, secret = (F.filter(more, f) for f in (lambda x: x["k"] < BASE, lambda x: x["k"] == SECRET))
     return both.select(
         F.col("id").alias(id_col),
         *counts,
         F.sha2(_spans_text(F.col("base")), 256).alias("base_sha256"),
-        _spans_text(F.concat("base", F.coalesce("more", empty))).alias("spans"),
-        F.size(F.coalesce("more", empty)).cast("long").alias("n_discovered"),
+        _spans_text(F.concat("base", of_base)).alias("spans"),
+        F.size(of_base).cast("long").alias("n_discovered"),
+        _spans_text(secret).alias("secrets"),
     )

@@ -129,21 +129,33 @@ def pii_rows():
 def test_pii_against_brute_force(spark):
     rows = pii_rows()
     got = {r["doc_id"]: r for r in pii.find_personal_data(frame(spark, rows)).collect()}
-    for limit in (pii.find_personal_data(frame(spark, rows), max_broadcast=0).collect(),):
-        assert {r["doc_id"]: r["spans"] for r in limit} == {i: r["spans"] for i, r in got.items()}
+    for how in ({"max_broadcast": 0}, {"max_patterns": 0}):
+        other = pii.find_personal_data(frame(spark, rows), **how).collect()
+        assert {r["doc_id"]: (r["spans"], r["secrets"]) for r in other} == {i: (r["spans"], r["secrets"]) for i, r in got.items()}
     spans = brute_pii(rows)
     for i, t in rows:
         base = brute_base(t or "")
         assert [got[i][f"n_{k}"] for k in pii.KINDS[:4]] == [sum(b[0] == n for b in base) for n in range(4)]
         line = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in base)
         assert got[i]["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
-        assert got[i]["spans"] == spans[i], i
-        assert got[i]["n_discovered"] == (spans[i].count(":") // 2) - len(base)
+        found = [x for x in spans[i].split(",") if x]
+        assert got[i]["spans"] == ",".join(x for x in found if not x.startswith("secret")), i
+        assert got[i]["secrets"] == ",".join(x for x in found if x.startswith("secret")), i
+        assert got[i]["n_discovered"] == got[i]["spans"].count(":") // 2 - len(base)
+
+
+def test_pii_unrelated_rows_remove_nothing(spark):
+    """Eight seeds are enough, however many seeds of other kinds and places the table has."""
+    rng = random.Random(21)
+    rows = [(i, f"please call mobile +1 (929) 555-{1000 + i} now") for i in range(8)] + [(50, "please call mobile (929) 555-9999 now")]
+    noise = [(1000 + i, f"w{rng.randrange(10**6)} {rng.randrange(256)}.{i % 256}.{i // 256 % 256}.7 w{rng.randrange(10**6)}") for i in range(20_000)]
+    few, many = ({r["doc_id"]: r["spans"] for r in pii.find_personal_data(frame(spark, x)).collect()} for x in (rows, rows + noise))
+    assert few[50] == "phone:19:33" and {i: many[i] for i, _ in rows} == few
 
 
 def test_pii_discovers_the_unseen_and_leaves_the_rest(spark):
     rows = dict(pii_rows())
-    got = {r["doc_id"]: [rows[r["doc_id"]][int(s):int(e)] for _, s, e in (x.split(":") for x in r["spans"].split(",") if x)] for r in pii.find_personal_data(frame(spark, pii_rows())).collect()}
+    got = {r["doc_id"]: [rows[r["doc_id"]][int(s):int(e)] for _, s, e in (x.split(":") for x in f"{r['spans']},{r['secrets']}".split(",") if x)] for r in pii.find_personal_data(frame(spark, pii_rows())).collect()}
     assert got[300] == ["(929) 555-9999"] == got[309] and got[304] == ["live_9f3k-unseen7"] and got[307] == ["x77-1234"] and got[310] == ["tom@server"]
     assert got[301] == got[302] == got[303] == got[306] == []
     assert all(len(got[100 + i]) == 1 and len(got[100 + i][0]) == 40 for i in range(20))
