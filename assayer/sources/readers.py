@@ -81,3 +81,17 @@ def attribution(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema("ground_truth array<struct<`unknown-text`: string, `true-author`: string>>").option("multiLine", True).json(path)
     folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     return rows.select(folder.alias("problem"), F.explode("ground_truth").alias("g")).select("problem", F.col("g.`unknown-text`").alias("unknown_text"), F.col("g.`true-author`").alias("author"))
+
+
+def delimited(spark: SparkSession, path: str, schema: str, separator: str = "\t", header: bool = False, quote: str = '"') -> DataFrame:
+    """Rows of a table with one separator (a tab, a comma, a blank) under a schema; a line that does not fit has its text in ``_corrupt_record``."""
+    reader = spark.read.schema(f"{schema}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record")
+    return reader.option("sep", separator).option("header", header).option("quote", quote).option("mode", "PERMISSIVE").csv(path)
+
+
+def text_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """folder, name, text of the whole files whose name the pattern (a regular expression) fits; the folder is the last one above the file."""
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    rows = rows.select(F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("name"), F.col("value").alias("text"))
+    return rows.filter(F.col("name").rlike(f"^(?:{pattern})$"))

@@ -28,3 +28,13 @@ def write_annotations(rows: DataFrame, path: str, name: str) -> None:
     feature = F.struct(F.lit(name).alias("_name"), F.col("off").alias("_this_offset"), F.col("len").alias("_this_length"), F.when(F.col("ext"), F.col("sref")).alias("_source_reference"), F.when(F.col("ext"), F.col("soff")).alias("_source_offset"), F.when(F.col("ext"), F.col("slen")).alias("_source_length"))
     docs = rows.groupBy(F.col("ref").alias("_reference")).agg(F.collect_list(feature).alias("feature"))
     docs.write.format("xml").option("rootTag", "documents").option("rowTag", "document").mode("overwrite").save(path)
+
+
+def write_answers(rows: DataFrame, path: str, kind: str = "jsonl") -> None:
+    """Answers as JSON lines, or as CSV or TSV with a header. The rows are written by as many tasks as they have partitions."""
+    if kind == "jsonl":
+        rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    elif kind in ("csv", "tsv"):
+        rows.write.mode("overwrite").option("header", True).option("sep", "," if kind == "csv" else "\t").csv(path)
+    else:
+        raise ValueError(f"unknown kind of answers {kind}")

@@ -50,3 +50,21 @@ def test_stream_of_runs(spark, tmp_path):
     truth = spark.createDataFrame([("1", 1), ("2", 0)], "id string, y int")
     counts = streaming.accumulate_counts(spark.read.schema("id string, value double, ts timestamp").json(str(tmp_path / "in")), truth)
     assert (counts.collect()[0]["tp"], counts.collect()[0]["fp"]) == (1, 1)
+
+
+def test_tables_text_files_and_answers(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text("a\t1\nb\tx\n")
+    rows = {r["id"]: (r["n"], r["_corrupt_record"]) for r in sources.delimited(spark, str(tmp_path / "t.tsv"), "id string, n int").collect()}
+    assert rows == {"a": (1, None), "b": (None, "b\tx")}
+    (tmp_path / "blank").write_text("q1 3\n")
+    assert [tuple(r)[:2] for r in sources.delimited(spark, str(tmp_path / "blank"), "q string, n int", " ").collect()] == [("q1", 3)]
+    for folder, name in (("p1", "known01.txt"), ("p1", "unknown.txt"), ("p2", "known02.txt")):
+        (tmp_path / "in" / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / folder / name).write_text(f"{folder}\n{name}\n")
+    files = sources.text_files(spark, str(tmp_path / "in"), r"known\d+\.txt")
+    assert sorted(map(tuple, files.collect())) == [("p1", "known01.txt", "p1\nknown01.txt\n"), ("p2", "known02.txt", "p2\nknown02.txt\n")]
+    answers = spark.createDataFrame([("1", 0.5), ("2", None)], "id string, value double")
+    sources.write_answers(answers, str(tmp_path / "a"), "jsonl")
+    assert sorted(map(tuple, sources.jsonl(spark, str(tmp_path / "a"), "id string, value double").select("id", "value").collect())) == [("1", 0.5), ("2", None)]
+    sources.write_answers(answers, str(tmp_path / "b"), "tsv")
+    assert sorted(map(tuple, sources.delimited(spark, str(tmp_path / "b"), "id string, value double", header=True).select("id", "value").collect())) == [("1", 0.5), ("2", None)]
