@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import measures as m
+from assayer.plans import cut
 
 UNKNOWN = "<UNK>"
 
@@ -186,7 +187,11 @@ def best_assignment(df: DataFrame, groups: list[str], ref: str = "ref", sys: str
     A group is as large as its largest id asks, and ``size`` ids a side at least. Only its contingency counts, at most
     K * K rows, reach Python. Ids must be whole numbers from 0.
     """
-    counts = contingency(df, groups, ref, sys)
+    return _assignment(contingency(df, groups, ref, sys), groups, ref, sys, size)
+
+
+def _assignment(counts: DataFrame, groups: list[str], ref: str, sys: str, size: int) -> DataFrame:
+    """``best_assignment`` from the contingency."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         if (pdf[[ref, sys]] < 0).any(axis=None):
@@ -195,16 +200,16 @@ def best_assignment(df: DataFrame, groups: list[str], ref: str = "ref", sys: str
         found = assign({(int(r), int(s)): int(c) for r, s, c in zip(pdf[ref], pdf[sys], pdf["n"], strict=True)}, n)
         return pd.DataFrame({**{g: [pdf[g].iloc[0]] * n for g in groups}, ref: range(n), sys: found})
 
-    kinds = dict(df.dtypes)
+    kinds = dict(counts.dtypes)
     return counts.groupBy(*groups).applyInPandas(solve, ", ".join([*(f"{g} {kinds[g]}" for g in groups), f"{ref} int", f"{sys} int"]))
 
 
 def diarization(df: DataFrame, groups: list[str], ref: str = "ref", sys: str = "sys", size: int = 1) -> DataFrame:
     """Per group: der, the share of items outside the matched clusters, and jer, the mean Jaccard error of the reference's."""
-    counts = contingency(df, groups, ref, sys)
+    counts = cut(contingency(df, groups, ref, sys))
     refs = counts.groupBy(*groups, ref).agg(F.sum("n").alias("n_ref"))
     syss = counts.groupBy(*groups, sys).agg(F.sum("n").alias("n_sys"))
-    matched = refs.join(best_assignment(df, groups, ref, sys, size), [*groups, ref]).join(syss, [*groups, sys], "left").join(counts, [*groups, ref, sys], "left")
+    matched = refs.join(_assignment(counts, groups, ref, sys, size), [*groups, ref]).join(syss, [*groups, sys], "left").join(counts, [*groups, ref, sys], "left")
     both = F.coalesce("n", F.lit(0))
     error = 1 - both / (F.col("n_ref") + F.coalesce("n_sys", F.lit(0)) - both)
     return matched.groupBy(*groups).agg(((F.sum("n_ref") - F.sum(both)) / F.sum("n_ref")).alias("der"), F.avg(error).alias("jer"))

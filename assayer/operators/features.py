@@ -93,7 +93,7 @@ def cng_distance(unknown: DataFrame, known: DataFrame, unknown_key: str, known_k
     both = unknown.withColumnRenamed("f", "f1").join(known.withColumnRenamed("f", "f2"), "gram")
     term = F.pow(2 * (F.col("f1") - F.col("f2")) / (F.col("f1") + F.col("f2")), F.lit(2))
     shared = both.groupBy(unknown_key, known_key).agg(F.sum(term).alias("s"), F.count(F.lit(1)).alias("c"))
-    grid = sizes.crossJoin(F.broadcast(known.select(known_key).distinct()))  # known authors: a few names per unknown text
+    grid = sizes.crossJoin(broadcast_if_small(cut(known.select(known_key).distinct()), 100_000))  # every text meets every author: that is the result
     full = grid.join(shared, [unknown_key, known_key], "left").na.fill(0)
     return full.select(unknown_key, known_key, ((F.col("s") + 4 * (F.col("size") - F.col("c"))) / (4 * F.col("size"))).alias("distance"))
 
@@ -181,7 +181,7 @@ def chi_square(counts: DataFrame, cls: str) -> DataFrame:
     shares = counts.groupBy(cls).agg(F.sum("docs").alias("d"))
     shares = shares.withColumn("share", F.col("d") / F.sum("d").over(Window.partitionBy(F.lit(0)))).select(cls, "share")
     grams = counts.filter(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct(cls, "n"))).alias("by"))
-    grid = grams.crossJoin(F.broadcast(shares))
+    grid = grams.crossJoin(broadcast_if_small(cut(shares), 100_000))  # a row a class
     expected = F.col("total") * F.col("share")
     observed = F.coalesce(F.element_at("by", F.col(cls)), F.lit(0))
     return grid.groupBy("gram").agg(F.sum(F.pow(observed - expected, F.lit(2)) / expected).alias("chi2"))

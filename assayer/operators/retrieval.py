@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -84,8 +85,14 @@ def seed_matches(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     known = cut(grams(right, right_key, "right_pos"))
     wanted = None
     if known.limit(max_broadcast + 1).count() <= max_broadcast:
-        hashes = [gram_hashes(r["gram"], length) for r in known.select("gram").distinct().toLocalIterator()]  # up to max_broadcast of them
-        wanted = left.sparkSession.sparkContext.broadcast(np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes])))
+
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [np.zeros(0, np.uint64), *(gram_hashes(g, length) for g in batch.column(0).to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
+
+        values = known.select("gram").mapInArrow(hashed, "h long").distinct().toArrow().column(0).to_numpy()  # 8 bytes each, up to max_broadcast of them
+        wanted = left.sparkSession.sparkContext.broadcast(np.sort(values.astype(np.int64).view(np.uint64)))
     return grams(left, left_key, "left_pos", wanted).join(known, "gram").drop("gram")
 
 
@@ -104,18 +111,20 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75,
     and gives its best ``top`` of each, so common words make no rows; else the terms meet in a join.
     """
     q = cut(queries.groupBy("qid", "token").agg(F.count(F.lit(1)).alias("qf")))
-    terms = cut(q.select("token").distinct())
-    found = docs.select("docno", F.explode("tokens").alias("token")).join(broadcast_if_small(terms, max_broadcast), "token")
-    tf = found.groupBy("docno", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = cut(tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
-    stats = docs.filter(F.size("tokens") > 0).agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("tokens")).alias("avgdl")).collect()[0]
-    idf = F.log(1 + (F.lit(stats["docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = q.join(df, "token").select("qid", "token", (F.col("qf") * idf).alias("w"))
-    average = float(stats["avgdl"] or 1.0)
     if top is not None and q.limit(max_broadcast + 1).count() <= max_broadcast:
-        rows = weighted.collect()  # up to max_broadcast terms
+        asked = q.collect()  # up to max_broadcast terms
+        frequency, n, average = _document_frequencies(docs, {r["token"] for r in asked})
+        rows = [{"qid": r["qid"], "token": r["token"], "w": r["qf"] * math.log(1 + (n - df + 0.5) / (df + 0.5))} for r in asked if (df := frequency.get(r["token"]))]
         scored = _best_documents(rows, docs, average, k1, b, top, dict(queries.dtypes)["qid"])
     else:
+        terms = cut(q.select("token").distinct())
+        found = docs.select("docno", F.explode("tokens").alias("token")).join(broadcast_if_small(terms, max_broadcast), "token")
+        tf = found.groupBy("docno", "token").agg(F.count(F.lit(1)).alias("tf"))
+        df = cut(tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+        stats = docs.filter(F.size("tokens") > 0).agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("tokens")).alias("avgdl")).collect()[0]
+        idf = F.log(1 + (F.lit(stats["docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weighted = q.join(df, "token").select("qid", "token", (F.col("qf") * idf).alias("w"))
+        average = float(stats["avgdl"] or 1.0)
         length = docs.select("docno", F.size("tokens").alias("dl"))
         hits = weighted.join(tf, "token").join(length, "docno")
         part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(average)))
@@ -124,8 +133,29 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75,
     return ranked if top is None else ranked.filter(F.col("rank") <= top)
 
 
+def _document_frequencies(docs: DataFrame, terms: set[str]) -> tuple[dict[str, int], int, float]:
+    """(documents that have each of the ``terms``, documents with tokens, their mean length), counted inside the tasks in one pass; a row a term and task is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts, n, length = shared.value, Counter(), 0, 0
+        for batch in batches:
+            for tokens in batch.column(0).to_pylist():
+                if tokens:
+                    counts.update(known.intersection(tokens))
+                    n, length = n + 1, length + len(tokens)
+        keys, values = [*counts, None, None], [*counts.values(), n, length]
+        kinds = ["df"] * len(counts) + ["docs", "length"]
+        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(keys, pa.string()), pa.array(values, pa.int64())], names=["kind", "token", "n"])
+
+    found = docs.select("tokens").mapInArrow(run, "kind string, token string, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")).collect()
+    whole = {r["kind"]: r["n"] for r in found if r["token"] is None}
+    n = whole.get("docs") or 0
+    return {r["token"]: r["n"] for r in found if r["token"] is not None}, n, whole["length"] / n if n else 1.0
+
+
 def _best_documents(rows: list, docs: DataFrame, average: float, k1: float, b: float, top: int, qid_type: str) -> DataFrame:
-    """(qid, docno, score): the best ``top`` documents of each query in each block of 256 documents."""
+    """(qid, docno, score): the best ``top`` documents of each query in each block of up to 256 documents, fewer if there are many queries."""
     qids = sorted({r["qid"] for r in rows})
     at = {q: i for i, q in enumerate(qids)}
     index: dict[str, tuple[list, list]] = {}
@@ -138,8 +168,9 @@ def _best_documents(rows: list, docs: DataFrame, average: float, k1: float, b: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for whole in batches:
-            for first in range(0, whole.num_rows, 256):
-                batch = whole.slice(first, 256)
+            block = max(1, min(256, (1 << 21) // max(1, len(qids))))  # up to 18 MB of scores and flags
+            for first in range(0, whole.num_rows, block):
+                batch = whole.slice(first, block)
                 scores = np.zeros((batch.num_rows, len(qids)))
                 hit = np.zeros((batch.num_rows, len(qids)), bool)
                 for n, tokens in enumerate(batch.column(1).to_pylist()):
@@ -153,7 +184,7 @@ def _best_documents(rows: list, docs: DataFrame, average: float, k1: float, b: f
                 docno = np.array(batch.column(0).to_pylist(), dtype=object)
                 order = np.argsort(docno, kind="stable")  # ties go to the smaller document
                 out: list[tuple] = []
-                for i in range(len(qids)):
+                for i in np.flatnonzero(hit.any(axis=0)).tolist():
                     mine = order[hit[order, i]]
                     mine = mine[np.argsort(-scores[mine, i], kind="stable")[:top]]
                     out += [(qids[i], docno[n], float(scores[n, i])) for n in mine.tolist()]

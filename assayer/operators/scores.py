@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import measures as m
+from assayer.plans import fresh_names
 
 
 def align(truth: DataFrame, run: DataFrame, key: str = "id", value: str = "value", impute=0.5) -> DataFrame:
@@ -19,23 +22,37 @@ def unknown_ids(truth: DataFrame, run: DataFrame, key: str = "id") -> DataFrame:
     return run.select(key).join(truth.select(key), key, "left_anti")
 
 
+#: Ranges of scores that are summed up before the scores inside them.
+RANGES = 1 << 16
+
+
 def score_points(df: DataFrame, groups: list[str], y: str = "y", p: str = "p") -> DataFrame:
-    """Positives and negatives at each distinct score, and cumulative counts from the highest score down."""
+    """Positives and negatives at each distinct score, and cumulative counts from the highest score down.
+
+    Scores are summed up by ranges first: one window sees the ranges of a group, at most ``RANGES`` + 1, and another the scores of one range, so
+    no task holds all scores of a group. Scores outside [0, 1] lie in the outermost ranges.
+    """
     points = df.groupBy(*groups, p).agg(m.count_if(F.col(y) == 1).alias("pos"), m.count_if(F.col(y) == 0).alias("neg"))
-    down = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return points.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)})
+    (at,) = fresh_names(points, "_range")
+    points = points.withColumn(at, F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(p).cast("double"))) * RANGES))
+    above = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(F.col(at).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = points.groupBy(*groups, at).agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))
+    ranges = ranges.select(*groups, at, *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_{c}") for c in ("tp", "fp")]).alias("r")
+    inside = Window.partitionBy(*groups, at).orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    points = points.withColumns({"tp": F.sum("pos").over(inside), "fp": F.sum("neg").over(inside)}).alias("s")
+    same = reduce(lambda a, b: a & b, [F.col(f"s.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in [*groups, at]])
+    counts = [(F.col(f"s.{c}") + F.col(f"r._{c}")).alias(c) for c in ("tp", "fp")]
+    return points.join(ranges, same).select(*[F.col(f"s.`{c}`") for c in [*groups, p]], "s.pos", "s.neg", *counts)
 
 
 def auc(df: DataFrame, groups: list[str], y: str = "y", p: str = "p", one_class: float | None = 0.0) -> DataFrame:
     """Area under the ROC curve, ties averaged; ``one_class`` where a class is missing.
 
-    Rows are first counted per distinct score, so the window only sees the scores.
+    Rows are first counted per distinct score; each positive stands above all negatives that are not counted down to its score, and above half of those at it.
     """
-    points = score_points(df, groups, y, p)
-    area = F.sum(F.col("pos") * (F.col("all_neg") - F.col("fp") + F.col("neg") / 2))
-    whole = Window.partitionBy(*(groups or [F.lit(0)]))
-    points = points.withColumn("all_neg", F.sum("neg").over(whole))
-    return points.groupBy(*groups).agg(m.ratio(area, F.sum("pos") * F.sum("neg"), one_class).alias("auc"))
+    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
+    area = F.sum(pos) * F.sum(neg) - F.sum(pos * F.col("fp")) + F.sum(pos * neg) / 2
+    return score_points(df, groups, y, p).groupBy(*groups).agg(m.ratio(area, F.sum(pos) * F.sum(neg), one_class).alias("auc"))
 
 
 def report(df: DataFrame, groups: list[str], y: str = "y", p: str = "p") -> DataFrame:
