@@ -308,7 +308,8 @@ def train(windows_: DataFrame, shards: int = 8, rounds: int = 2, epochs: int = 4
     weighted mean of the ``shards`` results is the next. The sample is bounded, and so is what a shard holds.
     """
     model = empty_model()
-    dealt = cut(windows_.repartitionById(shards, F.pmod("key", F.lit(shards)).cast("int")).sortWithinPartitions("key"))
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")  # low bits of the key have decided what was sampled
+    dealt = cut(windows_.repartitionById(shards, shard).sortWithinPartitions("key"))
     for _ in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], given: Model = model) -> Iterator[pa.RecordBatch]:
