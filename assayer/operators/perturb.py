@@ -14,17 +14,30 @@ from assayer.plans import cut
 def masked_spans(text: Column, copy: Column, share: float = 0.15, span: int = 2, seed: int = 7, mask: str = "<mask>") -> Column:
     """The text's words with spans of ``span`` words replaced by ``mask``, so many that about ``share`` of the words are; joined by blanks.
 
-    The words are cut into blocks of ``span`` and a gap of one; the blocks with the least hashes of (seed, copy, text, block) are masked. So masks never touch, and a
+    The words are cut into blocks of ``span`` and a gap of one; the blocks with the least hashes of (hash of seed, copy and text; block) are masked. So masks never touch, and a
     text and copy number always give the same result, wherever it is computed. Texts shorter than a span are left as they are.
     """
+    step = span + 1
+
+    def mask_of(x: Column) -> Column:
+        """x: a struct of the words and a hash of the text; as a lambda's variable it is worked out once and not for every word."""
+        blocks = F.floor(F.size(x["words"]) / step).cast("int")
+        wanted = F.least(blocks, F.greatest(F.lit(1), F.round(F.size(x["words"]) * share / span).cast("int")))
+        rank = lambda b: F.struct(F.xxhash64(x["h"], b).alias("h"), b.alias("b"))
+        ranked = F.array_sort(F.transform(F.sequence(F.lit(0), F.greatest(blocks - 1, F.lit(0))), rank))
+        return F.struct(x["words"].alias("words"), x["h"].alias("h"), F.when(blocks > 0, F.element_at(ranked, F.greatest(wanted, F.lit(1)))).alias("last"))
+
+    def put(x: Column) -> Column:
+        def word(w: Column, i: Column) -> Column:
+            block = F.floor(i / step).cast("int")
+            hit = (i % step < span) & (block < F.floor(F.size(x["words"]) / step)) & (F.struct(F.xxhash64(x["h"], block).alias("h"), block.alias("b")) <= x["last"])
+            return F.when(F.coalesce(hit, F.lit(False)), F.when(i % step == 0, F.lit(mask))).otherwise(w)
+
+        return F.array_join(F.filter(F.transform(x["words"], word), lambda w: w.isNotNull()), " ")
+
     words = F.filter(F.split(text, r"[\x09-\x0D ]+"), lambda w: w != "")
-    blocks = F.floor(F.size(words) / (span + 1)).cast("int")
-    wanted = F.least(blocks, F.greatest(F.lit(1), F.round(F.size(words) * share / span).cast("int")))
-    numbers = F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>"))
-    ranked = F.array_sort(F.transform(numbers, lambda b: F.struct(F.xxhash64(F.lit(seed), copy, text, b).alias("h"), b.alias("b"))))
-    hit = F.transform(F.slice(ranked, 1, F.greatest(wanted, F.lit(0))), lambda x: x["b"])
-    put = F.transform(words, lambda w, i: F.when(F.array_contains(hit, F.floor(i / (span + 1)).cast("int")) & (i % (span + 1) < span), F.when(i % (span + 1) == 0, F.lit(mask))).otherwise(w))
-    return F.array_join(F.filter(put, lambda w: w.isNotNull()), " ")
+    one = F.array(F.struct(words.alias("words"), F.xxhash64(F.lit(seed), copy, text).alias("h")))
+    return F.when(text.isNotNull(), F.transform(F.transform(one, mask_of), put)[0])
 
 
 def content_key(text: Column, parameters: str) -> Column:
