@@ -19,6 +19,11 @@ R = lambda c, name: F.round(c, 6).alias(name)
 HELD_OUT = "doc_id % 5 = 2"
 
 
+def _tasks(spark):
+    """Parts for work in place: texts come in few files, and adaptive execution makes few parts of small tables that take long to work out."""
+    return 4 * spark.sparkContext.defaultParallelism
+
+
 @query("ta_greedy")
 def ta_greedy(spark, d):
     """Passages of benchmark items in documents by the greedy walk over seeds of 50 characters, on whole texts."""
@@ -81,26 +86,34 @@ TOXIC = f"""l AS (SELECT doc_id, toxic, lower(text) AS text FROM labels JOIN doc
     y AS (SELECT doc_id, gram, n * idf AS w FROM k JOIN x USING (gram))"""
 
 
-def _word_rows(spark, d):
+GRAM_WORDS = 4
+
+
+def _word_texts(spark, d):
+    """(texts (doc_id, quality, toxic, held), the same with ws, their words): the labelled documents."""
     docs = table(spark, d, "labels").select("doc_id", "quality", "toxic").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").withColumn("held", F.expr(HELD_OUT))
-    tokens = docs.select("doc_id", tx.words(F.lower("text")).alias("ws"))
-    counts = cut(ft.gram_counts(tokens, ["doc_id"], F.concat(*[tx.ngrams(F.col("ws"), k) for k in range(1, 5)])))
-    train = docs.filter(~F.col("held"))
-    vocabulary = ln.ordered_vocabulary(counts.join(train.select("doc_id"), "doc_id", "left_semi"), 1, 1000)
-    values = ln.tf_idf_values(counts, "doc_id", vocabulary, train)
-    return docs.drop("text"), counts, values, vocabulary.count()
+    tokens = cut(docs.select("doc_id", "quality", "toxic", "held", tx.words(F.lower("text")).alias("ws")).repartition(_tasks(spark)))
+    return tokens.drop("ws"), tokens
+
+
+def _word_rows(spark, d):
+    docs, tokens = _word_texts(spark, d)
+    vocabulary = ln.ordered_vocabulary(ft.most_frequent_grams(tokens.filter("NOT held"), F.col("ws"), GRAM_WORDS, 1000), 1, 1000)
+    counts = cut(ft.listed_gram_counts(tokens, ["doc_id"], F.col("ws"), GRAM_WORDS, vocabulary.select("gram")))
+    values = ln.tf_idf_values(counts, "doc_id", vocabulary, docs.filter("NOT held"))
+    return docs, values, vocabulary.count()
 
 
 @query("ml_word_values", "WITH " + TOXIC + f" SELECT doc_id, gram, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS value FROM y QUALIFY {HELD_OUT}")
 def ml_word_values(spark, d):
     """tf-idf of the 1,000 most frequent n-grams of one to four words, for the held-out texts."""
-    return _word_rows(spark, d)[2].filter(HELD_OUT).select("doc_id", "gram", R(F.col("value"), "value"))
+    return _word_rows(spark, d)[1].filter(HELD_OUT).select("doc_id", "gram", R(F.col("value"), "value"))
 
 
 @query("ga_tfidf_svm")
 def ga_tfidf_svm(spark, d):
     """A toxicity score of held-out texts: the logistic of the margin of a classifier over word n-grams; 0.5 leaves it open."""
-    docs, _, values, size = _word_rows(spark, d)
+    docs, values, size = _word_rows(spark, d)
     rows = cut(ln.sparse_rows(values, "doc_id", docs))
     model = ln.fit_linear(rows.filter(~F.col("held")), "toxic", size, tolerance=1e-3)
     margin = ln.class_scores(rows.filter("held"), "doc_id", model).filter("author = '1'")
@@ -112,13 +125,10 @@ DEPTHS, RATES, FOLDS, SELECTED, BINS = [2, 3], [0.25, 0.5], 3, 200, 8
 
 def _selected(spark, d):
     """(rows (doc_id, y, fold, idx, val), texts): the 200 grams of one to four words that depend most on the quality label by chi2, in bins."""
-    docs, counts, _, _ = _word_rows(spark, d)
-    of = counts.join(docs.select("doc_id", "quality"), "doc_id").groupBy("quality", "gram").agg(F.count(F.lit(1)).alias("n"))
-    often = ft.vocabulary(of, 5).select("gram")
-    classes = docs.groupBy("quality").agg(F.count(F.lit(1)).alias("docs")).select("quality", F.lit(None).cast("string").alias("gram"), F.lit(0).cast("long").alias("n"), "docs")
-    chi = ft.chi_square(of.join(often, "gram").select("quality", "gram", "n", F.lit(0).cast("long").alias("docs")).unionByName(classes), "quality")
-    best = tr.best_grams(chi.withColumn("chi2", F.round("chi2", 6)), SELECTED)
-    values = tr.binned(counts.join(F.broadcast(best), "gram").select("doc_id", "idx", F.col("n").cast("double").alias("value")), "doc_id", BINS)
+    docs, tokens = _word_texts(spark, d)
+    best = tr.best_grams(ft.most_dependent_grams(tokens, "quality", F.col("ws"), GRAM_WORDS, 5, SELECTED), SELECTED)
+    counts = cut(ft.listed_gram_counts(tokens, ["doc_id"], F.col("ws"), GRAM_WORDS, best))
+    values = tr.binned(counts.select("doc_id", "idx", F.col("n").cast("double").alias("value")), "doc_id", BINS)
     texts = docs.select("doc_id", F.array("quality", "toxic").alias("y"), tr.folds(F.col("doc_id"), FOLDS).alias("fold"))
     return cut(ln.sparse_rows(values, "doc_id", texts)), texts
 

@@ -6,8 +6,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assayer.operators import entropy as en
+from assayer.operators import features as ft
 from assayer.operators import linear as ln
 from assayer.operators import trees as tr
 
@@ -259,3 +261,25 @@ def test_topics_fall_and_equal_dense_updates(spark):
     cos = tp.mixture_cosine(found.mixtures.filter("id = 1").select(F.col("w").alias("a")).crossJoin(found.mixtures.select("id", F.col("w").alias("b"))), "a", "b")
     want = [0.0 if not w[i].any() else float(w[1] @ w[i] / np.sqrt((w[1] @ w[1]) * (w[i] @ w[i]))) for i in range(40)]
     assert [r["cosine"] for r in cos.orderBy("id").collect()] == pytest.approx(want)
+
+
+def test_best_grams_without_counting_all(spark):
+    """The pruned search gives the grams that counting everything gives, and counts no long gram of rare words."""
+    rng = random.Random(8)
+    texts = [(i, i % 3 % 2, [rng.choice("aabbbcdefgh") if rng.random() < 0.8 else f"w{rng.randrange(400)}" for _ in range(rng.randrange(40))]) for i in range(120)]
+    df = spark.createDataFrame([*texts, (500, 1, None)], "id int, cls int, ws array<string>")
+    grams = {(i, c): [" ".join(ws[k : k + n]) for n in range(1, 5) for k in range(len(ws) - n + 1)] for i, c, ws in texts}
+    total = Counter(g for gs in grams.values() for g in gs)
+    best = sorted(total, key=lambda g: (-total[g], g))[:60]
+    found = {r["gram"]: r["n"] for r in ft.most_frequent_grams(df, F.col("ws"), 4, 60).collect()}
+    assert sorted(found, key=lambda g: (-found[g], g))[:60] == best and all(total[g] == n for g, n in found.items()) and len(found) < 0.2 * len(total)
+    assert {r["gram"]: r["n"] for r in ft.most_frequent_grams(df, F.col("ws"), 4, 10**6).collect()} == dict(total)
+    share = {c: sum(x[1] == c for x in [*texts, (0, 1)]) / 121 for c in (0, 1)}
+    of = Counter((c, g) for (_, c), gs in grams.items() for g in set(gs))
+    chi = lambda g: round(sum((of[c, g] - (n := of[0, g] + of[1, g]) * s) ** 2 / (n * s) for c, s in share.items()), 6)
+    want = sorted(((-chi(g), g) for g in total if of[0, g] + of[1, g] >= 5))[:25]
+    got = sorted((-r["chi2"], r["gram"]) for r in ft.most_dependent_grams(df, "cls", F.col("ws"), 4, 5, 25).collect())[:25]
+    assert [g for _, g in got] == [g for _, g in want] and [x for x, _ in got] == pytest.approx([x for x, _ in want], abs=2e-6)
+    listed = spark.createDataFrame([(g, k) for k, g in enumerate(best)], "gram string, idx int")
+    counts = {(r["id"], r["gram"]): (r["idx"], r["n"]) for r in ft.listed_gram_counts(df, ["id"], F.col("ws"), 4, listed).collect()}
+    assert counts == {(i, g): (best.index(g), n) for (i, _), gs in grams.items() for g, n in Counter(gs).items() if g in best}
