@@ -36,25 +36,24 @@ GRAM_VALUES = f"""WITH c AS {grams(3, 'documents', 'doc_id, lang')}, v AS (SELEC
 
 
 def _gram_rows(spark, d):
-    """(rows (doc_id, lang, held, idx, val), values, number of features): character 3-grams of the training texts, relative to the text and to the gram's largest."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", "text", F.length("text").alias("length"), F.expr(HELD_OUT).alias("held"))
-    counts = cut(ft.char_gram_counts(docs, ["doc_id"], "text", [3]).drop("length"))
-    train = docs.filter(~F.col("held"))
-    vocabulary = ln.ordered_vocabulary(counts.join(train.select("doc_id"), "doc_id", "left_semi"), 5, 20_000)
-    values = ln.relative_values(counts, "doc_id", docs, vocabulary, train)
-    rows = ln.sparse_rows(values, "doc_id", docs.select("doc_id", "lang", "held"))
-    return cut(rows), values, vocabulary.count()
+    """(rows (doc_id, lang, held, idx, val), vocabulary (gram, idx)): character 3-grams of the training texts, relative to the text and to the gram's largest."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text", F.expr(HELD_OUT).alias("held"))
+    vocabulary = ln.ordered_vocabulary(ft.char_gram_counts(docs.filter(~F.col("held")), [], "text", [3]), 5, 20_000)
+    rows = cut(ln.char_rows(docs, "text", 3, vocabulary))
+    return ln.largest_scaled(rows, ~F.col("held"), vocabulary.count()), vocabulary
 
 
 @query("ml_gram_values", GRAM_VALUES + f" SELECT doc_id, gram, round(f / top, 6) AS value FROM f JOIN t USING (gram) WHERE {HELD_OUT}")
 def ml_gram_values(spark, d):
     """The features of the held-out texts that the linear classifier is given."""
-    return _gram_rows(spark, d)[1].filter(HELD_OUT).select("doc_id", "gram", R(F.col("value"), "value"))
+    rows, vocabulary = _gram_rows(spark, d)
+    values = rows.filter("held").select("doc_id", F.explode(F.arrays_zip("idx", "val")).alias("x")).select("doc_id", "x.idx", "x.val")
+    return values.join(F.broadcast(vocabulary), "idx").select("doc_id", "gram", R(F.col("val"), "value"))  # 20,000 rows at most
 
 
 def _svm(spark, d):
-    rows, _, size = _gram_rows(spark, d)
-    model = ln.fit_linear(rows.filter(~F.col("held")), "lang", size, c=1.0, tolerance=1e-3)
+    rows, vocabulary = _gram_rows(spark, d)
+    model = ln.fit_linear(rows.filter(~F.col("held")), "lang", vocabulary.count(), c=1.0, tolerance=1e-3)
     return ln.class_scores(rows.filter("held"), "doc_id", model)
 
 
@@ -161,7 +160,7 @@ TURNS = """SELECT conv_id, turn, step, a, b, role = other AS same FROM (
 
 def _turn_pairs(spark, d):
     table(spark, d, "conversations").createOrReplaceTempView("conversations")
-    return spark.sql(TURNS)
+    return spark.sql(TURNS).repartition(_tasks(spark))
 
 
 def _model(text: str) -> str:

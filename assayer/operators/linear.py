@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.plans import cut
+from assayer.operators.features import pieces, text_gram_counts
+from assayer.plans import bounded_batches, cut
 from assayer.plans.sums import array_sum
 
 #: Weights (features x classes) a model may have: the driver holds a few arrays of them.
@@ -37,6 +38,50 @@ def relative_values(counts: DataFrame, key: str, lengths: DataFrame, vocabulary:
     return rel.join(F.broadcast(top), "idx").select(key, "gram", "idx", (F.col("f") / F.col("top")).alias("value"))
 
 
+def char_rows(docs: DataFrame, text: str, size: int, vocabulary: DataFrame) -> DataFrame:
+    """``docs`` without the text, with idx (ascending) and val: the n-grams of ``size`` characters that ``vocabulary`` (gram, idx; as few as a model has) lists, by their
+    frequency relative to the text's length. A text is worked out where it lies, so no n-gram is shuffled. A null text has none."""
+    number = {r["gram"]: r["idx"] for r in vocabulary.select("gram", "idx").collect()}
+    others = [c for c in docs.columns if c != text]
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(len(others)).to_pylist()]
+            for piece in pieces([len(t) for t in texts]):
+                mine = texts[piece]
+                of, place, grams, many = text_gram_counts(mine, np.arange(len(mine)), size)
+                idx = np.array([number.get(g, -1) for g in grams], np.int64)[place]
+                kept = np.flatnonzero(idx >= 0)
+                kept = kept[np.lexsort((idx[kept], of[kept]))]
+                ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(of[kept], minlength=len(mine))))), pa.int32())
+                value = many[kept] / np.array([len(t) for t in mine], np.float64)[of[kept]]
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (idx[kept].astype(np.int32), value)]
+                yield pa.RecordBatch.from_arrays([*[c.slice(piece.start, len(mine)) for c in batch.columns[: len(others)]], *lists], names=[*others, "idx", "val"])
+
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), "idx array<int>, val array<double>"])
+    return docs.select(*others, text).mapInArrow(run, schema)
+
+
+def largest_scaled(rows: DataFrame, train: Column, size: int) -> DataFrame:
+    """``rows`` with each value divided by its feature's largest among the rows where ``train`` holds; features that these lack are left out. ``size`` features, as few as a model has."""
+    top = np.zeros(size)
+    for r in rows.filter(train).select(F.explode(F.arrays_zip("idx", "val")).alias("x")).groupBy("x.idx").agg(F.max("x.val").alias("top")).collect():
+        top[r["idx"]] = r["top"]
+    at = {c: k for k, c in enumerate(rows.columns)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(at["idx"]).value_lengths().to_numpy()
+            flat, values = batch.column(at["idx"]).flatten().to_numpy(), batch.column(at["val"]).flatten().to_numpy()
+            known = top[flat] > 0
+            ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(np.repeat(np.arange(len(sizes)), sizes)[known], minlength=len(sizes))))), pa.int32())
+            new = {"idx": pa.ListArray.from_arrays(ends, pa.array(flat[known])), "val": pa.ListArray.from_arrays(ends, pa.array(values[known] / top[flat[known]]))}
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(k)) for c, k in at.items()], names=list(at))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def tf_idf_values(counts: DataFrame, key: str, vocabulary: DataFrame, train: DataFrame) -> DataFrame:
     """key, gram, idx, value: n times the smoothed inverse document frequency ``ln((1 + N) / (1 + df)) + 1`` of the training texts, in rows of length 1."""
     known = counts.join(F.broadcast(vocabulary), "gram")

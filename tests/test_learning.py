@@ -283,3 +283,31 @@ def test_best_grams_without_counting_all(spark):
     listed = spark.createDataFrame([(g, k) for k, g in enumerate(best)], "gram string, idx int")
     counts = {(r["id"], r["gram"]): (r["idx"], r["n"]) for r in ft.listed_gram_counts(df, ["id"], F.col("ws"), 4, listed).collect()}
     assert counts == {(i, g): (best.index(g), n) for (i, _), gs in grams.items() for g, n in Counter(gs).items() if g in best}
+
+
+def test_char_rows_and_their_scale(spark):
+    texts = [(1, True, "abcabcabd"), (2, True, "bcabxé"), (3, False, "abcabcabcabx"), (4, False, None), (5, True, "ab")]
+    df = spark.createDataFrame(texts, "id int, train boolean, text string").repartition(2)
+    listed = {"abc": 2, "bca": 0, "xyz": 1, "abx": 3}
+    rows = ln.char_rows(df, "text", 3, spark.createDataFrame(list(listed.items()), "gram string, idx int"))
+    got = {r["id"]: dict(zip(r["idx"], r["val"], strict=True)) for r in rows.collect()}
+    want = {i: {listed[g]: n / len(t) for g, n in Counter(t[k : k + 3] for k in range(len(t) - 2)).items() if g in listed} if t else {} for i, _, t in texts}
+    assert got == want and all(list(r["idx"]) == sorted(r["idx"]) for r in rows.collect())
+    top = {k: max(want[i].get(k, 0) for i in (1, 2, 5)) for k in range(4)}
+    scaled = {r["id"]: dict(zip(r["idx"], r["val"], strict=True)) for r in ln.largest_scaled(rows, F.col("train"), 4).collect()}
+    assert scaled == {i: {k: v / top[k] for k, v in x.items() if top[k]} for i, x in want.items()}
+    assert "hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()  # no n-gram is shuffled
+
+
+def test_char_grams_of_groups_and_pairs(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(12))) for letters in ("ab", "aé\U0001f600\U0010ffff", "xyz ") for _ in range(8)]
+    wide = ["".join(chr(c) for c in range(k, k + 3000)) for k in (50, 90)]  # a group and an n-gram do not fit into one number
+    for ts, size in ((texts, 1), (texts, 3), (wide, 6), ([], 2), (["a", ""], 2)):
+        group = np.array([k % 3 for k in range(len(ts))], np.int64)
+        of, place, grams, many = ft.text_gram_counts(ts, group, size)
+        want = Counter((int(g), t[k : k + size]) for g, t in zip(group, ts, strict=True) for k in range(len(t) - size + 1))
+        assert {(int(g), grams[k]): int(n) for g, k, n in zip(of, place, many, strict=True)} == want
+    pairs = [(0, ["abab", "ba"], ["bab"]), (1, [None, "xy"], []), (2, None, ["é"]), (3, ["ab"], ["ab", None])]
+    got = {(r["id"], r["gram"]): (r["a"], r["b"], r["all_a"], r["all_b"]) for r in ft.pair_gram_counts(spark.createDataFrame(pairs, "id int, x array<string>, y array<string>"), ["id"], "x", "y", 2).collect()}
+    assert got == {(0, "ab"): (2, 1, 4, 2), (0, "ba"): (2, 1, 4, 2), (1, "xy"): (1, 0, 1, 0), (3, "ab"): (1, 1, 1, 1)}
