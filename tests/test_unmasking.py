@@ -1,6 +1,8 @@
 """Unmasking against a classifier fitted the long way and plain loops."""
 
+import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -58,3 +60,23 @@ def test_curves_values_and_independence(spark):
         assert got[i][0] == pytest.approx(curve) and got[i][1] == pytest.approx(1 / (1 + np.exp(2 * np.mean(np.array(curve) - 0.75))))
     assert [got[i] for i in (20, 21, 22)] == [([], 0.5)] * 3
     assert min(got[i][1] for i in range(6)) > max(got[i][1] for i in (10, 11, 12))  # halves of one source soon look alike
+
+
+def test_many_classifiers_at_once():
+    rng = np.random.default_rng(5)
+    sign = np.repeat([1.0, -1.0], 10)
+    x = rng.normal(size=(40, 20, 6)) * rng.choice([0.1, 1, 10], size=(40, 1, 1)) + rng.choice([0, 0.3, 3], size=(40, 1, 1)) * sign[:, None]
+    kernels = x @ x.transpose(0, 2, 1)
+    together = un.fit_margins(kernels, sign)
+    assert np.allclose(kernels @ together[:, :, None], np.array([k @ un.fit_margin(k, sign) for k in kernels])[:, :, None], atol=1e-6)
+
+
+@pytest.mark.parametrize("text", ["abab cdcd éé\U0001f600" * 9, "xyxyxyx", "".join(map(chr, range(60, 400)))])
+def test_chunks_against_counted_draws(text):
+    halves = [text[: len(text) // 2], text[len(text) // 2 :]]
+    rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{SMALL.seed}\0{text}".encode()).digest()[:8], "little"))
+    grams = [[h[i : i + 3] for i in range(len(h) - 2)] for h in halves]
+    chunks = [Counter(g[i] for i in rng.integers(0, len(g), SMALL.size).tolist()) for g in grams for _ in range(SMALL.chunks)]
+    whole = sum(chunks, Counter())
+    best = sorted(whole, key=lambda g: (-whole[g], g))[: SMALL.features]
+    assert un.chunk_counts(text, SMALL).tolist() == [[x[g] for g in best] for x in chunks]
