@@ -24,6 +24,8 @@ AHEAD = 16
 SHORT = 16
 #: Hubs of a crowded bucket, and hubs that a member of crowded buckets is held against.
 HUBS = 4
+#: Members of crowded buckets that are compared in one cell: so many against so many, about.
+BLOCK = 2048
 
 
 def shingles(raw: bytes, width: int) -> np.ndarray:
@@ -180,6 +182,81 @@ def _hub_pairs(members: DataFrame, shift: int) -> DataFrame:
     return mine.select(F.explode(few).alias("a"), F.col("node").alias("b"))
 
 
+def _compare(limit: int):
+    """Rows sorted by (key, i, j), a cell each, with (left, node, label, fp): (a, b) of each left row and each other row of its cell of another label within ``limit``
+    differing bits. Cells are bounded, so a task holds a batch and a cell."""
+
+    def cell(left: np.ndarray, node: np.ndarray, label: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
+        mine, others = np.flatnonzero(left), np.flatnonzero(~left)
+        found = []
+        turned = np.ascontiguousarray(words[others].T)
+        for at in range(0, len(mine), 256):
+            rows = mine[at : at + 256]
+            differ = np.zeros((len(rows), len(others)), np.uint16)
+            for k, column in enumerate(turned):
+                differ += np.bitwise_count(words[rows, k, None] ^ column[None, :])
+            r, c = np.nonzero((differ <= limit) & (label[rows, None] != label[None, others]))
+            found.append((node[rows[r]], node[others[c]]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in chained(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:6]] + [batch.column(6).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)]
+                held = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            if held is None:
+                continue
+            key, i, j, left, node, label, words = held
+            starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, [len(key)]))
+            if batch is not None:
+                starts = starts[:-1]
+            held = [x[int(starts[-1]) :] for x in held] if batch is not None else None
+            found = [cell(left[a:b], node[a:b], label[a:b], words[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True) if left[a:b].any() and not left[a:b].all()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    return run
+
+
+def _rest_pairs(members: DataFrame, prints: DataFrame, labels: DataFrame, limit: int) -> DataFrame | None:
+    """(a, b): pairs within ``limit`` bits that have no common label yet, all that meet in a crowded bucket of members (key, node) among them; None if no bucket has several labels.
+
+    A bucket's members of other labels than its most frequent one are few as a rule. These are held against all nodes of that label in crowded buckets, once, in however many buckets they meet it, and
+    against each other in each bucket. Both are cut into cells of about ``BLOCK`` by ``BLOCK``, dealt by hash, so no bucket and no label meets in one task, and only pairs within ``limit`` come out. A bucket of one
+    label has no cell. Where a crowd has no links the work is quadratic in its size; the memory is not.
+    """
+    named = cut(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+    per = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    several = per.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    several = cut(several.select("key", "n", F.col("top.label").alias("top")))
+    if several.isEmpty():
+        return None
+    few = cut(join_counted(named, several, "key", "n", small=20_000).filter("label <> top").select("key", "node", "label", "top"))
+    met = cut(few.select(F.xxhash64(F.lit(0), "top").alias("key"), "node", "label", "top").distinct())
+    tops = cut(met.groupBy("key", "top").agg(F.count(F.lit(1)).alias("n")))
+    nodes = named.select("node", "label").distinct()
+    sizes = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    wanted = cut(tops.select("key", F.col("top").alias("label")).join(sizes, "label"))
+    tops = join_counted(nodes, wanted, "label", "n", small=20_000).select("key", "node", "label")
+    among = few.select(F.xxhash64(F.lit(1), "key").alias("key"), "node", "label")
+    left, right = met.select("key", "node", "label").unionByName(among), tops.unionByName(among)
+    sided = cut(left.withColumn("left", F.lit(True)).unionByName(right.withColumn("left", F.lit(False))))
+    count = lambda side: F.count(F.when(side, 1))
+    shares = sided.groupBy("key").agg(count(F.col("left")).alias("lefts"), count(~F.col("left")).alias("rights"), F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
+    shares = cut(shares.filter("least <> most").drop("least", "most"))
+    held = join_counted(sided, shares, "key", "n", small=20_000).join(prints.select("node", "fp"), "node")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    dealt = lambda n: F.array(F.pmod(F.xxhash64(F.lit(2), "node"), blocks(n)).cast("int"))
+    each = lambda n: F.sequence(F.lit(0), blocks(n) - 1)
+    cells = held.withColumn("i", F.explode(F.when(F.col("left"), dealt("lefts")).otherwise(each("lefts"))))
+    cells = cells.withColumn("j", F.explode(F.when(F.col("left"), each("rights")).otherwise(dealt("rights")))).select("key", "i", "j", "left", "node", "label", "fp")
+    found = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(limit), "a long, b long")
+    return cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def common_parts(hashes: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
     """(keys, numbers left out) of the parts of a set that a set of that similarity may have in common with it: all but few of its hashes.
 
@@ -243,6 +320,14 @@ def _sets(width: int):
     return run
 
 
+def _linked(near: DataFrame, docs: DataFrame, prints: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs ``near`` (a, b) whose sets of shingles have the similarity."""
+    chosen = prints.join(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "th")
+    sets = docs.join(broadcast_if_small(cut(chosen), 500_000), "th").dropDuplicates(["node"]).select("node", "text").mapInArrow(_sets(width), "node long, set array<long>")
+    shared = F.size(F.array_intersect("u", "v"))
+    return _fetch(near, cut(sets), "set").filter(shared >= F.lit(similarity) * (F.size("u") + F.size("v") - shared) - 1e-9).select("a", "b")
+
+
 def near_groups(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -263,10 +348,11 @@ def near_groups(
     2. Pigeonring filter. The bits are a ring of m 4-bit segments, and d (``hamming_limit``, with two standard deviations) differing bits are allowed on the whole
        ring, so d / m on a segment. Two texts meet if from some byte of the ring a chain of ``chain`` segments is equal. They are a candidate
        pair if the longer chains, up to 16 segments more, keep their budgets of l * d / m bits.
-    3. A bucket of over ``bucket_cap`` fingerprints does not make all its pairs: each member is held against a few hubs (``_hub_pairs``) and against
+    3. A bucket of over ``bucket_cap`` fingerprints does not make all its pairs at once: each member is first held against a few hubs (``_hub_pairs``) and against
        its neighbours in the order of the bits behind the key, the latter at every ``beside_every``-th place. Its pairs grow with its members, and are few for each.
     4. Candidate pairs are linked if they are within d bits on the whole ring and their sets of shingles have the similarity exactly.
-    5. Texts of up to 16 shingles also meet by the parts that sets of that similarity have in common (``common_parts``), exactly.
+    5. The rest of a crowded bucket's pairs: those whose texts are not in one group by then are all compared (``_rest_pairs``). So the cap loses no link between groups: groups are those of all pairs that meet.
+    6. Texts of up to 16 shingles also meet by the parts that sets of that similarity have in common (``common_parts``), exactly.
 
     The equal chain is met by chance: at a similarity of 0.8, 15 % of the bits differ, and a chain of 20 bits is equal at one of the 128
     bytes of 1024 bits with a chance of about 0.97, and the chance grows with the similarity. ``bits`` and ``chain`` are the same whatever the number of rows; for
@@ -286,16 +372,19 @@ def near_groups(
     spread = keyed.repartition("key").sortWithinPartitions("key", "ahead", "node")
     met = cut(spread.mapInArrow(_meet(bucket_cap, budgets, SEGMENT * chain, beside_every), "key long, a long, b long"))
 
-    hub_pairs = _hub_pairs(met.filter("b is null").select("key", F.col("a").alias("node")), SEGMENT * chain)
+    crowded = cut(met.filter("b is null").select("key", F.col("a").alias("node")))
+    hub_pairs = _hub_pairs(crowded, SEGMENT * chain)
     pairs = cut(met.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(hub_pairs).distinct())
     differ = F.aggregate(F.zip_with("u", "v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = cut(_fetch(pairs, prints, "fp").filter(differ <= limit).select("a", "b"))
-    chosen = prints.join(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "th")
-    sets = docs.join(broadcast_if_small(cut(chosen), 500_000), "th").dropDuplicates(["node"]).select("node", "text").mapInArrow(_sets(width), "node long, set array<long>")
-    shared = F.size(F.array_intersect("u", "v"))
-    found = _fetch(near, cut(sets), "set").filter(shared >= F.lit(similarity) * (F.size("u") + F.size("v") - shared) - 1e-9).select("a", "b")
     short = _short_links(prints.filter(F.size("short") > 0).select("node", "short"), similarity)
-    labels = components(cut(_thinned(found.unionByName(short).distinct())))
+    links = cut(_thinned(_linked(near, docs, prints, width, similarity).unionByName(short).distinct()))
+    labels = components(links)
+    rest = _rest_pairs(crowded, prints, labels, limit)
+    if rest is not None and not rest.isEmpty():
+        more = cut(_linked(rest, docs, prints, width, similarity))
+        if not more.isEmpty():
+            labels = components(cut(_thinned(links.unionByName(more).distinct())))
 
     member = prints.join(labels, "node", "left").select("node", "least", "rows", F.coalesce("label", "node").alias("label"))
     smallest = member.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))

@@ -267,6 +267,22 @@ def test_texts_that_only_share_a_frame_stay_apart(spark):
     assert all(got[i] == i for i, _ in rows) and all(got[i] == i - 1000 for i, _ in copies)
 
 
+def test_crowded_buckets_lose_no_link_of_all_pairs(spark, monkeypatch):
+    """Texts that share seven tenths of their words fill the buckets; near copies of some, close to the threshold, are grouped as without a cap."""
+    rng = random.Random(21)
+    head = words(rng, 140, 10**6)
+    rows = [(i, f"{head} {words(rng, 60, 10**6)}") for i in range(700)]
+    rows += [(1000 + i, variants(rng, t, 1, 4)[0]) for i, t in rows[:300]]
+    groups = lambda **how: {r["doc_id"]: r["component_id"] for r in near_copies.near_groups(frame(spark, rows), **how).collect()}
+    whole = groups(bucket_cap=10_000)
+    assert sum(whole[1000 + i] == i for i in range(300)) >= 280
+    monkeypatch.setattr(near_copies, "BLOCK", 16)  # several cells a bucket
+    capped = groups()
+    lost = [i for i, g in whole.items() if capped[i] != capped[g]]
+    assert not lost, lost
+    assert all(capped[1000 + i] in (i, 1000 + i) for i in range(300)) and all(capped[i] == i for i in range(700))
+
+
 def test_crowded_buckets_stream_through(spark):
     rng = np.random.default_rng(3)
     key = np.sort(rng.integers(0, 12, 400))
