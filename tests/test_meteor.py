@@ -60,3 +60,16 @@ def test_counts_and_scores(spark):
     p, r = 0.75 / 1.5, 0.75 / 2.25
     assert got[3]["score"] == pytest.approx(1 / (0.85 / p + 0.15 / r) * (1 - 0.6))
     assert got[4]["score"] == got[5]["score"] == got[6]["score"] == 0
+
+
+def test_a_path_costs_the_same_however_long_it_is():
+    """Partial alignments share their pairs and do not each copy them."""
+    import tracemalloc
+
+    a = [f"w{k % 600}x" for k in range(1200)]
+    tracemalloc.start()
+    found = mt.align_words(a, [*a[1:], "other"])
+    size = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found.pairs) == 1199 and found.chunks == 1
+    assert size < 1_500_000
