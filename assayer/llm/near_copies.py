@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm.graph import components
 from assayer.llm.text_hash import Grams, _mixed, word_bounds, word_hashes
-from assayer.plans import bounded_batches, broadcast_if_small, cut, fresh_names, join_counted
+from assayer.plans import bounded_batches, broadcast_if_small, cut, fresh_names, join_counted, packed
 
 #: Bits of a segment of the ring; keys and budgets are in segments. Keys start at every second one, a byte.
 SEGMENT = 4
@@ -24,6 +24,10 @@ AHEAD = 16
 SHORT = 16
 #: Hubs of a crowded bucket, and hubs that a member of crowded buckets is held against.
 HUBS = 4
+#: Bits of a set's parities.
+PARITIES = 1024
+#: Nodes that are broadcast, at most, and rows with a set each in a partition.
+FEW, WIDE = 200_000, 1000
 #: Members of crowded buckets that are compared in one cell: so many against so many, about.
 BLOCK = 2048
 
@@ -46,6 +50,12 @@ def wide_fingerprint(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """``PARITIES`` bits (bytes): whether a set has an odd number of hashes in each of so many bins. Each hash that only one of two sets has turns one bit, so the sets differ in at least as many hashes as bits."""
+    counts = np.bincount((_mixed(hashes) >> np.uint64(32)) % np.uint64(PARITIES), minlength=PARITIES)
+    return np.packbits((counts & 1).astype(np.uint8))
+
+
 def hamming_limit(similarity: float, bits: int, deviations: float = 0) -> int:
     """The bits in which SimHashes of two sets of that Jaccard similarity differ, and so many standard deviations more."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -60,7 +70,11 @@ def _mark(width: int, bits: int):
             flat = np.concatenate(made) if made else np.zeros(0, np.uint8)
             prints = pa.FixedSizeListArray.from_arrays(pa.array(flat.view("<i8")), bits // 64).cast(pa.list_(pa.int64()))
             short = [h.view(np.int64) if 0 < len(h) <= SHORT else () for h in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints, pa.array(short, pa.list_(pa.int64()))], names=["id", "th", "fp", "short"])
+            odd = np.concatenate([parities(h) for h in sets]) if sets else np.zeros(0, np.uint8)
+            odds = pa.FixedSizeListArray.from_arrays(pa.array(odd.view("<i8")), PARITIES // 64).cast(pa.list_(pa.int64()))
+            size = pa.array([len(h) for h in sets], pa.int32())
+            columns = [batch.column(0), batch.column(1), prints, pa.array(short, pa.list_(pa.int64())), odds, size]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "fp", "short", "odd", "size"])
 
     return run
 
@@ -163,17 +177,17 @@ def _meet(cap: int, budgets: list[int], shift: int = 0, every: int = 1):
     return run
 
 
-def _hub_pairs(members: DataFrame, shift: int) -> DataFrame:
-    """(a, b): a hub, and a member (key, node) of crowded buckets that is held against it; ``HUBS`` at most for each member.
+def _hub_pairs(members: DataFrame, total: int, shift: int) -> DataFrame:
+    """(a, b): a hub, and a member, of the ``total`` (key, node) of crowded buckets, that is held against it; ``HUBS`` at most for each member.
 
     A node's degree is the number of crowded buckets it is in. A text that many others were made from agrees with most of them at every place and so has the highest degree. The hubs of
     a bucket are its nodes of the highest degree in each of ``HUBS`` shares of the nodes by hash; a member is held against the best hub that it meets in each of ``HUBS`` shares of
     the places (the key's bits from ``shift`` on). These are aggregations with partial sums, and a key of many members is broadcast to them (``join_counted``), so no bucket meets in one task.
     """
     degree = members.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    rows = cut(members.join(degree, "node"))
+    rows = cut(packed(members.join(degree, "node"), total))
     best = [F.max(F.when(F.pmod("node", F.lit(HUBS)) == k, F.struct("degree", "node"))) for k in range(HUBS)]
-    hubs = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array(*best).alias("hubs")))
+    hubs = cut(packed(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array(*best).alias("hubs")), total))
     met = join_counted(rows.select("key", "node"), hubs, "key", "n", small=20_000)
     other = F.array_max(F.filter("hubs", lambda h: h["node"] != F.col("node")))
     share = F.pmod(F.shiftright("key", shift), F.lit(HUBS))
@@ -182,21 +196,32 @@ def _hub_pairs(members: DataFrame, shift: int) -> DataFrame:
     return mine.select(F.explode(few).alias("a"), F.col("node").alias("b"))
 
 
-def _compare(limit: int):
-    """Rows sorted by (key, i, j), a cell each, with (left, node, label, fp): (a, b) of each left row and each other row of its cell of another label within ``limit``
-    differing bits. Cells are bounded, so a task holds a batch and a cell."""
+def _apart(similarity: float) -> float:
+    """The share of the hashes of two sets of that Jaccard similarity, each set's counted, that only one of them has."""
+    return (1 - similarity) / (1 + similarity)
+
+
+def _compare(limit: int, similarity: float):
+    """Rows sorted by (key, i, j), a cell each, with (left, node, label, size, bits: fp and odd): (a, b) of each left row and each other row of its cell of another label within
+    ``limit`` differing bits whose parities leave the similarity possible. Cells are bounded, so a task holds a batch and a cell."""
+    apart = _apart(similarity)
 
-    def cell(left: np.ndarray, node: np.ndarray, label: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
+    def cell(left: np.ndarray, node: np.ndarray, label: np.ndarray, size: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
         mine, others = np.flatnonzero(left), np.flatnonzero(~left)
         found = []
-        turned = np.ascontiguousarray(words[others].T)
+        prints, odd = np.ascontiguousarray(words[others, : -PARITIES // 64].T), words[:, -PARITIES // 64 :]
         for at in range(0, len(mine), 256):
             rows = mine[at : at + 256]
             differ = np.zeros((len(rows), len(others)), np.uint16)
-            for k, column in enumerate(turned):
+            for k, column in enumerate(prints):
                 differ += np.bitwise_count(words[rows, k, None] ^ column[None, :])
             r, c = np.nonzero((differ <= limit) & (label[rows, None] != label[None, others]))
-            found.append((node[rows[r]], node[others[c]]))
+            r, c = rows[r], others[c]
+            fits = np.zeros(len(r), bool)
+            for k in range(0, len(r), 1 << 14):
+                x, y = r[k : k + (1 << 14)], c[k : k + (1 << 14)]
+                fits[k : k + (1 << 14)] = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64) <= apart * (size[x] + size[y]) + 1e-6
+            found.append((node[r[fits]], node[c[fits]]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,55 +230,55 @@ def _compare(limit: int):
             if batch is not None:
                 if not batch.num_rows:
                     continue
-                rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:6]] + [batch.column(6).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)]
+                rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:7]] + [batch.column(7).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)]
                 held = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
             if held is None:
                 continue
-            key, i, j, left, node, label, words = held
+            key, i, j, left, node, label, size, words = held
             starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, [len(key)]))
             if batch is not None:
                 starts = starts[:-1]
             held = [x[int(starts[-1]) :] for x in held] if batch is not None else None
-            found = [cell(left[a:b], node[a:b], label[a:b], words[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True) if left[a:b].any() and not left[a:b].all()]
+            found = [cell(left[a:b], node[a:b], label[a:b], size[a:b], words[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True) if left[a:b].any() and not left[a:b].all()]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"])
 
     return run
 
 
-def _rest_pairs(members: DataFrame, prints: DataFrame, labels: DataFrame, limit: int) -> DataFrame | None:
-    """(a, b): pairs within ``limit`` bits that have no common label yet, all that meet in a crowded bucket of members (key, node) among them; None if no bucket has several labels.
+def _rest_pairs(members: DataFrame, rows: int, prints: DataFrame, labels: DataFrame, limit: int, similarity: float) -> DataFrame | None:
+    """(a, b): pairs within ``limit`` bits whose parities leave the similarity possible and that have no common label yet, all that meet in a crowded bucket of the ``rows`` members (key, node) among them; None if no bucket has several labels.
 
     A bucket's members of other labels than its most frequent one are few as a rule. These are held against all nodes of that label in crowded buckets, once, in however many buckets they meet it, and
     against each other in each bucket. Both are cut into cells of about ``BLOCK`` by ``BLOCK``, dealt by hash, so no bucket and no label meets in one task, and only pairs within ``limit`` come out. A bucket of one
     label has no cell. Where a crowd has no links the work is quadratic in its size; the memory is not.
     """
-    named = cut(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+    named = cut(packed(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), rows))
     per = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     several = per.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    several = cut(several.select("key", "n", F.col("top.label").alias("top")))
+    several = cut(packed(several.select("key", "n", F.col("top.label").alias("top")), rows))
     if several.isEmpty():
         return None
-    few = cut(join_counted(named, several, "key", "n", small=20_000).filter("label <> top").select("key", "node", "label", "top"))
-    met = cut(few.select(F.xxhash64(F.lit(0), "top").alias("key"), "node", "label", "top").distinct())
-    tops = cut(met.groupBy("key", "top").agg(F.count(F.lit(1)).alias("n")))
-    nodes = named.select("node", "label").distinct()
+    few = cut(packed(join_counted(named, several, "key", "n", small=20_000).filter("label <> top").select("key", "node", "label", "top"), rows))
+    met = cut(packed(few.select(F.xxhash64(F.lit(0), "top").alias("key"), "node", "label", "top").distinct(), rows))
+    tops = packed(met.groupBy("key", "top").agg(F.count(F.lit(1)).alias("n")), rows)
+    nodes = cut(packed(named.select("node", "label").distinct(), rows))
     sizes = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    wanted = cut(tops.select("key", F.col("top").alias("label")).join(sizes, "label"))
+    wanted = cut(packed(tops.select("key", F.col("top").alias("label")).join(sizes, "label"), rows))
     tops = join_counted(nodes, wanted, "label", "n", small=20_000).select("key", "node", "label")
     among = few.select(F.xxhash64(F.lit(1), "key").alias("key"), "node", "label")
     left, right = met.select("key", "node", "label").unionByName(among), tops.unionByName(among)
-    sided = cut(left.withColumn("left", F.lit(True)).unionByName(right.withColumn("left", F.lit(False))))
+    sided = cut(packed(left.withColumn("left", F.lit(True)).unionByName(right.withColumn("left", F.lit(False))), 4 * rows))
     count = lambda side: F.count(F.when(side, 1))
     shares = sided.groupBy("key").agg(count(F.col("left")).alias("lefts"), count(~F.col("left")).alias("rights"), F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
-    shares = cut(shares.filter("least <> most").drop("least", "most"))
-    held = join_counted(sided, shares, "key", "n", small=20_000).join(prints.select("node", "fp"), "node")
+    shares = cut(packed(shares.filter("least <> most").drop("least", "most"), rows))
+    held = join_counted(sided, shares, "key", "n", small=20_000).join(prints.select("node", "size", F.concat("fp", "odd").alias("bits")), "node")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     dealt = lambda n: F.array(F.pmod(F.xxhash64(F.lit(2), "node"), blocks(n)).cast("int"))
     each = lambda n: F.sequence(F.lit(0), blocks(n) - 1)
     cells = held.withColumn("i", F.explode(F.when(F.col("left"), dealt("lefts")).otherwise(each("lefts"))))
-    cells = cells.withColumn("j", F.explode(F.when(F.col("left"), each("rights")).otherwise(dealt("rights")))).select("key", "i", "j", "left", "node", "label", "fp")
-    found = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(limit), "a long, b long")
+    cells = cells.withColumn("j", F.explode(F.when(F.col("left"), each("rights")).otherwise(dealt("rights")))).select("key", "i", "j", "left", "node", "label", "size", "bits")
+    found = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(limit, similarity), "a long, b long")
     return cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
@@ -295,18 +320,22 @@ def _short_links(short: DataFrame, similarity: float) -> DataFrame:
     In a group of sets that share a part, whatever two may be linked are also linked to the one that leaves out least; so each is linked to that one only.
     """
     parts = cut(short.mapInArrow(_parts(similarity), "key long, node long, left int, size int"))
+    total = parts.count()
+    parts = packed(parts, total)
     least = parts.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("left", "node")).alias("least")).filter("n > 1")
-    least = cut(least.select(F.xxhash64("key", "size").alias("part"), "n", F.col("least.node").alias("a"), F.col("least.left").alias("other")))
+    least = cut(packed(least.select(F.xxhash64("key", "size").alias("part"), "n", F.col("least.node").alias("a"), F.col("least.left").alias("other")), total))
     met = join_counted(parts.withColumn("part", F.xxhash64("key", "size")), least, "part", "n", small=20_000).filter("node <> a")
     fits = F.col("left") + F.col("other") <= F.lit(1 / similarity - 1) * F.col("size") + 1e-9
     return met.filter(fits).select("a", F.col("node").alias("b"))
 
 
-def _fetch(pairs: DataFrame, table: DataFrame, what: str) -> DataFrame:
-    """``pairs(a, b)`` with column ``what`` of ``table(node, what)`` for both as u and v; a node may be in many pairs."""
+def _fetch(pairs: DataFrame, total: int, table: DataFrame, what: str) -> DataFrame:
+    """The ``total`` ``pairs(a, b)`` with column ``what`` of ``table(node, what)`` for both as u and v; a node may be in many pairs. Up to ``FEW`` nodes are sent to the table, which stays where it is."""
+    given = pairs
     for side, name in (("a", "u"), ("b", "v")):
-        n = pairs.groupBy(F.col(side).alias("node")).agg(F.count(F.lit(1)).alias("n"))
-        right = cut(table.join(n, "node").select(F.col("node").alias(side), F.col(what).alias(name), "n"))
+        n = cut(packed(given.groupBy(F.col(side).alias("node")).agg(F.count(F.lit(1)).alias("n")), total))
+        right = table.join(broadcast_if_small(n, FEW), "node").select(F.col("node").alias(side), F.col(what).alias(name), "n")
+        right = cut(packed(right, total, WIDE))
         pairs = join_counted(pairs, right, side, "n", "inner", 2000, 2000).drop("n")
     return pairs
 
@@ -322,10 +351,13 @@ def _sets(width: int):
 
 def _linked(near: DataFrame, docs: DataFrame, prints: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs ``near`` (a, b) whose sets of shingles have the similarity."""
-    chosen = prints.join(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "th")
-    sets = docs.join(broadcast_if_small(cut(chosen), 500_000), "th").dropDuplicates(["node"]).select("node", "text").mapInArrow(_sets(width), "node long, set array<long>")
+    total = near.count()
+    nodes = cut(packed(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * total))
+    chosen = cut(packed(prints.join(broadcast_if_small(nodes, FEW), "node").select("node", "th"), 2 * total))
+    texts = docs.join(broadcast_if_small(chosen, 500_000), "th").dropDuplicates(["node"]).select("node", "text")
+    sets = cut(packed(texts, 2 * total, WIDE).mapInArrow(_sets(width), "node long, set array<long>"))
     shared = F.size(F.array_intersect("u", "v"))
-    return _fetch(near, cut(sets), "set").filter(shared >= F.lit(similarity) * (F.size("u") + F.size("v") - shared) - 1e-9).select("a", "b")
+    return packed(_fetch(near, total, sets, "set"), total, WIDE).filter(shared >= F.lit(similarity) * (F.size("u") + F.size("v") - shared) - 1e-9).select("a", "b")
 
 
 def near_groups(
@@ -350,7 +382,8 @@ def near_groups(
        pair if the longer chains, up to 16 segments more, keep their budgets of l * d / m bits.
     3. A bucket of over ``bucket_cap`` fingerprints does not make all its pairs at once: each member is first held against a few hubs (``_hub_pairs``) and against
        its neighbours in the order of the bits behind the key, the latter at every ``beside_every``-th place. Its pairs grow with its members, and are few for each.
-    4. Candidate pairs are linked if they are within d bits on the whole ring and their sets of shingles have the similarity exactly.
+    4. Candidate pairs are linked if they are within d bits on the whole ring and their sets of shingles have the similarity exactly. Sets are fetched only where the parities of
+       their shingles leave the similarity possible (``parities``, a bound that excludes no link).
     5. The rest of a crowded bucket's pairs: those whose texts are not in one group by then are all compared (``_rest_pairs``). So the cap loses no link between groups: groups are those of all pairs that meet.
     6. Texts of up to 16 shingles also meet by the parts that sets of that similarity have in common (``common_parts``), exactly.
 
@@ -366,27 +399,35 @@ def near_groups(
     budgets = [(chain + k) * limit * SEGMENT // bits for k in range(2, AHEAD + 1, 2)]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    marked = cut(docs.mapInArrow(_mark(width, bits), "id long, th long, fp array<long>, short array<long>").withColumn("node", F.xxhash64("fp")))
-    prints = cut(marked.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"), F.any_value("fp").alias("fp"), F.any_value("short").alias("short"), F.any_value("th").alias("th")))
+    marked = cut(docs.mapInArrow(_mark(width, bits), "id long, th long, fp array<long>, short array<long>, odd array<long>, size int").withColumn("node", F.xxhash64("fp")))
+    one = marked.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"), F.any_value(F.struct("fp", "short", "th", "odd", "size")).alias("one"))
+    prints = cut(one.select("node", "least", "rows", "one.*"))
     keyed = prints.select("node", "fp").mapInArrow(_keys(bits, chain), "key long, ahead long, node long")
     spread = keyed.repartition("key").sortWithinPartitions("key", "ahead", "node")
     met = cut(spread.mapInArrow(_meet(bucket_cap, budgets, SEGMENT * chain, beside_every), "key long, a long, b long"))
 
-    crowded = cut(met.filter("b is null").select("key", F.col("a").alias("node")))
-    hub_pairs = _hub_pairs(crowded, SEGMENT * chain)
-    pairs = cut(met.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(hub_pairs).distinct())
-    differ = F.aggregate(F.zip_with("u", "v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = cut(_fetch(pairs, prints, "fp").filter(differ <= limit).select("a", "b"))
+    held = met.agg(F.count(F.when(F.col("b").isNull(), 1)), F.count("b")).collect()[0]
+    members, most = held[0], held[1] + HUBS * held[0]
+    crowded = cut(packed(met.filter("b is null").select("key", F.col("a").alias("node")), members))
+    hub_pairs = _hub_pairs(crowded, members, SEGMENT * chain)
+    pairs = met.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = cut(packed(packed(pairs, held[1]).unionByName(hub_pairs).distinct(), most))
+    differ = lambda c: F.aggregate(F.zip_with(f"u.{c}", f"v.{c}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    possible = differ("odd") <= F.lit(_apart(similarity)) * (F.col("u.size") + F.col("v.size")) + 1e-6
+    sketches = prints.select("node", F.struct("fp", "odd", "size").alias("sketch"))
+    near = cut(packed(_fetch(pairs, most, sketches, "sketch"), most, 5 * WIDE).filter((differ("fp") <= limit) & possible).select("a", "b"))
     short = _short_links(prints.filter(F.size("short") > 0).select("node", "short"), similarity)
-    links = cut(_thinned(_linked(near, docs, prints, width, similarity).unionByName(short).distinct()))
+    links = cut(_linked(near, docs, prints, width, similarity).unionByName(short))
+    linked = links.count()
+    links = cut(packed(_thinned(packed(packed(links, linked).distinct(), linked)), 2 * linked))
     labels = components(links)
-    rest = _rest_pairs(crowded, prints, labels, limit)
+    rest = _rest_pairs(crowded, members, prints, labels, limit, similarity)
     if rest is not None and not rest.isEmpty():
         more = cut(_linked(rest, docs, prints, width, similarity))
         if not more.isEmpty():
             labels = components(cut(_thinned(links.unionByName(more).distinct())))
 
-    member = prints.join(labels, "node", "left").select("node", "least", "rows", F.coalesce("label", "node").alias("label"))
+    member = prints.join(broadcast_if_small(labels, FEW), "node", "left").select("node", "least", "rows", F.coalesce("label", "node").alias("label"))
     smallest = member.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
     named = cut(join_counted(member, cut(smallest), "label", "n").select("node", "component_id", "rows"))
     return join_counted(marked.select("id", "th", "node"), named, "node", "rows").select(F.col("id").alias(id_col), "th", "component_id")

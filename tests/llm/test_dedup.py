@@ -283,6 +283,41 @@ def test_crowded_buckets_lose_no_link_of_all_pairs(spark, monkeypatch):
     assert all(capped[1000 + i] in (i, 1000 + i) for i in range(300)) and all(capped[i] == i for i in range(700))
 
 
+def test_parities_exclude_no_link_and_most_others():
+    rng = np.random.default_rng(8)
+    for n in (1, 17, 80, 600, 5000):
+        base = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for changed in (0, 1, n // 20, n // 9, n // 4):
+            other = np.concatenate([base[changed:], rng.integers(0, 1 << 63, changed).astype(np.uint64)])
+            bits = int(np.bitwise_count(near_copies.parities(base) ^ near_copies.parities(other)).sum())
+            assert bits <= 2 * changed
+            if 80 <= n <= 600 and changed == n // 4:  # a similarity of 0.6
+                assert bits > near_copies._apart(0.8) * 2 * n
+
+
+def test_pairs_of_a_shared_frame_are_not_fetched(spark, monkeypatch):
+    """Texts that share seven tenths of their words are within the bits of a link, and no link: few of their pairs reach the sets of shingles."""
+    rng = random.Random(22)
+    head = words(rng, 140, 10**6)
+    rows = [(i, f"{head} {words(rng, 60, 10**6)}") for i in range(300)]
+    seen, linked = [], near_copies._linked
+    monkeypatch.setattr(near_copies, "_linked", lambda near, *more: (seen.append(near.count()), linked(near, *more))[1])
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_groups(frame(spark, rows)).collect()}
+    assert all(got[i] == i for i in got) and sum(seen) <= 10, seen
+
+
+def test_few_links_stay_in_few_partitions(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 40, 2)], "a long, b long").repartition(8)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")  # as for tables that Spark does not coalesce by itself
+    try:
+        labels = graph.components(links)
+    finally:
+        spark.conf.unset(coalesce)
+    assert labels.rdd.getNumPartitions() == 1
+    assert {tuple(r) for r in labels.collect()} == {(i, i - i % 2) for i in range(40)}
+
+
 def test_crowded_buckets_stream_through(spark):
     rng = np.random.default_rng(3)
     key = np.sort(rng.integers(0, 12, 400))
