@@ -57,14 +57,13 @@ TOPICS = 6
 
 
 def _topics(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    parts = cut(ft.chunks(docs, ["doc_id"], tx.words(F.lower("text")), 300).select(F.concat_ws(":", "doc_id", "chunk").alias("key"), "doc_id", "tokens"))
-    counts = cut(ft.gram_counts(parts, ["key"], F.col("tokens")))
-    vocabulary = tp.frequent_terms(counts, "key", parts.count(), 5, 0.5, 2000)
-    values = ln.tf_idf_values(counts, "key", vocabulary, parts.select("key"))
-    rows = cut(ln.sparse_rows(values, "key", parts.select("key", "doc_id")))
+    docs = table(spark, d, "documents").select("doc_id", tx.words(F.lower("text")).alias("tokens"))
+    totals = cut(tp.chunk_terms(docs, "tokens", 300))
+    chunks = totals.filter("gram IS NULL").agg(F.coalesce(F.sum("df"), F.lit(0))).collect()[0][0]
+    vocabulary = tp.frequent_terms(totals, chunks, 5, 0.5, 2000)
+    rows = tp.chunk_rows(docs, "doc_id", "tokens", 300, vocabulary, chunks).withColumn("key", F.concat_ws(":", "doc_id", "chunk")).drop("chunk")
     found = tp.factorise(rows, "key", vocabulary.count(), TOPICS, rounds=12)
-    return tp.mean_mixture(found.mixtures.join(rows.select("key", "doc_id"), "key"), "doc_id", TOPICS)
+    return tp.mean_mixture(found.mixtures, "doc_id", TOPICS)
 
 
 @query("tp_mixtures")

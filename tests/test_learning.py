@@ -311,3 +311,29 @@ def test_char_grams_of_groups_and_pairs(spark):
     pairs = [(0, ["abab", "ba"], ["bab"]), (1, [None, "xy"], []), (2, None, ["é"]), (3, ["ab"], ["ab", None])]
     got = {(r["id"], r["gram"]): (r["a"], r["b"], r["all_a"], r["all_b"]) for r in ft.pair_gram_counts(spark.createDataFrame(pairs, "id int, x array<string>, y array<string>"), ["id"], "x", "y", 2).collect()}
     assert got == {(0, "ab"): (2, 1, 4, 2), (0, "ba"): (2, 1, 4, 2), (1, "xy"): (1, 0, 1, 0), (3, "ab"): (1, 1, 1, 1)}
+
+
+def test_chunks_of_terms_without_a_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from assayer.operators import topics as tp
+
+    rng = np.random.default_rng(3)
+    texts = [[f"w{k}" for k in rng.integers(0, 30, n)] for n in (0, 1, 7, 8, 9, 40, 123)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, tokens array<string>").repartition(3)
+    chunks = [(i, c, t[c * 8 : c * 8 + 8]) for i, t in enumerate(texts) for c in range(-(-len(t or []) // 8))]
+    totals = tp.chunk_terms(df, "tokens", 8)
+    assert "Generate" not in totals._jdf.queryExecution().toString()
+    got = {r["gram"]: (r["df"], r["total"]) for r in totals.collect()}
+    assert got.pop(None) == (len(chunks), 0)
+    assert got == {w: (sum(w in c for _, _, c in chunks), sum(c.count(w) for _, _, c in chunks)) for w in {w for _, _, c in chunks for w in c}}
+    vocabulary = tp.frequent_terms(totals, len(chunks), 2, 0.5, 10)
+    best = sorted((w for w, (d, _) in got.items() if 2 <= d <= 0.5 * len(chunks)), key=lambda w: (-got[w][1], w))[:10]
+    assert [r["gram"] for r in vocabulary.orderBy("idx").collect()] == best
+    rows = {(r["id"], r["chunk"]): (r["idx"], r["val"]) for r in tp.chunk_rows(df, "id", "tokens", 8, vocabulary, len(chunks)).collect()}
+    assert set(rows) == {(i, c) for i, c, _ in chunks}
+    for i, c, words in chunks:
+        w = {k: words.count(g) * (np.log((1 + len(chunks)) / (1 + got[g][0])) + 1) for k, g in enumerate(best) if g in words}
+        assert rows[i, c][0] == list(w) and rows[i, c][1] == pytest.approx([x / np.sqrt(sum(y * y for y in w.values())) for x in w.values()])
+    found = tp.factorise(tp.chunk_rows(df, "id", "tokens", 8, vocabulary, len(chunks)).withColumn("key", F.concat_ws(":", "id", "chunk")).drop("chunk"), "key", len(best), 2, rounds=2)
+    assert found.mixtures.columns == ["key", "w", "id"] and {(r["key"].split(":")[0]) for r in found.mixtures.collect()} == {str(i) for i, _, _ in chunks}
