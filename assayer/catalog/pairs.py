@@ -82,13 +82,13 @@ def tp_cosine(spark, d):
 
 @query("pt_masked")
 def pt_masked(spark, d):
-    """Three masked copies of every document, through a table of results by content; equal texts are masked once."""
+    """Three masked copies of every document, through a table of results by content for each copy, so that no copy reads the others' results; equal texts are masked once."""
     folder = f"{checkpoint_folder(spark)}/masked-{uuid.uuid4().hex}"
     docs = table(spark, d, "documents").select("doc_id", "text")
     found = None
     for copy in range(3):
         name = f"mask share=0.15 span=2 seed=7 copy={copy}"
-        rows = pt.cached(docs, "text", name, folder, lambda m, copy=copy: m.select("key", pt.masked_spans(F.col("text"), F.lit(copy)).alias("value")))
+        rows = pt.cached(docs, "text", name, f"{folder}/{copy}", lambda m, copy=copy: m.select("key", pt.masked_spans(F.col("text"), F.lit(copy)).alias("value")))
         rows = rows.select("doc_id", F.lit(copy).alias("copy"), F.sha2("value", 256).alias("value_sha256"), (F.size(F.split("value", "<mask>")) - 1).cast("long").alias("masks"))
         found = rows if found is None else found.unionByName(rows)
     return found

@@ -156,3 +156,15 @@ def test_alignment_ranking_and_attribution_evaluations(spark, tmp_path):
     ev.evaluate(spark, "attribution", str(tmp_path / "gold" / "*" / "*.json"), str(tmp_path / "said"), str(tmp_path / "o3"))
     assert measures(tmp_path / "o3")["p1/f1"] == 0.5 == measures(tmp_path / "o3")["mean_f1"] and errors(tmp_path / "o3") == [("p1/u2", "MISSING_ID")]
     assert ev.main(["verification"]) == 2
+
+
+def test_each_masked_copy_has_results_of_its_own(spark, monkeypatch):
+    """No copy reads what another has stored."""
+    from pyspark.sql import functions as F
+
+    from assayer.catalog import pairs
+
+    seen = []
+    monkeypatch.setattr(pairs.pt, "cached", lambda texts, text, parameters, folder, compute: (seen.append((parameters, folder)), texts.withColumn("value", F.col(text)))[1])
+    pairs.pt_masked(spark, "/root/testdata/sf0.001")
+    assert len({p for p, _ in seen}) == 3 and len({f for _, f in seen}) == 3
