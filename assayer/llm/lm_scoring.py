@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,8 @@ from assayer.plans import bounded_batches, cut
 #: The token that ends each document: no word, for words hold no white space.
 END = b"\n"
 SUFFIX_BUCKETS = 256
+#: Texts are encoded together, up to so many bytes, so that the table of words is hashed once for all of them.
+ENCODED_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -55,7 +57,7 @@ class Words:
     def __init__(self, counted: list[tuple[bytes, int]], total: int, distinct: int, s: Settings):
         counted = sorted(counted, key=lambda x: (x[0] != END, -x[1], x[0]))
         self.total, self.distinct = total, distinct
-        self.ids = {w: i for i, (w, _) in enumerate(counted)}
+        self.words = pa.array([w for w, _ in counted], pa.binary())
         self.n = len(counted)
         self.head = min(s.head, self.n)
         self.head_classes = -(-s.head // s.per_class)
@@ -89,6 +91,7 @@ class Words:
         self.word_top = self.word_prior.max(axis=1)
         self.start = s.head + SUFFIX_BUCKETS
         self.inputs = self.start + 1
+        self.end = next(i for i, (w, _) in enumerate(counted) if w == END)
 
     @staticmethod
     def suffix(word: bytes) -> int:
@@ -96,19 +99,40 @@ class Words:
 
     def encode(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """(targets, inputs, words beyond the lookup) of a whole text with its end token; target ``n`` is a word beyond."""
-        words = raw.lower().split()
-        words.append(END)
-        targets = np.fromiter(map(self.ids.get, words, repeat(self.n)), np.int32, len(words))
-        beyond = np.flatnonzero(targets == self.n)
-        rare = [words[i] for i in beyond.tolist()]
-        inputs = np.empty(len(words), np.int32)
-        inputs[0] = self.start
-        inputs[1:] = self.input_of[targets[:-1]]
-        if rare:  # ``suffix`` of all of them; the end token is never beyond
-            lengths = np.fromiter(map(len, rare), np.int64, len(rare))
-            letters, last = np.frombuffer(b"".join(rare), np.uint8).astype(np.int32), np.cumsum(lengths) - 1
-            inputs[beyond + 1] = self.head + (letters[last] * 31 + np.where(lengths > 1, letters[last - 1], 0)) % SUFFIX_BUCKETS
-        return targets, inputs, rare
+        targets, inputs, _, rare = self.encode_all([raw])
+        return targets, inputs, rare.to_pylist()
+
+    def encode_all(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """(targets, inputs, where each text ends, words beyond the lookup) of whole texts, one after the other, each with its end token."""
+        data = pa.array(raw, pa.binary())
+        # Arrow's ASCII functions take the bytes as they are: other bytes need not be UTF-8
+        pieces = pc.ascii_split_whitespace(pc.ascii_lower(pa.Array.from_buffers(pa.string(), len(data), data.buffers())))
+        ends, words = pieces.offsets.to_numpy()[1:], pieces.flatten()
+        _, places, letters = words.buffers()
+        places = np.frombuffer(places, np.int32)[: len(words) + 1]
+        words = pa.Array.from_buffers(pa.binary(), len(words), words.buffers())
+        filled = places[1:] > places[:-1]
+        found = pc.index_in(words, value_set=self.words).fill_null(self.n).to_numpy()
+        unknown = np.flatnonzero(filled & (found == self.n))
+        rare = words.take(pa.array(unknown))
+        given = self.input_of[found]
+        if len(unknown):  # ``suffix`` of all of them
+            letters = np.frombuffer(letters, np.uint8)
+            last, several = places[unknown + 1] - 1, places[unknown + 1] - places[unknown] > 1
+            given[unknown] = self.head + (letters[last] * np.int32(31) + np.where(several, letters[last - 1], 0)) % SUFFIX_BUCKETS
+        if not filled.all():  # white space at the start or the end of a text leaves an empty piece
+            ends = np.concatenate(([0], np.cumsum(filled)))[ends]
+            found, given = found[filled], given[filled]
+        counts = np.diff(ends, prepend=0) + 1
+        ends = np.cumsum(counts)
+        inner = np.ones(int(ends[-1]) if len(ends) else 0, bool)
+        inner[ends - 1] = False
+        targets = np.full(len(inner), self.end, np.int32)
+        targets[inner] = found
+        inputs = np.empty(len(inner), np.int32)
+        inputs[ends - counts] = self.start
+        inputs[1:][inner[:-1]] = given
+        return targets, inputs, ends, rare
 
 
 class Network:
@@ -142,39 +166,43 @@ class Network:
             at += size
         self.updates = 0
 
-    def step(self, x: np.ndarray, h: np.ndarray):
-        """One time step for all lanes: (new state, update and reset gates, candidate, its recurrent part).
+    @staticmethod
+    def step(x: np.ndarray, h: np.ndarray, turned: np.ndarray, out: np.ndarray):
+        """One time step for all lanes, one lane a column: the new state into ``out``; (update and reset gates, candidate, its recurrent part).
 
         A gate is ``(1 + tanh a) / 2``: the logistic function of 2a, with the factor left to the weights.
         """
-        H = self.s.hidden
-        g = h @ self.p["u"]
-        inner = g[:, 2 * H :]
-        gates = g[:, : 2 * H] + x[:, : 2 * H]
+        H = len(h)
+        g = turned @ h
+        inner, gates = g[2 * H :], g[: 2 * H]
+        gates += x[: 2 * H]
         np.tanh(gates, out=gates)
         gates *= 0.5
         gates += 0.5
-        new = gates[:, H:] * inner
-        new += x[:, 2 * H :]
+        new = gates[H:] * inner
+        new += x[2 * H :]
         np.tanh(new, out=new)
-        out = h - new
-        out *= gates[:, :H]
+        np.subtract(h, new, out=out)
+        out *= gates[:H]
         out += new
-        return out, gates, new, inner
+        return gates, new, inner
 
     def outputs(self, states: np.ndarray, targets: np.ndarray, learn: bool):
-        """Without ``learn`` the natural log chance of each target (of its class, for words beyond the lookup), else the gradient of the mean loss by state; and its gradients by weight."""
-        p, n = self.p, len(targets)
+        """Without ``learn`` the natural log chance of each target (of its class, for words beyond the lookup), else the gradient of the mean loss by state; and its gradients by weight.
+
+        Each row of ``states`` ends in a one, which meets the biases.
+        """
+        p, n, H, heads = self.p, len(targets), self.s.hidden, self.w.head_classes
         classes = self.w.class_of[targets]
         # in the order of the classes each class is one slice
         order = np.argsort(classes.astype(np.int8) if self.w.classes < 128 else classes, kind="stable")
         ends = np.cumsum(np.bincount(classes, minlength=self.w.classes)).tolist()
-        states, targets, classes = states[order], targets[order], classes[order]
+        states, targets, classes = states.take(order, axis=0), targets.take(order), classes.take(order)
         each = np.float32(1 / n)
         rows = np.arange(n)
-        reach = max(float(np.abs(p["vc"]).sum(axis=0).max() + p["bc"].max()), float(np.abs(p["vw"]).sum(axis=2).max() + (p["bw"].max(axis=1) - self.w.word_top).max()))
-        chance = states @ p["vc"]
-        chance += p["bc"]
+        biases = p["bw"] - self.w.word_top[:, None]
+        reach = max(float(np.abs(p["vc"]).sum(axis=0).max() + p["bc"].max()), float(np.abs(p["vw"]).sum(axis=2).max() + biases.max()))
+        chance = states @ np.concatenate((p["vc"], p["bc"][None]))
         logp, grads, back = None, {}, None
         if not learn:
             logp = chance[rows, classes].astype(np.float64) + self.w.inside[targets]
@@ -183,36 +211,31 @@ class Network:
             chance *= (each / total)[:, None]
             chance[rows, classes] -= each
             back = chance @ p["vc"].T
-            grads = {"vc": states.T @ chance, "bc": chance.sum(axis=0), "vw": np.zeros_like(p["vw"]), "bw": np.zeros_like(p["bw"])}
-            ones_of = np.ones(n, np.float32)
+            both = states.T @ chance
+            grads = {"vc": both[:H], "bc": both[H]}
         else:
             logp -= np.log(total)
-        place = targets - classes * self.s.per_class
-        weights, biases = p["vw"], p["bw"] - self.w.word_top[:, None]
-        ones = np.ones(self.s.per_class, np.float32)
-        at = 0
-        for k, stop in enumerate(ends[: self.w.head_classes]):
-            start, at = at, stop
-            if start == stop:
-                continue
-            mine, wanted, first = states[start:stop], place[start:stop], rows[: stop - start]
-            chance = mine @ weights[k].T
-            chance += biases[k]
-            if not learn:
-                logp[start:stop] += chance[first, wanted]
-            if reach > 80:
-                np.minimum(chance, 80, out=chance)
-            np.exp(chance, out=chance)
-            total = chance @ ones
-            if learn:
-                np.divide(each, total, out=total)
-                chance *= total[:, None]
-                chance[first, wanted] -= each
-                back[start:stop] += chance @ weights[k]
-                np.matmul(chance.T, mine, out=grads["vw"][k])
-                np.matmul(ones_of[: stop - start], chance, out=grads["bw"][k])
-            else:
-                logp[start:stop] -= np.log(total)
+        # the words of all classes in one array, so that only products are taken class by class
+        m = ends[heads - 1]
+        slices = [(k, start, stop) for k, (start, stop) in enumerate(zip([0, *ends], ends[:heads], strict=False)) if start < stop]
+        weights = np.concatenate((p["vw"], biases[:, :, None]), axis=2)
+        chance = np.empty((m, self.s.per_class), np.float32)
+        for k, start, stop in slices:
+            np.matmul(states[start:stop], weights[k].T, out=chance[start:stop])
+        rows, place = rows[:m], targets[:m] - classes[:m] * self.s.per_class
+        if not learn:
+            logp[:m] += chance[rows, place]
+        total = self._exponentials(chance, reach)
+        if learn:
+            chance *= (each / total)[:, None]
+            chance[rows, place] -= each
+            both = np.zeros_like(weights)
+            for k, start, stop in slices:
+                back[start:stop] += chance[start:stop] @ p["vw"][k]
+                np.matmul(chance[start:stop].T, states[start:stop], out=both[k])
+            grads["vw"], grads["bw"] = np.ascontiguousarray(both[:, :, :H]), both[:, :, H].copy()
+        else:
+            logp[:m] -= np.log(total)
         given = np.empty_like(back if learn else logp)
         given[order] = back if learn else logp
         return given, grads
@@ -226,63 +249,67 @@ class Network:
         return logits @ np.ones(logits.shape[1], np.float32)
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray) -> np.ndarray:
-        """One truncated window, (steps, lanes): update the weights, return the carried state."""
+        """One truncated window, (steps, lanes): update the weights, return the carried state.
+
+        Inside, a lane is a column: each gate is then one block of memory, in all operations.
+        """
         H, (steps, lanes) = self.s.hidden, inputs.shape
-        x = self.p["x"][inputs]
-        keep = (inputs != self.w.start).astype(np.float32)[:, :, None]
-        trace, states = [], np.empty((steps, lanes, H), np.float32)
-        h = state
+        x = np.ascontiguousarray(self.p["x"].take(inputs, axis=0).transpose(0, 2, 1))
+        keep = (inputs != self.w.start).astype(np.float32)
+        starts = (keep == 0).any(axis=1).tolist()
+        trace, states = [], np.ones((steps, H + 1, lanes), np.float32)
+        h, turned = np.ascontiguousarray(state.T), np.ascontiguousarray(self.p["u"].T)
+        befores = np.empty((steps, H, lanes), np.float32)
         for t in range(steps):
-            before = h * keep[t]  # no state is carried over the start of a document
-            h, gates, new, inner = self.step(x[t], before)
-            trace.append((before, gates, new, inner))
-            states[t] = h
-        flat = states.reshape(-1, H)
-        back, grads = self.outputs(flat, targets.ravel(), True)
-        back = back.reshape(steps, lanes, H)
-        dx = np.empty((steps, lanes, 3 * H), np.float32)
-        dg = np.empty((steps, lanes, 3 * H), np.float32)
-        carry = np.zeros((lanes, H), np.float32)
-        turned = np.ascontiguousarray(self.p["u"].T)
-        starts = (keep == 0).any(axis=(1, 2)).tolist()
-        slope, bend, move = np.empty((lanes, 2 * H), np.float32), np.empty((lanes, H), np.float32), np.empty((lanes, H), np.float32)
+            before = np.multiply(h, keep[t], out=befores[t]) if starts[t] else h  # no state is carried over the start of a document
+            h = states[t, :H]
+            trace.append((before, *self.step(x[t], before, turned, h)))
+        back, grads = self.outputs(states.transpose(0, 2, 1).reshape(-1, H + 1), targets.ravel(), True)
+        back = np.ascontiguousarray(back.reshape(steps, lanes, H).transpose(0, 2, 1))
+        dx, u = np.empty((3 * H, steps, lanes), np.float32), self.p["u"]
+        du = np.zeros((3 * H, H), np.float32)
+        dg = np.empty((3 * H, lanes), np.float32)
+        carry = np.zeros((H, lanes), np.float32)
+        slope, bend, move = np.empty((2 * H, lanes), np.float32), np.empty((H, lanes), np.float32), np.empty((H, lanes), np.float32)
         for t in range(steps - 1, -1, -1):
             before, gates, new, inner = trace[t]
-            z, r = gates[:, :H], gates[:, H:]
+            z, r = gates[:H], gates[H:]
             d = back[t]
             d += carry
             kept = d * z
             np.subtract(1, gates, out=slope)
             slope *= gates
             slope *= 2
-            both, last = dg[t, :, : 2 * H], dg[t, :, 2 * H :]
-            dnew = dx[t, :, 2 * H :]
+            both, last = dg[: 2 * H], dg[2 * H :]
+            dnew = dx[2 * H :, t]
             np.subtract(d, kept, out=dnew)
             np.multiply(new, new, out=bend)
             np.subtract(1, bend, out=bend)
             dnew *= bend
             np.subtract(before, new, out=move)
-            np.multiply(d, move, out=both[:, :H])
-            np.multiply(dnew, inner, out=both[:, H:])
+            np.multiply(d, move, out=both[:H])
+            np.multiply(dnew, inner, out=both[H:])
             both *= slope
             np.multiply(dnew, r, out=last)
-            dx[t, :, : 2 * H] = both
-            kept += dg[t] @ turned
+            dx[: 2 * H, t] = both
+            du += dg @ before.T
+            kept += u @ dg
             if starts[t]:
                 kept *= keep[t]
             carry = kept
-        stacked = np.concatenate([b for b, *_ in trace])
         del trace
-        grads["u"] = stacked.T @ dg.reshape(-1, 3 * H)
+        grads["u"] = np.ascontiguousarray(du.T)
         for name, g in grads.items():
             self._descend(name, g, slice(None))
         ids = inputs.ravel()
-        order = np.argsort(ids.astype(np.uint16) if self.w.inputs <= 1 << 16 else ids, kind="stable")  # 16 bits are sorted by radix
-        ordered = ids[order]
-        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        self._descend("x", np.add.reduceat(dx.reshape(-1, 3 * H)[order], first, axis=0), ordered[first])
+        used = np.flatnonzero(np.bincount(ids, minlength=self.w.inputs))
+        number = np.empty(self.w.inputs, np.int64)
+        number[used] = np.arange(len(used))
+        ids = number[ids]
+        sums = np.array([np.bincount(ids, weights=row, minlength=len(used)) for row in dx.reshape(3 * H, -1)])
+        self._descend("x", np.ascontiguousarray(sums.T, np.float32), used)
         self.updates += 1
-        return h
+        return h.T
 
     def _descend(self, name: str, g: np.ndarray, rows) -> None:
         """An Adagrad step."""
@@ -332,12 +359,14 @@ class Network:
             kept, have = [(targets[done:], inputs[done:])], len(targets) - done
             return done
 
-        for raw in texts:
-            targets, inputs, _ = self.w.encode(raw)
-            kept.append((targets, inputs))
-            have += len(targets)
-            if have >= s.lanes * s.lane_tokens:
-                tokens += train(False)
+        for raw in _grouped(texts, len):
+            targets, inputs, ends, _ = self.w.encode_all(raw)
+            start = 0
+            for stop in ends.tolist():
+                kept.append((targets[start:stop], inputs[start:stop]))
+                have, start = have + stop - start, stop
+                if have >= s.lanes * s.lane_tokens:
+                    tokens += train(False)
         if have:
             tokens += train(True)
         return tokens
@@ -352,33 +381,53 @@ class Network:
         lengths = np.array([len(t) for t in targets])
         order = np.argsort(-lengths, kind="stable")
         ordered = lengths[order]
-        starts = np.concatenate(([0], np.cumsum(ordered)))[:-1]
-        all_t = np.concatenate([targets[i] for i in order])
-        all_i = np.concatenate([inputs[i] for i in order])
+        # all tokens by time, then lane: the lanes running at a time are one slice
+        longest = int(ordered[0]) if len(ordered) else 0
+        running = np.searchsorted(-ordered, -np.arange(longest), side="left")  # lanes with a token at t
+        ends = np.cumsum(running).tolist()
+        starts = np.cumsum(ordered) - ordered
+        times = np.arange(int(ordered.sum())) - np.repeat(starts, ordered)
+        by_time = np.argsort(times.astype(np.uint16) if longest <= 1 << 16 else times, kind="stable")
+        all_t = np.concatenate([targets[i] for i in order]).take(by_time)
+        all_i = np.concatenate([inputs[i] for i in order]).take(by_time)
         totals = np.zeros(len(lengths))
-        state = np.zeros((len(lengths), H), np.float32)
+        h, turned = np.zeros((H, len(lengths)), np.float32), np.ascontiguousarray(self.p["u"].T)
         limit = max(1, 262_144 // H)
-        t, longest = 0, int(ordered[0]) if len(ordered) else 0
-        running = np.searchsorted(-ordered, -np.arange(longest), side="left")  # lanes with a token at t
+        t, at = 0, 0
         while t < longest:
-            steps = max(1, min(longest - t, limit // int(running[t])))
-            states, wanted, lanes = [], [], []
-            for at in range(t, t + steps):
-                n = int(running[at])
-                places = starts[:n] + at
-                h, *_ = self.step(self.p["x"][all_i[places]], state[:n])
-                state[:n] = h
-                states.append(h)
-                wanted.append(all_t[places])
+            after = min(longest, t + max(1, limit // int(running[t])))
+            stop = ends[after - 1]
+            x = np.ascontiguousarray(self.p["x"].take(all_i[at:stop], axis=0).T)
+            states = np.ones((H + 1, stop - at), np.float32)
+            place, lanes = 0, []
+            for n in running[t:after].tolist():
+                new = states[:H, place : place + n]
+                self.step(x[:, place : place + n], h[:, :n], turned, new)
+                h, place = new, place + n
                 lanes.append(np.arange(n))
-            logp, _ = self.outputs(np.concatenate(states), np.concatenate(wanted), False)
+            h = h.copy()
+            logp, _ = self.outputs(np.ascontiguousarray(states.T), all_t[at:stop], False)
             totals += np.bincount(np.concatenate(lanes), weights=logp, minlength=len(totals))
-            t += steps
+            t, at = after, stop
         out = np.empty(len(lengths))
         out[order] = totals / np.log(10)
         return out
 
 
+def _grouped(items: Iterator, size: Callable) -> Iterator[list]:
+    """Lists of successive items whose sizes sum to ``ENCODED_BYTES`` at most; an item of more is alone."""
+    group, have = [], 0
+    for item in items:
+        more = size(item)
+        if group and have + more > ENCODED_BYTES:
+            yield group
+            group, have = [], 0
+        group.append(item)
+        have += more
+    if group:
+        yield group
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
@@ -486,10 +535,17 @@ def _score(words, weights, s: Settings):
             items = pa.StructArray.from_arrays([pa.array(item_words, pa.binary()), pa.array(item_counts, pa.int32())], names=["w", "n"])
             return pa.RecordBatch.from_arrays([*made, pa.array(scores), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], names=names)
 
-        for batch in batches:
-            for id_, held, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
-                goal, given, rare = known.encode(t.as_py() or b"")
-                counted = Counter(rare)
+        texts = (
+            (id_, held, t.as_py() or b"")
+            for batch in batches
+            for id_, held, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True)
+        )
+        for group in _grouped(texts, lambda row: len(row[2])):
+            goals, givens, stops, beyond = known.encode_all([raw for *_, raw in group])
+            beyond, start, first = beyond.to_pylist(), 0, 0
+            after = np.cumsum(np.concatenate(([0], goals == known.n)))[stops].tolist()
+            for (id_, held, _), stop, last in zip(group, stops.tolist(), after, strict=True):
+                goal, counted = goals[start:stop], Counter(beyond[first:last])
                 # the first item stands for the document; its key is no word
                 item_words.append(b" %d" % uid)
                 item_words.extend(counted)
@@ -498,8 +554,8 @@ def _score(words, weights, s: Settings):
                 ends.append(len(item_words))
                 rows.append((uid, id_, held, len(goal), int(known.seen[goal].sum()), float(known.base[goal].sum())))
                 targets.append(goal)
-                inputs.append(given)
-                uid, have = uid + 1, have + len(goal)
+                inputs.append(givens[start:stop])
+                uid, have, start, first = uid + 1, have + len(goal), stop, last
                 if have >= s.chunk_tokens:
                     yield flush()
                     rows, targets, inputs, item_words, item_counts, ends, have = [], [], [], [], [], [0], 0

@@ -16,6 +16,8 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SMALL = Settings(lookup=12, head=6, per_class=2, hidden=3, steps=5)
 COUNTS = [(END, 9), *((w.encode(), n) for w, n in zip("abcdefghijk", range(12, 1, -1), strict=True))]
 
+COUNTS_IN_ORDER = sorted(COUNTS, key=lambda x: (x[0] != END, -x[1], x[0]))
+
 
 def frame(spark, rows):
     return spark.createDataFrame([(i, t, "en", "src1", None) for i, t in rows], SCHEMA).repartition(3)
@@ -90,6 +92,39 @@ def test_gradients_are_differences_of_the_loss():
             assert found[name][place] == pytest.approx((up - down) / (2 * step), abs=2e-4), (name, place)
 
 
+def test_texts_encoded_together():
+    """The same as word by word, whatever bytes the texts have: only six are white space, only A-Z have lower case."""
+    words, _ = network()
+    texts = [b"", b" ", b"a b", b"  A\tb\n\nzz c\r\x0b\x0c", b"\xffq \xc3\x84 a", b"x" * 300 + b" k", b"\n", bytes(range(256)), b"a\x1cb \xc2\x85 \xc2\xa0 c", b"a" * 3 + b" "]
+    number = {w: i for i, (w, _) in enumerate(COUNTS_IN_ORDER)}
+    for group in (texts, texts[:1], texts[:2], [b"\t"] * 3, []):
+        want_targets, want_inputs, want_rare, want_ends = [], [], [], []
+        for raw in group:
+            given = words.start
+            for w in [*raw.lower().split(), END]:
+                want_targets.append(number.get(w, words.n))
+                want_inputs.append(given)
+                if w not in number:
+                    want_rare.append(w)
+                given = number[w] if number.get(w, words.n) < words.head else words.head + words.suffix(w)
+            want_ends.append(len(want_targets))
+        targets, inputs, ends, rare = words.encode_all(group)
+        assert (targets.tolist(), inputs.tolist(), ends.tolist(), rare.to_pylist()) == (want_targets, want_inputs, want_ends, want_rare)
+
+
+def test_exponentials_do_not_go_class_by_class(monkeypatch):
+    """A small window costs as many calls with many classes as with few."""
+    for per_class in (1, 3):
+        s = Settings(lookup=12, head=6, per_class=per_class, hidden=3, steps=5)
+        net = Network(Words(COUNTS, 100, 16, s), s)
+        calls, exp = [], np.exp
+        monkeypatch.setattr(lm_scoring.np, "exp", lambda *a, **k: calls.append(1) or exp(*a, **k))  # noqa: B023
+        ids = np.arange(10).reshape(5, 2)
+        net.learn(ids, ids, np.zeros((2, 3), np.float32))
+        monkeypatch.undo()
+        assert len(calls) == 2
+
+
 def test_held_out_texts_gain_over_the_counts(spark):
     """Texts whose words follow from the one before: the counts cannot know, the network does."""
     rng = random.Random(5)
